@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import simhash
+from tidemark.llm import secrets, simhash
 from tidemark.llm.common import table
 
 
@@ -14,8 +14,12 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {"op1_simhash": op1_simhash, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
