@@ -4,23 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import secrets, simhash
+from tidemark.llm import bpe, mixing, secrets, simhash
 from tidemark.llm.common import table
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digest(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.assign(table(spark, folder, "documents"))
+
+
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op10_secrets": op10_secrets}
+    return {
+        "op1_simhash": op1_simhash,
+        "op3_bpe": op3_bpe,
+        "op9_mixing": op9_mixing,
+        "op10_secrets": op10_secrets,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing.ASSIGN_SQL}
