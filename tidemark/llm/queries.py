@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, mixing, pii, quality, secrets, simhash
+from tidemark.llm import bpe, mixing, pii, quality, secrets, simhash, toxicity
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,10 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.assign(table(spark, folder, "documents"))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": op2_pii,
         "op3_bpe": op3_bpe,
         "op6_quality": op6_quality,
+        "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
         "op10_secrets": op10_secrets,
     }
