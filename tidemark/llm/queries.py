@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, mixing, pii, quality, secrets, simhash, toxicity
+from tidemark.llm import ann, bpe, lm, mixing, pii, quality, secrets, simhash, toxicity
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,10 @@ def op4_ann(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.digest(table(spark, folder, "documents"))
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": op2_pii,
         "op3_bpe": op3_bpe,
         "op4_ann": op4_ann,
+        "op5_lm": op5_lm,
         "op6_quality": op6_quality,
         "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
