@@ -1,6 +1,6 @@
 """Byte-level BPE: merge replay over all words of a slice, with an inverted index.
 
-A slice is one Arrow batch of documents.  Its distinct words (matches of the
+A slice is a run of documents of an Arrow batch.  Its distinct words (matches of the
 splitting pattern) are laid end to end as one array of symbols.  An inverted
 index maps each mergeable pair, named by the rank of its merge, to the
 positions where it stands; the ranks are taken in ascending order, each
@@ -24,6 +24,7 @@ import base64
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 #: Distinct words that a task keeps from slice to slice; beyond that it starts anew.
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 1 << 19
+#: A slice ends with the document that takes it to this many characters.
+SLICE = 1 << 22
 #: Longer words are merged one by one, as an index over positions serves no more than a queue there.
 LONG = 1 << 12
 
@@ -57,7 +60,7 @@ class Ranks:
         key = a << 32 | b
         found = self._pairs.get(key)
         if found is None:
-            if len(self._pairs) >= KEPT_WORDS:
+            if len(self._pairs) >= KEPT_WORDS // 2:
                 self._pairs.clear()
             found = self._pairs[key] = self.ranks.get(self.token[a] + self.token[b], -1)
         return found
@@ -173,7 +176,7 @@ class Encoder:
 
     def _learn(self) -> None:
         """Ids for the words that were met since the last call."""
-        fresh = [w.encode() for w in list(self.words)[self.known :]]
+        fresh = [w.encode() for w in islice(self.words, self.known, None)]
         whole = {i: [self.ranks.ranks[w]] for i, w in enumerate(fresh) if w in self.ranks.ranks}
         whole |= {i: _merge_long(w, self.ranks) for i, w in enumerate(fresh) if len(w) > LONG and i not in whole}
         rest = [i for i in range(len(fresh)) if i not in whole]
@@ -192,10 +195,20 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        found, at = [], 0
+        while at < len(texts):
+            begin, chars = at, 0
+            while at < len(texts) and chars < SLICE:
+                chars += len(texts[at] or "")
+                at += 1
+            found += self._encode_slice(texts[begin:at])
+        return found
+
+    def _encode_slice(self, texts: list[str | None]) -> list[bytes]:
         if len(self.words) > KEPT_WORDS:
             self._forget()
         number = self.words.__getitem__
-        codes = [np.fromiter(map(number, self.split(t or "")), np.int64) for t in texts]
+        codes = [np.fromiter(map(number, self.split(t or "")), np.int32) for t in texts]
         self._learn()
         return [self._put_together(c) for c in codes]
 
