@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, lm, mixing, pii, quality, secrets, simhash, toxicity
+from tidemark.llm import ann, bpe, licenses, lm, mixing, pii, quality, secrets, simhash, toxicity
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -38,6 +38,10 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
 
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.digest(table(spark, folder, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ann": op4_ann,
         "op5_lm": op5_lm,
         "op6_quality": op6_quality,
+        "op7_licenses": op7_licenses,
         "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
         "op10_secrets": op10_secrets,
@@ -65,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ASSIGN_SQL}
+    return {"op7_licenses": licenses.digest_sql(), "op9_mixing": mixing.ASSIGN_SQL}
