@@ -37,6 +37,8 @@ def blocks(data: bytes) -> Iterator[tuple[int, bytes]]:
         if magic != [31, 139, 8, 4] or (extra, b, c, two) != (6, 66, 67, 2):
             raise ValueError(f"no block header at {at}")
         end = at + last + 1
+        if end > len(data):
+            raise ValueError(f"block at {at} is cut off")
         raw = zlib.decompress(data[at + 18 : end - 8], -15)
         if struct.unpack_from("<2I", data, end - 8) != (zlib.crc32(raw), len(raw)):
             raise ValueError(f"block at {at} has another checksum or length")
