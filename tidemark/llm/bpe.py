@@ -29,14 +29,16 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from tidemark.llm.common import bound_batches
+
 #: Distinct words that a task keeps from slice to slice; beyond that it starts anew.
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 1 << 18
 #: A slice ends with the document that takes it to this many characters.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Longer words are merged one by one, as an index over positions serves no more than a queue there.
 LONG = 1 << 12
 
@@ -222,6 +224,7 @@ class Encoder:
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
     """``docs`` with the ids of ``text``, packed as little-endian unsigned 32-bit integers."""
+    bound_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))  # the vocabulary has a fixed size
 
     @F.pandas_udf(BinaryType())
@@ -235,6 +238,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``docs`` with the bytes that packed ids stand for."""
+    bound_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     @F.pandas_udf(BinaryType())

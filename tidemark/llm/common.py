@@ -30,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+    """Hand texts to Python workers in batches of so many rows and bytes at most, to bound a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def in_training(doc_id: Column | str, folds: int, held_out: int) -> Column:
     """Whether crc32 of the id as text, modulo ``folds``, isn't ``held_out``.
 
