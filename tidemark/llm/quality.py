@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import WORD, cut, text_or_empty
+from tidemark.llm.common import WORD, bound_batches, cut, text_or_empty
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -86,6 +86,7 @@ def _lines(text: Column) -> Column:
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """Per document: the counts, ``base_failed``, ``kept``, and the lines and words that were removed."""
+    bound_batches(docs.sparkSession)
     rows = cut(
         docs.select(
             F.monotonically_increasing_id().alias("row"),

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import bound_batches, cut
 from tidemark.llm.components import components
 
 SHINGLE = 3
@@ -116,6 +116,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     The component id is the least id reachable over links of two bits or fewer.
     """
+    bound_batches(docs.sparkSession)
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(links(nodes))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
-from tidemark.llm.common import cut, in_training
+from tidemark.llm.common import bound_batches, cut, in_training
 
 FOLDS, HELD_OUT = 5, 0
 LEXICON_FOLDS, TREE_FOLD, CALIBRATION_FOLD = (1, 2), 3, 4
@@ -150,6 +150,7 @@ class Features:
 
 
 def with_features(docs: DataFrame, words: dict[str, float], text: str = "text", to: str = "tox_features") -> DataFrame:
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(words)  # LEXICON_SIZE entries at most
 
     @F.pandas_udf(ArrayType(DoubleType()))
