@@ -54,7 +54,8 @@ def position_at(share: Column, rates: tuple[float, ...]) -> Column:
     for i in reversed(range(pieces)):
         a, slope = rates[i], rates[i + 1] - rates[i]
         area = (share - spent[i]) * whole  # rate a, changing by slope over the piece: area = a x + slope x^2 / 2
-        inside = 2 * area / (a + F.sqrt(F.greatest(a * a + 2 * slope * area, F.lit(0.0))))
+        root = a + F.sqrt(F.greatest(a * a + 2 * slope * area, F.lit(0.0)))
+        inside = F.when(area > 0, 2 * area / F.when(root > 0, root)).otherwise(0.0)
         found = F.when(share < spent[i + 1], (i + inside) / pieces).otherwise(found)
     return found
 
@@ -98,19 +99,20 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source") -> Dat
     sums = cut(sums)
     aims = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
-    aims = offsets.join(aims.withColumnRenamed("source", "aim"), F.col("source").eqNullSafe(F.col("aim")))
-    placed = rows.join(aims.withColumnRenamed("source", "of"), (F.col("mix_bucket") == F.col("bucket")) & F.col(source).eqNullSafe(F.col("of")))
-    inside = Window.partitionBy(F.col("of"), "bucket").orderBy("mix_key", F.col(doc_id), "mix_size", "mix_tie").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.col("offset") + F.coalesce(F.sum("mix_size").over(inside), F.lit(0))
-    goal = F.floor("target").cast("long")
-    size, whole = F.col("mix_size"), F.col("source_size")
+    offsets = sums.select("source", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("mix_offset"))
+    aims = aims.select(
+        F.col("source").alias("aim"), F.col("source_size").alias("mix_source_size"), F.col("weight").alias("mix_weight"), F.col("target").alias("mix_target")
+    )
+    aims = offsets.join(aims, F.col("source").eqNullSafe(F.col("aim"))).withColumnsRenamed({"source": "mix_of", "bucket": "mix_in"}).drop("aim")
+    placed = rows.join(aims, (F.col("mix_bucket") == F.col("mix_in")) & F.col(source).eqNullSafe(F.col("mix_of")))
+    inside = Window.partitionBy("mix_of", "mix_in").orderBy("mix_key", F.col(doc_id), "mix_size", "mix_tie").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.col("mix_offset") + F.coalesce(F.sum("mix_size").over(inside), F.lit(0))
+    goal = F.floor("mix_target").cast("long")
+    size, whole = F.col("mix_size"), F.col("mix_source_size")
     times = F.when(whole > 0, F.floor(goal / F.when(whole > 0, whole))).otherwise(0).cast("long")
     placed = placed.withColumn("mix_begin", begin).withColumn("mix_times", times)
     more = F.least(F.greatest(goal - F.col("mix_times") * whole - F.col("mix_begin"), F.lit(0)), size)
-    return placed.withColumn("mix_taken", (F.col("mix_times") * size + more).cast("long")).withColumnsRenamed(
-        {"target": "mix_target", "source_size": "mix_source_size", "weight": "mix_weight"}
-    ).drop("mix_bucket", "bucket", "of", "aim", "offset")
+    return placed.withColumn("mix_taken", (F.col("mix_times") * size + more).cast("long")).drop("mix_bucket", "mix_in", "mix_of", "mix_offset")
 
 
 def position(words: Column, target: Column, weight: Column) -> Column:
@@ -179,10 +181,10 @@ aims AS (
          weight * coalesce((SELECT arg_min(level, turn) FROM turns t WHERE NOT t.weight * t.level > 3 * t.source_size), 1e300)) AS target
   FROM turns),
 placed AS (
-  SELECT doc_id, size, source_size, target, weight, CAST(floor(target) AS BIGINT) AS goal,
+  SELECT doc_id, size, aims.source_size, target, weight, CAST(floor(target) AS BIGINT) AS goal,
          CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS times,
-         coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
-  FROM sized JOIN aims USING (source)),
+         coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
+  FROM sized JOIN aims ON sized.source IS NOT DISTINCT FROM aims.source),
 taken AS (
   SELECT *, times * size + least(greatest(goal - times * source_size - begin, 0), size) AS taken,
          CAST(begin AS DOUBLE) / target AS share

@@ -134,12 +134,12 @@ def _terms(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     known = disclosures(docs, found, text)
     placed = found.select("doc_id", "same", F.explode("near").alias("t")).select("doc_id", "same", "t.*")
     spans_ = placed.join(known, ["kind", "entity", "term"]).groupBy("doc_id", "same", "start", "end").agg(F.max("share").alias("share"))
-    return spans_.groupBy("doc_id", "same").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
+    return spans_.groupBy("doc_id", "same").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("pii_terms"))
 
 
 def _with_terms(rows: DataFrame, terms: DataFrame, doc_id: str, same: Column) -> DataFrame:
-    terms = terms.withColumnsRenamed({"doc_id": "term_doc", "same": "term_same"})
-    return rows.join(terms, F.col(doc_id).eqNullSafe(F.col("term_doc")) & same.eqNullSafe(F.col("term_same")), "left").drop("term_doc", "term_same")
+    terms = terms.withColumnsRenamed({"doc_id": "pii_doc", "same": "pii_same"})
+    return rows.join(terms, F.col(doc_id).eqNullSafe(F.col("pii_doc")) & same.eqNullSafe(F.col("pii_same")), "left").drop("pii_doc", "pii_same")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def digest(docs: DataFrame) -> DataFrame:
     found = _found(docs, "doc_id", "text")
     joined = _with_terms(found, _terms(docs, found, "text"), "doc_id", F.col("same"))
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    added = F.coalesce(F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string"))), F.array().cast("array<string>"))
+    added = F.coalesce(F.transform("pii_terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string"))), F.array().cast("array<string>"))
     based = spans.joined(F.col("base"))
     return joined.select(
         "doc_id",
@@ -171,7 +171,7 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     body = F.col(text)
     marked = F.transform(base_spans(text_or_empty(text)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mark")))
     terms = F.transform(
-        F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double>>")),
+        F.coalesce("pii_terms", F.array().cast("array<struct<start:int,end:int,share:double>>")),
         lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["share"] >= REMOVE, F.lit("")).otherwise(_shape(F.substring(body, t["start"] + 1, t["end"] - t["start"]))).alias("mark")),
     )
     joined = joined.withColumn("pii_marks", F.array_sort(F.concat(marked, terms)))

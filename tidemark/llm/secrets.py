@@ -87,7 +87,7 @@ def _class_of(value: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``added``: arrays of structs (start, rank, end, kind, value), sorted by start."""
+    """``docs`` with ``secret_base`` and ``secret_added``: arrays of structs (start, rank, end, kind, value), sorted by start."""
     body = text_or_empty(text)
     assign = F.filter(spans.find(body, ASSIGN), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_LEAST)
     assign = F.when(body.rlike("(?i)passw|secret|token|api_?key"), assign).otherwise(F.array().cast(spans.SPAN))
@@ -96,8 +96,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         spans.tagged("access", 1, spans.find(body, ACCESS, "AKIA")),
         spans.tagged("hex", 2, spans.find(body, HEX)),
     )
-    found = docs.withColumns({"base": F.array_sort(base), "candidates": spans.find(body, CANDIDATE)})
-    fresh = F.filter("candidates", lambda s: ~spans.overlaps(s, F.col("base")))
+    found = docs.withColumns({"secret_base": F.array_sort(base), "secret_candidates": spans.find(body, CANDIDATE)})
+    fresh = F.filter("secret_candidates", lambda s: ~spans.overlaps(s, F.col("secret_base")))
     judged = F.transform(fresh, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _class_of(s["value"]).alias("kind")))
     ranks = {name: 3 + i for i, (name, _, _) in enumerate(CLASSES)}
     rank = lambda kind: F.when(kind == CLASSES[0][0], ranks[CLASSES[0][0]]).otherwise(ranks[CLASSES[1][0]])
@@ -105,26 +105,26 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         F.filter(judged, lambda s: s["kind"].isNotNull()),
         lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")),
     )
-    return found.withColumn("added", added).drop("candidates")
+    return found.withColumn("secret_added", added).drop("secret_candidates")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: the counts by rule, a digest of the rules' spans, and all spans."""
     found = scan(docs.select("doc_id", "text"))
-    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    number = lambda kind: F.size(F.filter("secret_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id",
         *map(number, ("assign", "access", "hex")),
-        sha256_hex(F.encode(spans.joined(F.col("base")), "UTF-8")).alias("base_sha256"),
-        spans.joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
-        F.size("added").cast("long").alias("n_entropy"),
+        sha256_hex(F.encode(spans.joined(F.col("secret_base")), "UTF-8")).alias("base_sha256"),
+        spans.joined(F.array_sort(F.concat("secret_base", "secret_added"))).alias("spans"),
+        F.size("secret_added").cast("long").alias("n_entropy"),
     )
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``[SECRET]``; overlapping spans give one mark."""
     found = scan(docs, text)
-    every = F.array_sort(F.concat("base", "added"))
+    every = F.array_sort(F.concat("secret_base", "secret_added"))
     body = text_or_empty(text)
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -134,4 +134,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(now["at"], s["end"]).alias("at"), out.alias("out"))
 
     cleaned = F.aggregate(every, begin, step, lambda now: F.concat(now["out"], F.substring(body, now["at"] + 1, F.length(body))))
-    return found.withColumn(text, F.when(F.size(every) > 0, cleaned).otherwise(F.col(text))).drop("base", "added")
+    return found.withColumn(text, F.when(F.size(every) > 0, cleaned).otherwise(F.col(text))).drop("secret_base", "secret_added")
