@@ -29,7 +29,7 @@ def test_boilerplate(spark):
     line, own = "Subscribe to our newsletter today for more of this", "words of its own number {} that say what no other text says here in as many words as it takes to stay"
     other = "All rights to these pages and pictures stay with their respective owners"
     rows = [(i, f"{line}!\n{own.format(chr(97 + i) * 3)}\n{other}", "h") for i in range(12)]
-    rows += [(50, f"{line.upper()} 42\nfew\n{other}", "h"), (51, f"{line}\n{own.format('zz')}", None), (52, f"{line}\nfew\n{line}\n{line}", "other")]
+    rows += [(50, f"{line.upper()} 42\nfew\n{other}", "h"), (51, f"{line}\n{own.format('zz')}", None), (52, f"{line}\nfew\n{other}", "other")]
     rows += [(60 + i, "an exact copy of one text that is long enough to pass the base rules of words and that is found very often in this host", "c") for i in range(30)]
     rows += [(90, None, "h"), (91, "", None)]
     found = {r.doc_id: r for r in quality.judge(documents(spark, rows)).collect()}
