@@ -40,7 +40,7 @@ SAMPLE = 16_384
 #: Vectors in a leaf, about, and levels at most (more would leave a leaf too few of the sample).
 LEAF, DEEPEST = 512, 10
 BLOCK = 8192
-SEARCH = 1.25
+SEARCH = 1.1
 
 
 class Forest:
@@ -106,28 +106,30 @@ def _usable(vector: Column) -> Column:
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise inner products, summed pairwise in one order whatever the block, so equal vectors score equally."""
     products = a * b
-    while products.shape[1] > 1:
-        half = (products.shape[1] + 1) // 2
-        products = np.concatenate([products[:, : products.shape[1] - half] + products[:, half:], products[:, products.shape[1] - half : half]], axis=1)
+    while (width := products.shape[1]) > 1:
+        half = width // 2
+        summed = products[:, :half] + products[:, half : 2 * half]
+        products = np.concatenate([summed, products[:, 2 * half :]], axis=1) if width % 2 else summed
     return products[:, 0]
 
 
-def _best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """For each query its k best of the vectors by (score, smaller id), without its own id."""
-    spare = min(len(ids), k + 1 + 16)  # rounding may swap neighbours in the first ranking
+def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[list, list]:
+    """Ids and scores of each query's k best vectors by (score, smaller id)."""
+    k = min(k, len(ids))
+    spare = min(len(ids), k + 3)  # rounding may swap neighbours in the first ranking
     rough = queries @ vectors.T
-    near = np.argpartition(-rough, spare - 1, axis=1)[:, :spare] if spare < len(ids) else np.tile(np.arange(len(ids)), (len(queries), 1))
+    near = np.argpartition(-rough, spare - 1, axis=1)[:, :spare] if spare < len(ids) else np.broadcast_to(np.arange(len(ids)), rough.shape)
     scores = _exact(np.repeat(queries, spare, axis=0), vectors[near.ravel()]).reshape(near.shape)
-    for i, own in enumerate(query_ids):
-        at = near[i]
-        if spare < len(ids):  # all that tie with the last place belong to the choice
-            tied = np.flatnonzero(rough[i] >= rough[i][at].min() - 1e-12)
-            if len(tied) > spare:
-                at = tied
-        score = scores[i] if at is near[i] else _exact(np.repeat(queries[i : i + 1], len(at), axis=0), vectors[at])
-        keep = ids[at] != own
-        order = np.lexsort((ids[at][keep], -score[keep]))[:k]
-        yield own, ids[at][keep][order], score[keep][order]
+    order = np.lexsort((ids[near], -scores), axis=1)[:, :k]
+    best, score = list(np.take_along_axis(ids[near], order, 1)), list(np.take_along_axis(scores, order, 1))
+    if spare < len(ids):  # all that tie with the last place belong to the choice
+        last = np.take_along_axis(rough, near, 1).min(1) - 1e-12
+        for i in np.flatnonzero((rough >= last[:, None]).sum(1) > spare):
+            at = np.flatnonzero(rough[i] >= last[i])
+            exact = _exact(np.repeat(queries[i : i + 1], len(at), axis=0), vectors[at])
+            order = np.lexsort((ids[at], -exact))[:k]
+            best[i], score[i] = ids[at][order], exact[order]
+    return best, score
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -168,18 +170,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     posted = posted.join(F.broadcast(blocks), "leaf").select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"))
 
     def meet(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        best, scores = [], []
         if len(queries) and len(held):
-            data, ids = np.array(held["v"].tolist(), float), held["vec_id"].to_numpy()
+            data, ids = np.stack(held["v"].to_numpy()), held["vec_id"].to_numpy()
             for at in range(0, len(queries), 512):
-                part = queries.iloc[at : at + 512]
-                found += _best(np.array(part["q"].tolist(), float), part["query_id"].to_numpy(), data, ids, k)
-        columns = zip(*found) if found else ((), (), ())
-        return pd.DataFrame({name: pd.Series(list(column), dtype=kind) for name, column, kind in zip(("query_id", "ids", "scores"), columns, ("int64", object, object))})
+                for all_, part in zip((best, scores), _best(np.stack(queries["q"].to_numpy()[at : at + 512]), data, ids, k + 1)):
+                    all_ += part
+        asked_ids = queries["query_id"].to_numpy()[: len(best)].astype("int64")
+        return pd.DataFrame({"query_id": asked_ids, "ids": pd.Series(best, dtype=object), "scores": pd.Series(scores, dtype=object)})
 
     met = asked.groupBy("leaf", "block").cogroup(posted.groupBy("leaf", "block")).applyInPandas(meet, "query_id long, ids array<long>, scores array<double>")
-    # a query's answers of all leaves: at most k from each leaf that it visits
-    each = F.zip_with("ids", "scores", lambda i, s: F.struct((-s).alias("below"), i.alias("vec_id")))
-    merged = met.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(each)))), 1, k).alias("best"))
+    # at most k + 1 from each leaf that a query visits, its own among them; a vector is in one leaf of each tree, so the k best are among the first k * TREES
+    each = F.filter(F.zip_with("ids", "scores", lambda i, s: F.struct((-s).alias("below"), i.alias("vec_id"))), lambda x: x["vec_id"] != F.col("query_id"))
+    merged = met.groupBy("query_id").agg(F.slice(F.array_distinct(F.slice(F.sort_array(F.flatten(F.collect_list(each))), 1, k * TREES)), 1, k).alias("best"))
     ranked = merged.select("query_id", F.posexplode("best").alias("at", "one"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("one.vec_id").alias("vec_id"), (-F.col("one.below")).alias("score"))
