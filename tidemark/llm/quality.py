@@ -112,3 +112,24 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     left = F.col("n_words") - F.col("removed_words")
     depleted = (left < LEAST_WORDS) | (left < LEAST_SHARE * F.col("n_words"))
     return joined.select("doc_id", *_COUNTS, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "removed_lines", "removed_words")
+
+
+JUDGE_SQL = rf"""
+WITH bodies AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, source AS host, text, coalesce(text, '') AS body FROM documents),
+worded AS MATERIALIZED (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words,
+  list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM bodies),
+windows AS (SELECT id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS w FROM worded, unnest(range(1, len(words) - {WINDOW - 2})) t(i)),
+twice AS (SELECT id, i FROM windows QUALIFY count(*) OVER (PARTITION BY id, w) > 1),
+covered AS (SELECT id, count(DISTINCT j) AS n FROM twice, unnest(range(i, i + {WINDOW})) t(j) GROUP BY id),
+placed AS MATERIALIZED (SELECT id, host, text, trim(regexp_replace(lower(line), '[^\p{{L}}]+', ' ', 'g')) AS normal,
+  len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM worded, unnest(string_split(body, chr(10))) t(line)),
+common AS (SELECT host, normal FROM (SELECT DISTINCT host, text, normal FROM placed WHERE normal <> '') GROUP BY ALL HAVING count(*) > {MOST_DOCUMENTS}),
+removed AS (SELECT id, count(*) AS lines, sum(n) AS words FROM placed p
+  WHERE EXISTS (SELECT 1 FROM common c WHERE c.normal = p.normal AND c.host IS NOT DISTINCT FROM p.host) GROUP BY id),
+counted AS (SELECT doc_id, CAST(len(worded.words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(worded.words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(body, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(worded.lines) - len(list_distinct(worded.lines)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed.lines, 0) AS BIGINT) AS removed_lines, CAST(coalesce(removed.words, 0) AS BIGINT) AS removed_words
+  FROM worded LEFT JOIN covered USING (id) LEFT JOIN removed USING (id)),
+failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT *, NOT base_failed AND NOT (n_words - removed_words < {LEAST_WORDS} OR n_words - removed_words < {LEAST_SHARE} * n_words) AS kept FROM failed
+"""

@@ -70,4 +70,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_licenses": licenses.digest_sql(), "op9_mixing": mixing.ASSIGN_SQL}
+    return {
+        "op6_quality": quality.JUDGE_SQL,
+        "op7_licenses": licenses.digest_sql(),
+        "op9_mixing": mixing.ASSIGN_SQL,
+        "op10_secrets": secrets.digest_sql(),
+    }
