@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.lineage import checkpoint_folder  # noqa: F401
+from tidemark.lineage import settle as cut  # noqa: F401
+
 #: A word is a run of characters other than these six (space, \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,21 +16,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the files."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
     """Hand texts to Python workers in batches of so many rows and bytes at most, to bound a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
