@@ -106,6 +106,21 @@ def test_terms_that_disclose(spark):
     assert all(clean[i] == texts[i] for i in range(60))
 
 
+def test_terms_in_sql(spark, tmp_path):
+    import duckdb
+
+    texts = [f"common words number {i} stand here alone" for i in range(40)]
+    texts += [f"by {x} Quill wrote quill@pen.org {x} again" for x in ("old", "young", "old")] + ["Quill elsewhere 4111111111111111", None]
+    df = documents(spark, list(enumerate(texts)))
+    df.write.parquet(str(tmp_path / "d"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    found = pii.digest(df)
+    rows = sorted(tuple(r) for r in found.collect())
+    assert rows == sorted(duck.sql(f"SELECT {', '.join(found.columns)} FROM ({pii.digest_sql()})").fetchall())
+    assert sum(r[-1] for r in rows) > 3
+
+
 def test_sanitise_keeps_columns_and_nulls(spark):
     df = documents(spark, [(1, None), (None, "a@b.cc"), (2, ""), (2, "x a@b.cc 1.2.3.4"), (2, "x a@b.cc 1.2.3.4")]).withColumnRenamed("lang", "terms")
     out = pii.sanitise(df)

@@ -184,3 +184,41 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     cleaned = F.aggregate("pii_marks", begin, step, lambda now: F.concat(F.array_join(now["out"], ""), F.substring(body, now["at"] + 1, F.length(body))))
     return joined.withColumn(text, F.when(F.size("pii_marks") > 0, cleaned).otherwise(body)).select(*columns)
+
+
+def digest_sql() -> str:
+    digits = "regexp_replace(s.value, '[^0-9]', '', 'g')"
+    doubled = f"list_transform(string_split(reverse({digits}), ''), lambda d, i: CASE WHEN i % 2 = 1 THEN CAST(d AS INT) WHEN d > '4' THEN 2 * CAST(d AS INT) - 9 ELSE 2 * CAST(d AS INT) END)"
+    rules = (
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(s.value, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST(right(p, 3) AS INT) > 255)) = 0"),
+        (r"[0-9]([\x20-]?[0-9])+", f"length({digits}) BETWEEN 16 AND 19 AND list_sum({doubled}) % 10 = 0"),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 8 AND 15"),
+    )
+    found = ", ".join(
+        f"list_transform(list_filter({spans.find_sql('body', pattern)}, lambda s: {keep}), lambda s: {{'start': s.start, 'stop': s.start + length(s.value), 'kind': '{kind}', 'value': s.value}})"
+        for kind, (pattern, keep) in zip(KINDS, rules)
+    )
+    number = lambda kind: f"CAST(len(list_filter(base, lambda s: s.kind = '{kind}')) AS BIGINT) AS n_{kind}"
+    based = "array_to_string(list_transform(base, lambda s: s.kind || ':' || s.start || ':' || s.stop), ',')"
+    word = r"[\p{L}\p{N}]+"
+    return f"""WITH bodies AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS body FROM documents),
+based AS MATERIALIZED (SELECT id, doc_id, body, list_concat({found}) AS base FROM bodies),
+mentions AS (SELECT id, body, base, unnest(base) AS s FROM based),
+named AS (SELECT *, CASE s.kind WHEN 'email' THEN lower(s.value) WHEN 'ip' THEN s.value ELSE {digits} END AS entity, greatest(s.start - {NEAR}, 0) AS low FROM mentions),
+sides AS (SELECT id, base, s.kind AS kind, entity, low AS off, substring(body, low + 1, s.start - low) AS piece, low = 0 AS from_edge, true AS to_edge FROM named
+  UNION ALL SELECT id, base, s.kind, entity, s.stop, substring(body, s.stop + 1, {NEAR}), true, s.stop + {NEAR} >= length(body) FROM named),
+words AS (SELECT *, unnest({spans.find_sql('piece', word)}) AS t FROM sides),
+placed AS MATERIALIZED (SELECT id, kind, entity, lower(t.value) AS term, off + t.start AS start, off + t.start + length(t.value) AS stop FROM words
+  WHERE regexp_matches(t.value, '^\\p{{L}}') AND length(t.value) >= 3 AND (t.start > 0 OR from_edge) AND (t.start + length(t.value) < {NEAR} OR to_edge)
+    AND len(list_filter(base, lambda o: o.start < off + t.start + length(t.value) AND off + t.start < o.stop)) = 0),
+pairs AS (SELECT kind, entity, term, count(DISTINCT id) AS n FROM placed JOIN bodies USING (id) GROUP BY ALL HAVING count(DISTINCT body) > 1),
+entities AS (SELECT kind, entity, count(DISTINCT id) AS df_e FROM placed GROUP BY ALL),
+corpus AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(body), '{word}')) AS term FROM bodies),
+terms AS (SELECT term, count(*) AS df_t FROM corpus WHERE term IN (SELECT term FROM pairs) GROUP BY term),
+known AS (SELECT kind, entity, term FROM pairs JOIN entities USING (kind, entity) JOIN terms USING (term), (SELECT count(*) AS total FROM documents)
+  WHERE df_e < total AND log2(n * CAST(total AS DOUBLE) / (df_t * df_e)) / log2(CAST(total AS DOUBLE) / df_e) >= {GENERALISE}),
+marked AS (SELECT DISTINCT id, start, stop FROM placed JOIN known USING (kind, entity, term)),
+listed AS (SELECT id, string_agg('term:' || start || ':' || stop, ',' ORDER BY start, stop) AS added, count(*) AS n FROM marked GROUP BY id)
+SELECT doc_id, {', '.join(map(number, KINDS))}, sha256({based}) AS base_sha256,
+  concat_ws(',', nullif({based}, ''), added) AS spans, CAST(coalesce(n, 0) AS BIGINT) AS n_term FROM based LEFT JOIN listed USING (id)"""

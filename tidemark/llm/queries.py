@@ -71,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_pii": pii.digest_sql(),
         "op6_quality": quality.JUDGE_SQL,
         "op7_licenses": licenses.digest_sql(),
         "op9_mixing": mixing.ASSIGN_SQL,

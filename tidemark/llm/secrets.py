@@ -142,29 +142,22 @@ def _sql_pattern(pattern: str) -> str:
     return pattern.replace("]++", "]+").replace("]*+", "]*").replace(")*+", ")*").replace("}+", "}").replace("'", "''")
 
 
-def spans_sql(body: str, pattern: str) -> str:
-    """A list of structs (start, stop, value) of the matches."""
-    pieces, hits = f"string_split_regex({body}, '{pattern}')", f"regexp_extract_all({body}, '{pattern}')"
-    before = f"list_sum(list_transform({pieces}[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform({hits}[1:i-1], lambda h: length(h))), 0)"
-    return f"list_transform(range(1, len({hits}) + 1), lambda i: {{'start': CAST({before} AS BIGINT), 'value': {hits}[i]}})"
-
-
 def digest_sql() -> str:
     folded = ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api")) + "_?[kK][eE][yY]")
     assign = _sql_pattern(folded)
-    tag = lambda spans, kind, rank, keep: f"list_transform(list_filter({spans}, lambda s: {keep}), lambda s: {{'start': s.start, 'rank': {rank}, 'stop': s.start + length(s.value), 'kind': '{kind}', 'value': s.value}})"
+    tag = lambda found, kind, rank, keep: f"list_transform(list_filter({found}, lambda s: {keep}), lambda s: {{'start': s.start, 'rank': {rank}, 'stop': s.start + length(s.value), 'kind': '{kind}', 'value': s.value}})"
     allowed = " OR ".join(f"regexp_full_match(s.value, '{_sql_pattern(p)}')" for p in ALLOWED)
     entropy = f"list_max(list_transform(range(1, length(s.value) - {WINDOW} + 2), lambda j: list_aggregate(string_split(substring(s.value, j, {WINDOW}), ''), 'entropy')))"
     (hex_kind, hex_chars, hex_least), (kind, _, least) = CLASSES
     is_hex = f"regexp_full_match(s.value, '{_sql_pattern(hex_chars)}')"
-    joined = lambda spans: f"array_to_string(list_transform({spans}, lambda s: s.kind || ':' || s.start || ':' || s.stop), ',')"
+    joined = lambda found: f"array_to_string(list_transform({found}, lambda s: s.kind || ':' || s.start || ':' || s.stop), ',')"
     number = lambda kind: f"CAST(len(list_filter(base, lambda s: s.kind = '{kind}')) AS BIGINT) AS n_{kind}"
     return f"""WITH bodies AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 rules AS (SELECT doc_id, body, list_sort(list_concat(
-    {tag(spans_sql('body', assign), 'assign', 0, f"length(regexp_extract(s.value, '{assign}', 2)) >= {ASSIGN_LEAST}")},
-    {tag(spans_sql('body', _sql_pattern(ACCESS)), 'access', 1, 'true')},
-    {tag(spans_sql('body', _sql_pattern(HEX)), 'hex', 2, 'true')})) AS base FROM bodies),
-fresh AS (SELECT *, list_filter({spans_sql('body', _sql_pattern(CANDIDATE))}, lambda s: NOT ({allowed})
+    {tag(spans.find_sql('body', assign), 'assign', 0, f"length(regexp_extract(s.value, '{assign}', 2)) >= {ASSIGN_LEAST}")},
+    {tag(spans.find_sql('body', _sql_pattern(ACCESS)), 'access', 1, 'true')},
+    {tag(spans.find_sql('body', _sql_pattern(HEX)), 'hex', 2, 'true')})) AS base FROM bodies),
+fresh AS (SELECT *, list_filter({spans.find_sql('body', _sql_pattern(CANDIDATE))}, lambda s: NOT ({allowed})
     AND len(list_filter(base, lambda o: o.start < s.start + length(s.value) AND s.start < o.stop)) = 0) AS candidates FROM rules),
 judged AS (SELECT *, list_concat(
     {tag('candidates', hex_kind, 3, f"{is_hex} AND {entropy} >= {hex_least}")},

@@ -32,6 +32,7 @@ from pyspark.sql.types import LongType
 
 from tidemark.llm.common import bound_batches, cut
 from tidemark.llm.components import components
+from tidemark.operators.order import partitions_of
 
 SHINGLE = 3
 SEED = 42
@@ -119,12 +120,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     bound_batches(docs.sparkSession)
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    nodes = cut(nodes.repartition(partitions_of(nodes), "fp"))  # so many, as each of these small rows grows to thirty
     roots = components(links(nodes))
     joined = roots.join(nodes, roots.node == nodes.fp).select("node", "root", "least_id")
     least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = joined.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "component_id")
     # a fingerprint without links is a component of its own
-    classes = nodes.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    classes = cut(nodes.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
+    # the copies of one text meet their class in a join that can be split
     return rows.join(classes, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 

@@ -50,3 +50,10 @@ def joined(spans: Column) -> Column:
 
 def overlaps(span: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+
+
+def find_sql(body: str, pattern: str) -> str:
+    """A list of structs (start, value) of a pattern's matches in DuckDB's SQL."""
+    pieces, hits = f"string_split_regex({body}, '{pattern}')", f"regexp_extract_all({body}, '{pattern}')"
+    before = f"list_sum(list_transform({pieces}[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform({hits}[1:i-1], lambda h: length(h))), 0)"
+    return f"list_transform(range(1, len({hits}) + 1), lambda i: {{'start': CAST({before} AS BIGINT), 'value': {hits}[i]}})"
