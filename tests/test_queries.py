@@ -1,5 +1,8 @@
 """Every query with SQL gives the rows of its SQL on the smallest tables."""
 
+import os
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -7,9 +10,7 @@ import __spark_entry__ as entry
 from tidemark.plans.oracle import SQL
 from tidemark.plans.queries import QUERIES
 
-from conftest import TESTDATA
-
-FOLDER = TESTDATA / "sf0.001"
+FOLDER = Path(os.environ.get("TIDEMARK_TESTDATA", "/root/testdata"), "sf0.001")
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no test tables here")
 TABLES = ("nation", "part", "lineitem", "events", "documents")
 
