@@ -48,3 +48,9 @@ def test_digest(spark, library):
         expected.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
     assert found == sorted(expected)
     assert bpe.digest(documents(spark, []), PATH, PATTERN).count() == 0
+
+
+def test_encode_and_decode_apart(spark, library):
+    rows = list(enumerate(texts()[:40]))
+    both = bpe.decode(bpe.encode(documents(spark, rows), PATH, PATTERN), PATH).collect()
+    assert all(bytes(r.decoded) == (r.text or "").encode() and np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(r.text or "") for r in both)
