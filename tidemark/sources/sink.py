@@ -14,6 +14,7 @@ import shutil
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -53,15 +54,21 @@ def _shard_writer(folder: str, packed: bool, level: int):
                 done.append((*now, part, out.name, os.path.getsize(out.name), rows))
 
         for batch in batches:
-            idx, names, lines = (batch.column(i).to_pylist() for i in range(3))
-            for i, name, line in zip(idx, names, lines):
-                if (i, name) != now:
+            idx, lines = batch.column(0).to_numpy(), batch.column(2)
+            if not len(idx):
+                continue
+            # the lines of a batch lie end to end, so a bucket's run of lines is one stretch of bytes
+            _, at, data = lines.buffers()
+            at = np.frombuffer(at, np.int32)[lines.offset : lines.offset + len(idx) + 1]
+            cuts = [0, *(np.flatnonzero(np.diff(idx)) + 1).tolist(), len(idx)]
+            for begin, end in zip(cuts, cuts[1:]):
+                if int(idx[begin]) != (now and now[0]):
                     close()
-                    now, rows = (i, name), 0
-                    out = open(f"{folder}/{i}-{part}-{attempt}", "wb")
-                held += [line, b"\n"]
-                rows += 1
-                size += len(line) + 1
+                    now, rows = (int(idx[begin]), batch.column(1)[begin].as_py()), 0
+                    out = open(f"{folder}/{now[0]}-{part}-{attempt}", "wb")
+                held.append(data.slice(int(at[begin]), int(at[end] - at[begin])).to_pybytes())
+                rows += end - begin
+                size += len(held[-1])
                 if size >= _GATHER:
                     flush(False)
         close()
@@ -95,7 +102,7 @@ def write_sorted(df: DataFrame, folder: str, header: str, fmt: str = "bgzf", mer
     work = f"{folder}/.work-{uuid.uuid4().hex}"
     os.makedirs(work)
     try:
-        lines = total_order(df, partitions=partitions).select("bucket_idx", "bucket", F.col("line").cast("binary").alias("line"))
+        lines = total_order(df, partitions=partitions).select("bucket_idx", "bucket", F.concat("line", F.lit("\n")).cast("binary").alias("line"))
         shards = lines.mapInArrow(_shard_writer(work, packed, level), _SHARD).collect()  # a row for each shard
         shards.sort(key=lambda s: (s.bucket_idx, s.part))
         top = bgzf.compress(header.encode(), level) if packed else header.encode()
