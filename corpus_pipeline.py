@@ -40,8 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every use, packed as little-endian unsigned 32-bit integers, and whether they decode to the text."""
-    path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    both = bpe.decode(bpe.encode(docs, path, pattern), path)
+    both = bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     same = F.col("decoded").eqNullSafe(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     return both.select("doc_id", "source", bpe.count_ids().alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -31,7 +31,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tidemark.llm.common import bound_batches
 
@@ -250,11 +250,29 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", to: str = "decoded") ->
     return docs.withColumn(to, decoded(F.col(ids)))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the ids of ``text`` and the bytes they stand for; as ``encode`` and ``decode``, in one worker."""
+    bound_batches(docs.sparkSession)
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
+
+    @F.pandas_udf(StructType([StructField("ids", BinaryType()), StructField("decoded", BinaryType())]))
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(ranks.value, pattern)
+        token = encoder.ranks.token.__getitem__
+        for texts in batches:
+            packed = encoder.encode(texts.tolist())
+            back = [b"".join(map(token, np.frombuffer(p, "<u4").tolist())) for p in packed]
+            yield pd.DataFrame({"ids": pd.Series(packed, dtype=object), "decoded": pd.Series(back, dtype=object)})
+
+    found = docs.withColumn("bpe_both", both(F.col(text)))
+    return found.select(*docs.columns, F.col("bpe_both.ids").alias(ids), F.col("bpe_both.decoded").alias(decoded))
+
+
 def count_ids(ids: str = "ids"):
     return (F.octet_length(ids) / 4).cast("long")
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: the number of ids, their digest, and the digest of the decoded bytes."""
-    both = decode(encode(docs.select("doc_id", "text"), path, pattern), path)
+    both = round_trip(docs.select("doc_id", "text"), path, pattern)
     return both.select("doc_id", count_ids().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

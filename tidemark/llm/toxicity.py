@@ -8,8 +8,8 @@ Features are densities and rates only: lexicon density and strength, closeness
 of lexicon words to second-person words, capitals, punctuation, and obfuscation
 (words that mix letters with digits or symbols, and what they say once undone).
 
-At most ``SAMPLE`` labelled rows are used, those first in the order of a hash
-of their ids; this bounds what is broadcast and the fit.  Scores are computed
+About ``SAMPLE`` labelled rows are used at most, chosen by a hash of their ids;
+this bounds what is broadcast and the fit.  Scores are computed
 for all whole texts.
 
 Defined results: a null or empty text has features of zero and gets a score
@@ -50,7 +50,8 @@ _SECOND = frozenset(
 )
 _UNDO = str.maketrans("013457@$!*", "oieastasi.")
 _EDGES = ".,;:!?\"'()[]{}|-_`~<>/\\"
-_KEPT_WORDS = 1 << 20
+#: Tokens that a task keeps the facts of; beyond that it starts anew.
+_KEPT_TOKENS = 1 << 18
 
 
 def plain(token: str) -> str:
@@ -77,7 +78,7 @@ def lexicon(labelled: DataFrame) -> dict[str, float]:
 
 
 class _Tokens(dict):
-    """Numbers tokens and keeps a row of facts for each."""
+    """Numbers tokens; ``rows`` has the facts of those that are new."""
 
     FACTS = ("weight", "hit", "strong", "second", "caps", "upper", "letters", "punct", "calls", "odd", "undone", "stretched", "length")
 
@@ -120,14 +121,15 @@ class Features:
         self._forget()
 
     def _forget(self) -> None:
-        self.tokens, self.facts = _Tokens(self.words), np.zeros((0, len(_Tokens.FACTS)))
+        self.tokens, self.facts = _Tokens(self.words), np.zeros((0, len(_Tokens.FACTS)), np.float32)
 
     def of(self, texts: list[str | None]) -> list[list[float]]:
-        if len(self.tokens) > _KEPT_WORDS:
+        if len(self.tokens) > _KEPT_TOKENS:
             self._forget()
         number = self.tokens.__getitem__
-        codes = [np.fromiter(map(number, (t or "").split()), np.int64) for t in texts]
-        self.facts = np.concatenate([self.facts, np.array(self.tokens.rows[len(self.facts) :], float).reshape(-1, len(_Tokens.FACTS))])
+        codes = [np.fromiter(map(number, (t or "").split()), np.int32) for t in texts]
+        self.facts = np.concatenate([self.facts, np.array(self.tokens.rows, np.float32).reshape(-1, len(_Tokens.FACTS))])
+        self.tokens.rows.clear()
         return [self._row(c) for c in codes]
 
     def _row(self, codes: np.ndarray) -> list[float]:
@@ -135,7 +137,7 @@ class Features:
         if not n:
             return [0.0] * len(self.NAMES)
         facts = self.facts[codes]
-        total = dict(zip(_Tokens.FACTS, facts.sum(axis=0)))
+        total = dict(zip(_Tokens.FACTS, facts.sum(axis=0, dtype=float).tolist()))
         hits, second = np.flatnonzero(facts[:, 1]), np.flatnonzero(facts[:, 3])
         near = 0.0
         if len(hits) and len(second):
@@ -191,7 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Learn from the rows of ``labels`` (``doc_id`` and ``label``) outside the held-out fold."""
     usable = labels.filter(F.col(label).isNotNull() & in_training("doc_id", FOLDS, HELD_OUT))
     usable = usable.groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max(label).cast("int").alias("toxic"))
-    sample = usable.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(SAMPLE)
+    usable = cut(usable)
+    there = usable.count()
+    # about SAMPLE rows by a hash of the id, or all
+    sample = usable if there <= SAMPLE else usable.filter(F.pmod(F.xxhash64("labelled_id"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / there))
     rows = docs.select(F.col(doc_id).alias("labelled_id"), F.col(text).alias("text")).join(F.broadcast(sample), "labelled_id")
     rows = rows.withColumn("fold", F.crc32(F.encode(F.col("labelled_id").cast("string"), "UTF-8")) % FOLDS)
     words = lexicon(rows.filter(F.col("fold").isin(*LEXICON_FOLDS)))
