@@ -35,7 +35,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from tidemark.llm.common import cut
 
 TREES = 8
-#: Rows that fit the trees, first in the order of a hash of their ids.
+#: Rows that fit the trees, about, chosen by a hash of their ids.
 SAMPLE = 16_384
 #: Vectors in a leaf, about, and levels at most (more would leave a leaf too few of the sample).
 LEAF, DEEPEST = 512, 10
@@ -144,7 +144,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     alike = Window.partitionBy("v").orderBy("vec_id")
     indexed = cut(points.withColumn("place", F.row_number().over(alike)).filter(F.col("place") <= k + 1).select("vec_id", "v"))
     total = indexed.count()
-    sample = indexed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
+    share = F.lit(int((1 << 30) * min(1.0, SAMPLE / max(total, 1))))
+    sample = indexed.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).orderBy("vec_id").select("v").collect()
     rows = np.array([r.v for r in sample], float).reshape(len(sample), dimension)
     depth = min(DEEPEST, max(0, math.ceil(math.log2(max(total, 1) / LEAF))))
     forest = spark.sparkContext.broadcast(fit(rows, depth))  # TREES * 2**DEEPEST planes at most
