@@ -1,0 +1 @@
+"""Nothing yet: what is matched here has no streaming surface (see README)."""
