@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann
@@ -48,8 +49,9 @@ def test_small_and_odd_tables(spark):
     assert ann.search(frame(spark, []), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_blocks_of_a_leaf(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 40)
+@pytest.mark.parametrize("block", [40, 7])  # 7: the 15 queries are split too
+def test_blocks_of_a_leaf(spark, monkeypatch, block):
+    monkeypatch.setattr(ann, "BLOCK", block)
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(300, 8)).astype(np.float32).astype(float)
     found = {}

@@ -10,8 +10,9 @@ is scored exactly, and each query's best candidates of all leaves are merged.
 
 Vectors of high dimension without structure have no shortcuts: ``SEARCH`` is
 what takes recall to 0.95 on such data; structured vectors need
-far less.  Leaves with more than ``BLOCK`` vectors are split into blocks that
-are searched apart.  Of equal vectors only the ``k + 1`` smallest ids can be among
+far less.  Leaves with more than ``BLOCK`` vectors, or asked by more than
+``BLOCK`` queries, are split into blocks that are searched apart, each of the
+queries against each of the vectors.  Of equal vectors only the ``k + 1`` smallest ids can be among
 anyone's nearest, as ties go to smaller ids, so only these are indexed; this
 drops no answer.
 
@@ -158,7 +159,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     posted = cut(indexed.select("vec_id", "v", F.explode(leaves("v")).alias("leaf")))
     sizes = {r.leaf: r["count"] for r in posted.groupBy("leaf").count().collect()}  # TREES * 2**DEEPEST at most
     held = spark.sparkContext.broadcast(sizes)
-    blocks = spark.createDataFrame([(leaf, math.ceil(n / BLOCK)) for leaf, n in sizes.items()], "leaf int, blocks int")
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def visits(batch: pd.Series) -> pd.Series:
@@ -166,9 +166,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
         return pd.Series([trees.search(np.asarray(q, float), held.value, SEARCH * total) for q in batch], dtype=object)
 
     asked = points.filter("asked").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    asked = asked.select("query_id", "q", F.explode(visits("q")).alias("leaf")).join(F.broadcast(blocks), "leaf")
-    asked = asked.select("query_id", "q", "leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    posted = posted.join(F.broadcast(blocks), "leaf").select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"))
+    asked = cut(asked.select("query_id", "q", visits("q").alias("leaves")))
+    askers = {r.leaf: r["count"] for r in asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
+    parts = [(leaf, math.ceil(n / BLOCK), math.ceil(askers.get(leaf, 0) / BLOCK)) for leaf, n in sizes.items()]
+    parts = F.broadcast(spark.createDataFrame(parts, "leaf int, blocks int, shifts int"))  # a row for each leaf
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one_of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    asked = asked.select("query_id", "q", F.explode("leaves").alias("leaf")).join(parts, "leaf")
+    asked = asked.select("query_id", "q", "leaf", one_of("query_id", "shifts").alias("shift"), all_of("blocks").alias("block"))
+    posted = posted.join(parts, "leaf").filter("shifts > 0")
+    posted = posted.select("vec_id", "v", "leaf", one_of("vec_id", "blocks").alias("block"), all_of("shifts").alias("shift"))
 
     def meet(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         best, scores = [], []
@@ -180,7 +187,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
         asked_ids = queries["query_id"].to_numpy()[: len(best)].astype("int64")
         return pd.DataFrame({"query_id": asked_ids, "ids": pd.Series(best, dtype=object), "scores": pd.Series(scores, dtype=object)})
 
-    met = asked.groupBy("leaf", "block").cogroup(posted.groupBy("leaf", "block")).applyInPandas(meet, "query_id long, ids array<long>, scores array<double>")
+    met = asked.groupBy("leaf", "block", "shift").cogroup(posted.groupBy("leaf", "block", "shift")).applyInPandas(meet, "query_id long, ids array<long>, scores array<double>")
     # at most k + 1 from each leaf that a query visits, its own among them; a vector is in one leaf of each tree, so the k best are among the first k * TREES
     each = F.filter(F.zip_with("ids", "scores", lambda i, s: F.struct((-s).alias("below"), i.alias("vec_id"))), lambda x: x["vec_id"] != F.col("query_id"))
     merged = met.groupBy("query_id").agg(F.slice(F.array_distinct(F.slice(F.sort_array(F.flatten(F.collect_list(each))), 1, k * TREES)), 1, k).alias("best"))
