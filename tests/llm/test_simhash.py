@@ -72,3 +72,12 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 6]
     assert simhash.keep_one(documents(spark, [])).count() == 0
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_rows_that_repeat_or_lack_an_id_stay_by_their_group(spark):
+    near, alone = "One text of several words", "quite different content appears here"
+    others = ["a third thing that nobody wrote before", "some fourth matter of its own sort"]
+    rows = [(5, near), (7, near.upper()), (7, alone), *((None, t) for t in others), (None, others[0]), (None, others[0].upper()), (None, near)]
+    kept = {(r.doc_id, r.text.lower()) for r in simhash.keep_one(documents(spark, rows)).collect()}
+    assert simhash.keep_one(documents(spark, rows)).count() == 4
+    assert kept == {(5, near.lower()), (7, alone), *((None, t) for t in others)}

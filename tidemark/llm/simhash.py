@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidemark.llm.common import bound_batches, cut
+from tidemark.llm.common import bound_batches, cut, text_or_empty
 from tidemark.llm.components import components
 from tidemark.operators.order import partitions_of
 
@@ -132,12 +132,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, the one with the least id.
+    """``docs`` with one row of each group of near-duplicates, whatever ids the rows repeat or lack.
 
-    Rows that repeat an id are one document, of which one row stays.  Rows
-    without an id form one document, kept if no linked row has an id.
+    It is the row with the least id (rows without an id come last), then the
+    least hash of the text and of the whole row.  Rows that are equal in all of
+    these are copies of each other, of which one stays.
     """
-    found = near_duplicates(docs, doc_id, text)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("kept_id")), "left_semi")
-    return stay.dropDuplicates([doc_id])
+    bound_batches(docs.sparkSession)
+    hashed = [f"`{name}`" for name, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    keys = {"kept_id": F.col(doc_id), "kept_text": F.sha2(text_or_empty(text), 256), "kept_row": F.xxhash64(*hashed)}
+    rows = cut(docs.select(*(value.alias(name) for name, value in keys.items()), _fingerprints(F.col(text)).alias("fp")))
+    order = F.struct(F.col("kept_id").isNull().alias("without"), *keys)
+    nodes = rows.groupBy("fp").agg(F.min(order).alias("first"))
+    nodes = cut(nodes.repartition(partitions_of(nodes), "fp"))
+    roots = components(links(nodes)).withColumnRenamed("node", "fp")
+    kept = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.*")
+    known = kept.select(*(F.col(name).alias(f"{name}_of") for name in keys))
+    same = [F.col(name).eqNullSafe(F.col(f"{name}_of")) for name in keys]
+    return docs.withColumns(keys).join(known, same, "left_semi").dropDuplicates(list(keys)).drop(*keys)
