@@ -158,3 +158,13 @@ def test_secrets(spark):
 def test_redaction(spark):
     df = documents(spark, [(1, "x token=abcdefgh12 y"), (2, None), (3, "plain")]).withColumnRenamed("lang", "base_of")
     assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == ["x [SECRET] y", None, "plain"]
+
+
+def test_secrets_of_letters_alone(spark):
+    hidden = ["xKqPzWvBnMtRyLsDfGhJcEuXoTiQaN", "qWzXvBnM/tRyLsDfGhJ+cEuXoTiQaN==", "qzjxkvwpbnmtrlhgfdscyu", "KqPzWvBnMtRyLsDfGhJcEuX"]
+    words = ["internationalisation/characterization", "some-longish-name_of_many-words", "Donaudampfschifffahrt/Gesellschaft", "getAccountSettingsFromDatabase", "UNQUESTIONABLY_BACKWARD_JUMPING"]
+    rows = list(enumerate(f"see {t} there" for t in hidden + words))
+    found = {r.doc_id: r for r in secrets.digest(documents(spark, rows)).collect()}
+    assert [found[i].spans for i in range(len(hidden))] == [f"entropy_letters:4:{4 + len(t)}" for t in hidden]
+    assert all(found[i].n_entropy == 0 for i in range(len(hidden), len(rows)))
+    assert all(h not in r.text for r in secrets.redact(documents(spark, rows)).collect() for h in hidden)

@@ -6,7 +6,9 @@ sliding window: one fold over "character enters" and "character leaves" events
 keeps the counts of the window and the sum of c*log2(c), so each step costs the
 same however long the string is.  A candidate is a secret if the largest window
 entropy reaches the threshold of its character class and no allow-list pattern
-(natural words, numbers, UUIDs, paths of words) matches it whole.
+(words, numbers, UUIDs, paths of words) matches it whole.  Letters alone are
+no word yet: such candidates have a class with a threshold of its own, and are
+let go only if they are made of word-like parts.
 
 The work is one pass over each text without a shuffle.  Defined results: a null
 or empty text has no spans and the digest of the empty string; repeated rows
@@ -35,12 +37,21 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Character class, what makes a candidate belong to it (the first that fits), least entropy in bits.
 CLASSES = (("entropy_hex", r"[0-9A-Fa-f]++", 3.0), ("entropy_token", r"[A-Za-z0-9+/_=-]++", 3.75))
+#: Whole candidates that need no look at their entropy; the first of them holds for word-like letters only, see ``WORDS``.
 ALLOWED = (
     r"[A-Za-z]++(?:[-_/=+]++[A-Za-z]++)*+[-_/=+]*+",  # words, also joined ones and paths
     r"[-_/=+]*+[0-9]++(?:[-_/=+]++[0-9]++)*+[-_/=+]*+",  # numbers, dates, phone-like runs
     r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",  # UUIDs
     r"[-_/=+]++",  # rulers
 )
+#: The class of candidates of letters and joiners alone.
+LETTERS = ("entropy_letters", ALLOWED[0], 3.75)
+#: A part of one case or capitalised, of usual length, with a vowel and without six consonants in a row; such parts
+#: may follow each other with capitals, and parts of one or two letters may stand between joiners.
+_PART = r"(?![A-Za-z]?[b-df-hj-np-tv-xz]{6})(?=[A-Za-z]?[a-z]*[aeiouy]|[AEIOUY])[A-Za-z](?:(?![b-df-hj-np-tv-xz]{6})[a-z]){1,23}+(?![a-z])"
+_CAPITALS = r"(?=[A-Z]*[AEIOUY])(?:(?![B-DF-HJ-NP-TV-XZ]{6})[A-Z]){2,24}+(?![A-Za-z])"
+_PIECE = rf"(?:[A-Za-z]{{1,2}}(?![A-Za-z])|{_CAPITALS}|(?:{_PART})++)"
+WORDS = rf"[-_/=+]*+{_PIECE}(?:[-_/=+]++{_PIECE})*+[-_/=+]*+"
 #: Sums of c*log2(c) are kept as integers of this fraction of a bit, so that leaving undoes entering exactly.
 _UNIT = 1_000_000
 _TERMS = [round(_UNIT * c * math.log2(c)) if c else 0 for c in range(WINDOW + 1)]
@@ -78,10 +89,10 @@ def _whole(value: Column, pattern: str) -> Column:
 def _class_of(value: Column) -> Column:
     """The class of a candidate that the entropy condemns, else null."""
     allowed = F.lit(False)
-    for pattern in ALLOWED:
+    for pattern in (WORDS, *ALLOWED[1:]):
         allowed = allowed | _whole(value, pattern)
     kind = F.lit(None).cast("string")
-    for name, chars, least in reversed(CLASSES):
+    for name, chars, least in (CLASSES[1], LETTERS, CLASSES[0]):
         kind = F.when(_whole(value, chars), F.when(window_entropy(value) >= least, F.lit(name))).otherwise(kind)
     return F.when(~allowed, kind)
 
@@ -99,8 +110,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     found = docs.withColumns({"secret_base": F.array_sort(base), "secret_candidates": spans.find(body, CANDIDATE)})
     fresh = F.filter("secret_candidates", lambda s: ~spans.overlaps(s, F.col("secret_base")))
     judged = F.transform(fresh, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _class_of(s["value"]).alias("kind")))
-    ranks = {name: 3 + i for i, (name, _, _) in enumerate(CLASSES)}
-    rank = lambda kind: F.when(kind == CLASSES[0][0], ranks[CLASSES[0][0]]).otherwise(ranks[CLASSES[1][0]])
+    names = [name for name, _, _ in (*CLASSES, LETTERS)]
+    rank = lambda kind: 2 + F.array_position(F.array(*map(F.lit, names)), kind).cast("int")
     added = F.transform(
         F.filter(judged, lambda s: s["kind"].isNotNull()),
         lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")),
