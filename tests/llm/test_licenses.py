@@ -38,3 +38,52 @@ def test_columns_stay(spark):
     out = licenses.scan(documents(spark, [(1, "Released under the MIT License.")]).withColumnRenamed("lang", "found"))
     row = out.first()
     assert out.columns[:5] == ["doc_id", "text", "found", "source", "n_chars"] and row.licenses == ["MIT"] and row.license_sentences == ["mit-ref"]
+
+
+APACHE = '''Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.'''
+GPL = '''This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.'''
+GPL2 = GPL.replace("software:", "software;").replace("version 3", "version 2").replace("program.  If", "program; if")
+MPL = '''This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.'''
+NOTICES = {
+    "Apache-2.0": (APACHE, "apache-ref,apache-may-not,apache-copy,apache-as-is,apache-see"),
+    "GPL-3.0-or-later": (GPL, "gpl-free,gpl-hope,gpl-details,gpl-received"),
+    "GPL-2.0-or-later": (GPL2, "gpl2-free,gpl-hope,gpl-details,gpl-received"),
+    "MPL-2.0": (MPL, "mpl-ref"),
+}
+
+
+def test_standard_notices(spark):
+    wraps = (str, lambda t: t.replace("\n\n", "\n"), lambda t: " ".join(t.split()))
+    signs = [lambda t, s=s: "\n".join(s + line for line in t.split("\n")) for s in ("# ", " * ", "// ", "; ")]
+    texts = [(name, wrap(f"Copyright 2020 Someone\n\n{notice}\n\nimport os\n"), ids) for name, (notice, ids) in NOTICES.items() for wrap in (*wraps[:2], *signs)]
+    texts += [(name, wraps[2](notice), ids) for name, (notice, ids) in NOTICES.items()]
+    rows = {r.doc_id: r for r in licenses.digest(documents(spark, [(i, t) for i, (_, t, _) in enumerate(texts)])).collect()}
+    assert [(rows[i].licenses, rows[i].sentence_ids) for i in range(len(texts))] == [(name, ids) for name, _, ids in texts]
+
+
+def test_sentences_end_at_marks(spark):
+    texts = ["work released under the MIT license", "Released under the MIT license text", "a|Released under the MIT License.", "1. Redistributions of source code"]
+    assert all(r.n_sentences == 0 for r in licenses.digest(documents(spark, list(enumerate(texts)))).collect())

@@ -1,8 +1,10 @@
 """Licence scans by sentence rules.
 
-A text is split into sentences; each is normalised (letters and digits, lower
-case, single spaces) and mapped to the identifier of a known licence sentence,
-if it is one.  The identifiers of a text, in order and without what stands
+A text is normalised (letters and digits, lower case, single spaces) with a mark
+at every stop, colon, semicolon and line break.  A known licence sentence is
+found where it begins and ends at a mark, whatever marks lie inside: notices
+are wrapped, stand behind comment signs, and hold colons, semicolons and stops
+themselves.  Each is mapped to its identifier.  The identifiers of a text, in order and without what stands
 between them, are matched against licence rules, each a sequence of
 identifiers.  Rules are tried in order, the longer before the shorter, and what
 a rule has matched is used up, so that a whole licence isn't also reported as
@@ -95,22 +97,35 @@ BREAK = r"[.!?][\x20\x09-\x0D]+|[.!?]$|[:;]|\n[\x20\x09\x0B-\x0D]*\n"
 LINE = r"\n"
 
 
-def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(sentence, "[^A-Za-z0-9]+", " ")), "^ *[0-9]+ (?=redistributions|neither)", ""))
+#: Other forms in which known sentences stand in the standard notices.
+FORMS = {
+    "licensed under the apache license version 2 0 the license": "apache-ref",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-copy",
+}
+#: The address in the Apache notice has no stop; where the notice stands in one line, a blank ends it.
+ADDRESS = r"[\x20\x09](?<=/LICENSE-2\.0.)"
+_MARK = "|"
+
+
+def _marked(text: Column) -> Column:
+    """The normal form of a text, with a mark at its ends and wherever a sentence or line may end."""
+    marks = F.regexp_replace(F.translate(text, _MARK, " "), f"{BREAK}|{LINE}|{ADDRESS}", _MARK)
+    words = F.lower(F.regexp_replace(marks, "[^A-Za-z0-9|]+", " "))
+    return F.concat(F.lit(_MARK), F.regexp_replace(words, r" ?\|[ |]*", _MARK), F.lit(_MARK))
 
 
-def _known(text: Column, pattern: str) -> Column:
-    ids = F.create_map(*(F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)))
-    return F.filter(F.transform(F.split(text, pattern, -1), lambda s: F.element_at(ids, _normal(s))), lambda x: x.isNotNull())
+def _known(text: Column) -> Column:
+    """The identifiers of the known sentences of a text, in order."""
+    forms = {sentence: name for name, sentence in SENTENCES.items()} | FORMS
+    either = "|".join(sentence.replace(" ", "[ |]") for sentence in sorted(forms, key=len, reverse=True))
+    pattern = rf"(?<=\| ?)(?:[0-9]+ (?=redistributions|neither))?+({either})(?= ?\|)"
+    ids = F.create_map(*(F.lit(x) for pair in forms.items() for x in pair))
+    return F.transform(F.regexp_extract_all(_marked(text), F.lit(pattern), F.lit(1)), lambda s: F.element_at(ids, F.translate(s, _MARK, " ")))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``license_sentences`` (identifiers in order) and ``licenses`` (by rule, each once)."""
-    body = text_or_empty(text)
-    by_stop, by_line = _known(body, BREAK), _known(body, LINE)
-    found = docs.withColumns({"license_stops": by_stop, "license_lines": by_line})
-    sentences = F.when(F.size("license_lines") > F.size("license_stops"), F.col("license_lines")).otherwise(F.col("license_stops"))
-    found = found.withColumn("license_sentences", sentences).drop("license_stops", "license_lines")
+    found = docs.withColumn("license_sentences", _known(text_or_empty(text)))
     found = found.withColumn("license_left", F.concat(F.lit(";"), F.array_join("license_sentences", ";"), F.lit(";")))
     columns = docs.columns
     for i, (_, sequence) in enumerate(RULES):
