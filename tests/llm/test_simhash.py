@@ -22,6 +22,12 @@ def test_fingerprints():
         assert simhash.fingerprint_of(text) == brute_fingerprint(text)
 
 
+def test_a_text_of_many_stretches(monkeypatch):
+    monkeypatch.setattr(simhash, "_STRETCH", 7)
+    for text in ("a b c d e f g h i j", "one  two\n\n three ", "x" * 30, "x" * 30 + " y", " " * 40, "ab " * 9 + "x" * 20 + " yz" * 9):
+        assert simhash.fingerprint_of(text) == brute_fingerprint(text)
+
+
 def test_links_are_all_within_two_bits(spark):
     rng = random.Random(1)
     values = {0, (1 << 64) - 1, 1, 3, 7, 1 << 63, (1 << 63) | 1}
@@ -66,7 +72,7 @@ def test_near_duplicates(spark):
 
 def test_one_of_each_group_stays(spark):
     rows = [(4, "same text of several words"), (2, "same text of several words"), (2, "same text of several words"), (6, "quite different content appears here"), (None, "quite different content appears here")]
-    df = documents(spark, rows).withColumnsRenamed({"lang": "fingerprint"})
+    df = documents(spark, rows).withColumnsRenamed({"lang": "fp", "n_chars": "key", "source": "kept_id"})
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [2, 6]

@@ -21,6 +21,8 @@ table gives no rows; other columns of the input are not read.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -36,21 +38,41 @@ from tidemark.operators.order import partitions_of
 
 SHINGLE = 3
 SEED = 42
-_BLOCK = 1 << 16
+_BLOCK = 1 << 14
+_BLANK = re.compile(rb"[ \t-\r]")
+#: Bytes of a text that are split into words at a time, about.
+_STRETCH = 1 << 20
+#: So many crowded cells at most are broadcast, 8 bytes each; more meet the fingerprints in a shuffle.
+BROADCAST_CELLS = 500_000
+
+
+def _word_runs(octets: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in runs, so that a very long text is never all split at once."""
+    begin = 0
+    while len(octets) - begin > _STRETCH:
+        blank = _BLANK.search(octets, begin + _STRETCH)
+        if blank is None:
+            break
+        yield octets[begin : blank.start()].split()
+        begin = blank.end()
+    yield octets[begin:].split()
 
 
 def fingerprint_of(text: str | None) -> int:
     """The fingerprint of one text as an unsigned integer."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, and the six ASCII blanks
-    if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)))) if len(words) >= SHINGLE else [b" ".join(words)]
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), _BLOCK):
-        octets = hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    ones, total, held = np.zeros(64, np.int64), 0, []
+    for words in _word_runs((text or "").encode().lower()):  # bytes: A-Z only, and the six ASCII blanks
+        words = held + words
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
+        hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), np.uint64)
+        for at in range(0, len(hashes), _BLOCK):
+            octets = hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += len(hashes)
+        held = words[1 - SHINGLE :]
+    if not total:
+        return xxhash.xxh64_intdigest(b" ".join(held), seed=SEED) if held else 0
+    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
 @F.pandas_udf(LongType())
@@ -105,8 +127,8 @@ def links(fps: DataFrame) -> DataFrame:
     """Star edges ``u``, ``v`` that connect exactly the fingerprints (distinct, column ``fp``) within two bits."""
     points = fps.select("fp", embedding(F.col("fp")).alias("point"))
     placed = points.select("fp", "point", F.explode(_cells(F.col("point"))).alias("cell"))
-    crowded = placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    candidates = placed.join(crowded, "cell", "left_semi")
+    crowded = cut(placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell"))
+    candidates = placed.join(F.broadcast(crowded) if crowded.count() <= BROADCAST_CELLS else crowded, "cell", "left_semi")
     verified = cut(candidates.select("fp", F.explode(_centres(F.col("fp"), F.col("point"), F.col("cell"))).alias("centre")))
     hubs = verified.groupBy("centre").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).filter("hub != last")
     return verified.join(hubs, "centre").filter("fp != hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
@@ -117,7 +139,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     The component id is the least id reachable over links of two bits or fewer.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 500, "4m")
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     nodes = cut(nodes.repartition(partitions_of(nodes), "fp"))  # so many, as each of these small rows grows to thirty
@@ -138,15 +160,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     least hash of the text and of the whole row.  Rows that are equal in all of
     these are copies of each other, of which one stays.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 500, "4m")
     hashed = [f"`{name}`" for name, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    keys = {"kept_id": F.col(doc_id), "kept_text": F.sha2(text_or_empty(text), 256), "kept_row": F.xxhash64(*hashed)}
-    rows = cut(docs.select(*(value.alias(name) for name, value in keys.items()), _fingerprints(F.col(text)).alias("fp")))
-    order = F.struct(F.col("kept_id").isNull().alias("without"), *keys)
-    nodes = rows.groupBy("fp").agg(F.min(order).alias("first"))
+    keys = {"id": F.col(doc_id), "text": F.sha2(text_or_empty(text), 256), "row": F.xxhash64(*hashed)}
+    key = F.struct(F.col(doc_id).isNull().alias("without"), *(value.alias(name) for name, value in keys.items()))
+    rows = cut(docs.select(key.alias("key"), _fingerprints(F.col(text)).alias("fp")))
+    nodes = rows.groupBy("fp").agg(F.min("key").alias("first"))
     nodes = cut(nodes.repartition(partitions_of(nodes), "fp"))
     roots = components(links(nodes)).withColumnRenamed("node", "fp")
-    kept = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.*")
-    known = kept.select(*(F.col(name).alias(f"{name}_of") for name in keys))
-    same = [F.col(name).eqNullSafe(F.col(f"{name}_of")) for name in keys]
-    return docs.withColumns(keys).join(known, same, "left_semi").dropDuplicates(list(keys)).drop(*keys)
+    kept = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first")
+    keyed = docs.select(F.struct("*").alias("doc"), key.alias("key"))  # packed, so that no name of the table can clash
+    same = [F.col(f"key.{name}").eqNullSafe(F.col(f"first.{name}")) for name in keys]
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["key"]).select("doc.*")
