@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from tidemark.llm import pii, secrets
@@ -64,54 +65,83 @@ def test_personal_data(spark):
         assert rows[i].spans.startswith(joined)
 
 
+def entities_of(text):
+    """(kind, entity) of every value and of its class."""
+    found = set()
+    for kind, a, b in pii_base(text):
+        digits = re.sub("[^0-9]", "", text[a:b])
+        value = text[a:b].lower() if kind in ("email", "ip") else digits
+        part = {"email": value.rpartition("@")[2], "ip": value.rpartition(".")[0], "card": digits[:6], "phone": digits[:5]}[kind]
+        found |= {(kind, value), (f"{kind} class", part)}
+    return found
+
+
 def disclosing(texts):
-    """Pairs of term and entity, by the definition."""
-    n, terms, entities, pairs, seen = len(texts), Counter(), Counter(), Counter(), {}
-    placed = []
+    """Per text the spans of its disclosing terms, with their shares, by the definition."""
+    word = r"(?<![^\W_])[^\W\d_][^\W_]{2,}"
+    corpus = set(texts)
+    with_term, with_entity, with_both = {}, {}, {}
+    outside = lambda t: [m for m in re.finditer(word, t) if not any(a < m.end() and m.start() < b for _, a, b in pii_base(t))]
+    for t in corpus:
+        for w in {m[0].lower() for m in re.finditer(word, t)}:
+            with_term.setdefault(w, set()).add(t)
+        for e in entities_of(t):
+            with_entity.setdefault(e, set()).add(t)
+            for w in {m[0].lower() for m in outside(t)}:
+                with_both.setdefault((e, w), set()).add(t)
+    share = {}
+    for (e, w), both in with_both.items():
+        if len(both) >= pii.SUPPORT and len(with_entity[e]) < len(corpus):
+            share[e, w] = round(math.log2(len(both) * len(corpus) / (len(with_term[w]) * len(with_entity[e]))) / math.log2(len(corpus) / len(with_entity[e])), 9)
+    found = []
     for t in texts:
-        terms.update({m[0] for m in re.finditer(r"(?<![^\W_])[^\W\d_][^\W_]{2,}", t.lower())})
-        base, near = pii_base(t), set()
-        for kind, a, b in base:
-            entity = (kind, t[a:b].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", t[a:b]))
-            for m in re.finditer(r"(?<![^\W_])[^\W\d_][^\W_]{2,}", t):
-                inside = a - pii.NEAR < m.start() and m.end() < b + pii.NEAR or a - pii.NEAR <= 0 <= m.start() and m.end() <= a or m.end() <= len(t) <= b + pii.NEAR and m.start() >= b
-                if inside and not any(x < m.end() and m.start() < y for _, x, y in base):
-                    near.add((entity, m[0].lower(), m.span()))
-        placed.append(near)
-        entities.update({e for e, _, _ in near})
-        for p in {(e, w) for e, w, _ in near}:
-            pairs[p] += 1
-            seen.setdefault(p, set()).add(t)
-    share = {(e, w): math.log2(c * n / (terms[w] * entities[e])) / math.log2(n / entities[e]) for (e, w), c in pairs.items() if len(seen[e, w]) > 1 and entities[e] < n}
-    return [{(s, share[e, w]) for e, w, s in near if share.get((e, w), 0) >= pii.GENERALISE} for near in placed]
+        best = {m.span(): max((share.get((e, m[0].lower()), 0) for e in entities_of(t)), default=0) for m in outside(t)}
+        found.append({at: s for at, s in best.items() if s >= pii.GENERALISE})
+    return found
 
 
-def test_terms_that_disclose(spark):
+def disclosing_texts():
     filler = "the quick brown fox jumps over lazy dogs while rain falls on the plain".split()
     rng = random.Random(4)
     words = lambda n: " ".join(rng.choice(filler) for _ in range(n))
     texts = [words(30) for _ in range(60)]
-    texts += [f"{words(20)} contact Zebulon at zeb{'.x' * 0}@corp.example.com {words(20)} {i}" for i in range(4)]
-    texts += [f"{words(9)} server Atlas 10.1.2.3 {words(12)} {i}" for i in range(3)] + ["Atlas is mentioned elsewhere " + words(5)]
+    texts += [f"{words(20)} contact Zebulon at zeb@corp.example.com {words(20)} {i}" for i in range(4)]
+    texts += [f"Atlas {words(40)} server 10.1.2.{i} {words(12)} {i}" for i in range(4)] + ["Atlas is mentioned elsewhere " + words(5)]  # far from the value, and told by its class
+    texts += [f"{words(8)} mail common@shared.net {words(30)} {i}" for i in range(38)] + [f"Quark {words(3)} common@shared.net {words(20)} {i}{i}" for i in range(3)] + [f"Quark once more {words(6)} {i}" for i in range(2)]
+    return texts + texts[60:64] + [None, ""]
+
+
+def test_terms_that_disclose(spark):
+    texts = disclosing_texts()
     df = documents(spark, list(enumerate(texts)))
     rows = {r.doc_id: r for r in pii.digest(df).collect()}
-    expected = disclosing(texts)
+    expected = disclosing([t or "" for t in texts])
     for i, t in enumerate(texts):
-        spans = sorted({(a, b) for (a, b), _ in expected[i]})
         found = [tuple(map(int, s.split(":")[1:])) for s in rows[i].spans.split(",") if s.startswith("term")]
-        assert found == spans, t
-    assert any("Zebulon" in t[a:b] for t, e in zip(texts, expected) for (a, b), _ in e)
+        assert found == sorted(expected[i]), t
+    marked = {t[a:b] for t, e in zip(texts, expected) for a, b in e}
+    assert {"Zebulon", "contact", "Atlas", "server"} <= marked and "Quark" not in marked
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert not any("Zebulon" in clean[i] or "@" in clean[i] or "10.1.2.3" in clean[i] for i in range(60, 67))
-    assert all(clean[i] == texts[i] for i in range(60))
+    for i, t in enumerate(texts):
+        if t is not None:
+            marks = {(a, b): f"[{kind.upper()}]" for kind, a, b in pii_base(t)} | {(a, b): "" if s >= pii.REMOVE else "[NAME]" if t[a].isupper() else "[WORD]" for (a, b), s in expected[i].items()}
+            for (a, b), mark in sorted(marks.items(), reverse=True):
+                t = t[:a] + mark + t[b:]
+        assert clean[i] == t
+
+
+def test_an_entity_counts_wherever_it_stands(spark):
+    """A term in few of the entity's texts discloses little, however seldom it stands elsewhere."""
+    texts = [f"plain text {i} of no interest at all" for i in range(60)] + [f"{i} bob@corp.org" for i in range(38)] + [f"Quark with bob@corp.org {i}" for i in range(4)] + [f"Quark alone {i}" for i in range(2)]
+    found = pii.digest(documents(spark, list(enumerate(texts)))).agg({"n_term": "sum"}).first()[0]
+    assert found == sum(map(len, disclosing(texts)))
+    assert not any("Quark" in t[a:b] for t, e in zip(texts, disclosing(texts)) for a, b in e)
 
 
 def test_terms_in_sql(spark, tmp_path):
     import duckdb
 
-    texts = [f"common words number {i} stand here alone" for i in range(40)]
-    texts += [f"by {x} Quill wrote quill@pen.org {x} again" for x in ("old", "young", "old")] + ["Quill elsewhere 4111111111111111", None]
-    df = documents(spark, list(enumerate(texts)))
+    df = documents(spark, list(enumerate(disclosing_texts() + ["+49 30 1234567 and 4111 1111 1111 1111"] * 2 + ODD)))
     df.write.parquet(str(tmp_path / "d"))
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
@@ -121,12 +151,44 @@ def test_terms_in_sql(spark, tmp_path):
     assert sum(r[-1] for r in rows) > 3
 
 
+def test_the_same_without_broadcasts(spark, monkeypatch):
+    from tidemark.llm import common
+
+    df = documents(spark, list(enumerate(disclosing_texts())))
+    expected = sorted(map(tuple, pii.digest(df).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    assert sorted(map(tuple, pii.digest(df).collect())) == expected
+
+
 def test_sanitise_keeps_columns_and_nulls(spark):
-    df = documents(spark, [(1, None), (None, "a@b.cc"), (2, ""), (2, "x a@b.cc 1.2.3.4"), (2, "x a@b.cc 1.2.3.4")]).withColumnRenamed("lang", "terms")
+    df = documents(spark, [(1, None), (None, "a@b.cc"), (2, ""), (2, "x a@b.cc 1.2.3.4"), (2, "x a@b.cc 1.2.3.4")]).withColumnsRenamed({"lang": "doc", "source": "base", "n_chars": "marks"})
     out = pii.sanitise(df)
-    assert out.columns == df.columns
+    assert out.columns == df.columns and out.schema["marks"].dataType == df.schema["marks"].dataType
     assert sorted(map(str, (r.text for r in out.collect()))) == sorted(["None", "[EMAIL]", "", "x [EMAIL] [IP]", "x [EMAIL] [IP]"])
-    assert pii.digest(documents(spark, [])).count() == 0
+    assert pii.digest(documents(spark, [])).count() == 0 and pii.sanitise(documents(spark, [])).count() == 0
+
+
+def in_time(seconds, query):
+    began = time.perf_counter()
+    rows = query()
+    assert time.perf_counter() - began < seconds
+    return rows
+
+
+def test_a_megabyte_of_matches(spark):
+    texts = ["123 456.7 " * 100_000, "4111111111111111 x " * 55_000, "ab@cd.ef " * 110_000, "+49 30 1234567x" * 66_000, "1.2.3.4, " * 110_000, "é" * 1_000_000]
+    rows = {r.doc_id: r for r in in_time(120, lambda: pii.digest(documents(spark, list(enumerate(texts)))).collect())}
+    for i, text in enumerate(texts):
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in pii_base(text)).encode()).hexdigest()
+    clean = in_time(120, lambda: {r.doc_id: r.text for r in pii.sanitise(documents(spark, list(enumerate(texts)))).collect()})
+    assert clean[2] == "[EMAIL] " * 110_000 and clean[4] == "[IP], " * 110_000 and clean[5] == texts[5]
+    texts = ["token=abcdefgh12 " * 60_000, "qW3eR5tY7uI9oP1aS2dF4gH6jK8lZ0xC " * 30_000, f"{'0123456789abcdef' * 2} " * 30_000, "AKIA" + "Z1" * 500_000]
+    rows = {r.doc_id: r for r in in_time(240, lambda: secrets.digest(documents(spark, list(enumerate(texts)))).collect())}
+    for i, text in enumerate(texts):
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in secret_base(text)).encode()).hexdigest()
+    assert rows[1].n_entropy == 30_000
+    clean = in_time(240, lambda: {r.doc_id: r.text for r in secrets.redact(documents(spark, list(enumerate(texts)))).collect()})
+    assert clean[0] == "[SECRET] " * 60_000 and clean[1] == "[SECRET] " * 30_000 and clean[3] == "[SECRET]"
 
 
 def test_secrets(spark):

@@ -22,6 +22,17 @@ def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+#: What may be broadcast, as counted before: rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 1 << 24
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (settled, as it is counted) with a hint to broadcast it if it has few rows and bytes."""
+    octets = sum((F.octet_length(F.col(name).cast("string")) for name in df.columns), F.lit(0))
+    size = df.agg(F.count("*").alias("rows"), F.sum(octets).alias("octets")).first()
+    return F.broadcast(df) if size.rows <= BROADCAST_ROWS and (size.octets or 0) <= BROADCAST_BYTES else df
+
+
 def in_training(doc_id: Column | str, folds: int, held_out: int) -> Column:
     """Whether crc32 of the id as text, modulo ``folds``, isn't ``held_out``.
 

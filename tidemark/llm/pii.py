@@ -1,25 +1,29 @@
 """Personal data by rules, and terms that give it away by corpus co-occurrence; SQL functions only.
 
-Four rules find e-mail addresses, IP addresses, card numbers and phone numbers;
-each distinct value is a protected entity.  Beyond them, the words within
-``NEAR`` characters of a protected value are candidate terms.  Over the whole
-corpus, with N documents, df(e) and df(t) documents that hold an entity or a
-term, and n documents where the term stands near the entity,
+Four rules find e-mail addresses, IP addresses, card numbers and phone numbers.
+Each distinct value is a protected entity, and so is the class of a value, which
+says part of it: the domain of an address, the network of an IP address, the
+issuer of a card, the area of a phone number.  Beyond the values, any word of a
+text that holds one may give an entity away.  Counted over the distinct texts of
+the corpus, N in all, with df(e) that hold an entity, df(t) that hold a term and
+n that hold both,
 
     IC(e) = log2(N / df(e))              what knowing the entity would tell,
     PMI(t, e) = log2(n N / (df(t) df(e)))  what the term tells of the entity,
 
 and PMI / IC is the share of the entity that the term discloses (as in the
-C-sanitized model of Sanchez and Batet).  A term at ``GENERALISE`` or more is
-generalised to its shape where it stands near the entity, at ``REMOVE`` or more
-it is removed.  A pair must be seen in two different texts, so that one text
-and its exact copies are not evidence.
-
-All counts are partial aggregations; texts are not shuffled to find spans, and
-once, with their own spans, to rewrite them.  Defined results: a null or empty
+C-sanitized model of Sanchez and Batet).  In the texts of the entity, each
+occurrence of a term at ``GENERALISE`` or more is generalised to its shape, at
+``REMOVE`` or more it is removed.  Copies of a text are one piece of evidence,
+and ``SUPPORT`` different texts must hold the pair: a value that stands in fewer
+is protected by its class alone.
+
+All counts are partial aggregations.  Texts are never shuffled: only those that
+hold a value are written down with their words, and words are counted after
+those that can't disclose anything are gone.  Defined results: a null or empty
 text has no spans and the digest of the empty string (``sanitise`` leaves it as
-it is); repeated rows give repeated results; rows without an id are told apart
-by their texts; other columns are kept by ``sanitise``.
+it is); repeated rows give repeated results; rows may lack or repeat ids; other
+columns, whatever their names, are kept by ``sanitise``.
 """
 
 from __future__ import annotations
@@ -28,19 +32,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import spans
-from tidemark.llm.common import cut, sha256_hex, text_or_empty
+from tidemark.llm.common import cut, sha256_hex, small, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: A match can only begin where a run of its first characters begins, or right after another match.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?+[0-9])++"
+#: Whole runs of 16 to 19 digits; a shorter or longer run is matched as a whole and fails.
+CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){15,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}+"
-#: Characters on either side of a protected value that count as near it.
-NEAR = 60
+#: Different texts that a pair of term and entity needs.
+SUPPORT = 3
 GENERALISE, REMOVE = 0.75, 0.95
+#: First digits of a card or a phone number that say its issuer or area.
+ISSUER, AREA = 6, 5
 
 
 def _digits(value: Column) -> Column:
@@ -59,96 +66,78 @@ def _valid_ip(value: Column) -> Column:
     return F.forall(parts, lambda part: (F.length(part) < 3) | ((F.length(part) == 3) & (part <= "255")))
 
 
-def base_spans(text: Column) -> Column:
-    """The rules' spans as structs (rank, start, end, kind, value), by kind, then by start."""
+def base_spans(text: str) -> Column:
+    """The rules' spans of a column as structs (rank, start, end, kind, value), by kind, then by start."""
     email = spans.find(text, EMAIL, "@")
     ip = F.filter(spans.find(text, IP, "."), lambda s: _valid_ip(s["value"]))
-    long_enough = F.filter(spans.find(text, CARD), lambda s: F.length(_digits(s["value"])).between(16, 19))
-    card = F.filter(long_enough, lambda s: luhn(_digits(s["value"])))
+    card = F.filter(spans.find(text, CARD), lambda s: luhn(_digits(s["value"])))
     phone = F.filter(spans.find(text, PHONE, "+"), lambda s: F.length(_digits(s["value"])).between(8, 15))
     return F.concat(*(spans.ranked(kind, i, found) for i, (kind, found) in enumerate(zip(KINDS, (email, ip, card, phone)))))
 
 
-def _near(text: Column, s: Column, base: Column) -> Column:
-    """The terms near a span, as structs (kind, entity, term, start, end)."""
-    low = F.greatest(s["start"] - NEAR, F.lit(0))
-    left = F.transform(
-        F.filter(spans.find(F.substring(text, low + 1, s["start"] - low), TERM), lambda t: (t["start"] > 0) | (low == 0)),
-        lambda t: F.struct((t["start"] + low).alias("start"), (t["end"] + low).alias("end"), t["value"].alias("value")),
-    )
-    after = F.substring(text, s["end"] + 1, F.lit(NEAR))
-    right = F.transform(
-        F.filter(spans.find(after, TERM), lambda t: (t["end"] < NEAR) | (s["end"] + NEAR >= F.length(text))),
-        lambda t: F.struct((t["start"] + s["end"]).alias("start"), (t["end"] + s["end"]).alias("end"), t["value"].alias("value")),
-    )
-    entity = F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"]))
-    return F.transform(
-        F.filter(F.concat(left, right), lambda t: ~spans.overlaps(t, base)),
-        lambda t: F.struct(s["kind"].alias("kind"), entity.alias("entity"), F.lower(t["value"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")),
-    )
+def _entities(base: Column) -> Column:
+    """The values of spans and their classes, as distinct structs (kind, entity)."""
 
+    def value(s: Column) -> Column:
+        return F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"]))
 
-def _support() -> list[Column]:
-    return [F.count("*").alias("n"), (F.min("same") != F.max("same")).alias("varied")]
+    def class_of(s: Column) -> Column:
+        digits = F.substring(_digits(s["value"]), F.lit(1), F.when(s["kind"] == "card", F.lit(ISSUER)).otherwise(F.lit(AREA)))
+        return F.when(s["kind"] == "email", F.substring_index(F.lower(s["value"]), "@", -1)).when(s["kind"] == "ip", F.substring_index(s["value"], ".", 3)).otherwise(digits)
 
+    values = F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), value(s).alias("entity")))
+    classes = F.transform(base, lambda s: F.struct(F.concat(s["kind"], F.lit(" class")).alias("kind"), class_of(s).alias("entity")))
+    return F.array_distinct(F.concat(values, classes))
 
-def disclosures(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """Pairs of ``term`` and ``kind``, ``entity`` with the share of the entity that the term discloses.
 
-    ``found`` has ``same`` (a hash of the text), ``base`` and ``near`` of every document.
-    """
-    pairs = (
-        found.select("same", F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["kind"].alias("kind"), t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p"))
-        .groupBy("p.kind", "p.entity", "p.term")
-        .agg(*_support())
-        .filter("varied")
-        .select("kind", "entity", "term", "n")
-    )
-    entities = (
-        found.select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["kind"].alias("kind"), t["entity"].alias("entity"))))).alias("e"))
-        .groupBy("e.kind", "e.entity")
-        .agg(F.count("*").alias("df_e"))
-    )
-    terms = (
-        docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))).alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("df_t"))
-    )
-    pairs = cut(pairs)
-    total = docs.count()
-    known = terms.join(pairs.select("term").distinct(), "term", "left_semi")
-    joined = pairs.join(entities, ["kind", "entity"]).join(known, "term").filter(F.col("df_e") < total)
-    ratio = F.log2(F.col("n") * float(max(total, 1)) / (F.col("df_t") * F.col("df_e"))) / F.log2(float(max(total, 1)) / F.col("df_e"))
-    return joined.select("kind", "entity", "term", ratio.alias("share")).filter(F.col("share") >= GENERALISE)
+def _bodies(docs: DataFrame, text: str) -> DataFrame:
+    """The rows, packed in ``doc`` so that no name can clash, with the ``body``, its hash ``same`` and the rules' spans ``base``."""
+    packed = docs.select(F.struct("*").alias("doc"), text_or_empty(text).alias("body"))
+    return packed.withColumn("same", F.xxhash64("body")).withColumn("base", base_spans("body"))
+
 
+def _written(bodies: DataFrame, *kept: str) -> DataFrame:
+    """``kept``, ``same``, ``base``, a number ``row``, and where there are spans the ``words`` outside them and the ``entities``."""
+    found = bodies.withColumn("words", F.when(F.size("base") > 0, spans.find("body", TERM))).withColumn("entities", F.when(F.size("base") > 0, _entities(F.col("base"))))
+    return cut(found.select(*kept, "same", "base", F.monotonically_increasing_id().alias("row"), spans.apart("words", "base").alias("words"), "entities"))
 
-def _found(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    body = text_or_empty(text)
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("same"), body.alias("body"), base_spans(body).alias("base"))
-    near = F.when(F.size("base") > 0, F.flatten(F.transform("base", lambda s: _near(F.col("body"), s, F.col("base")))))
-    return cut(base.select("doc_id", "same", "base", near.alias("near")))
 
+def _texts() -> Column:
+    return F.count_distinct("same")
 
-def _terms(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
-    """Per document (``doc_id``, ``same``) with such: its disclosing terms as structs (start, end, share)."""
-    known = disclosures(docs, found, text)
-    placed = found.select("doc_id", "same", F.explode("near").alias("t")).select("doc_id", "same", "t.*")
-    spans_ = placed.join(known, ["kind", "entity", "term"]).groupBy("doc_id", "same", "start", "end").agg(F.max("share").alias("share"))
-    return spans_.groupBy("doc_id", "same").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("pii_terms"))
 
+def _disclosing(bodies: DataFrame, found: DataFrame) -> DataFrame:
+    """Per ``row`` with such: its disclosing terms as sorted structs (start, end, share, value)."""
+    holding = found.filter(F.size("base") > 0)
+    listed = holding.select("row", "same", F.explode("entities").alias("e")).select("row", "same", "e.*")
+    live = small(cut(listed.groupBy("kind", "entity").agg(_texts().alias("df_e")).filter(F.col("df_e") >= SUPPORT)))
+    named = listed.join(live, ["kind", "entity"]).groupBy("row").agg(F.collect_list(F.struct("kind", "entity")).alias("live"))
+    named = small(cut(named))
+    worded = holding.select("row", "same", "words").join(named, "row")
+    words = F.array_distinct(F.transform("words", lambda w: F.lower(w["value"])))
+    each = worded.select("same", "live", words.alias("terms")).select("same", "terms", F.explode("live").alias("e")).select("same", "e.*", F.explode("terms").alias("term"))
+    pairs = cut(each.groupBy("kind", "entity", "term").agg(_texts().alias("n")).filter(F.col("n") >= SUPPORT))
+    total = bodies.select("same").distinct().count()
+
+    every = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("body", F.lit(TERM), F.lit(0))), lambda w: F.lower(w)))
+    wanted = small(cut(pairs.select("term").distinct()))
+    terms = bodies.select("same", F.explode(every).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(_texts().alias("df_t"))
+    known = pairs.join(live, ["kind", "entity"]).join(terms, "term").filter(F.col("df_e") < total)
+    ratio = F.log2(F.col("n") * float(max(total, 1)) / (F.col("df_t") * F.col("df_e"))) / F.log2(float(max(total, 1)) / F.col("df_e"))
+    known = small(cut(known.select("kind", "entity", "term", F.round(ratio, 9).alias("share")).filter(F.col("share") >= GENERALISE)))
 
-def _with_terms(rows: DataFrame, terms: DataFrame, doc_id: str, same: Column) -> DataFrame:
-    terms = terms.withColumnsRenamed({"doc_id": "pii_doc", "same": "pii_same"})
-    return rows.join(terms, F.col(doc_id).eqNullSafe(F.col("pii_doc")) & same.eqNullSafe(F.col("pii_same")), "left").drop("pii_doc", "pii_same")
+    placed = worded.select("row", "words", F.explode("live").alias("e")).select("row", "e.*", F.explode("words").alias("w")).select("row", "kind", "entity", "w.*", F.lower("w.value").alias("term"))
+    marked = placed.join(known, ["kind", "entity", "term"]).groupBy("row", "start", "end", "value").agg(F.max("share").alias("share"))
+    return marked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share", "value"))).alias("terms"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: the counts by rule, a digest of the rules' spans, and all spans."""
-    docs = docs.select("doc_id", "text")
-    found = _found(docs, "doc_id", "text")
-    joined = _with_terms(found, _terms(docs, found, "text"), "doc_id", F.col("same"))
+    bodies = _bodies(docs.select("doc_id", "text"), "text")
+    found = _written(bodies, "doc.doc_id")
+    joined = found.select("doc_id", "row", "base").join(_disclosing(bodies, found), "row", "left")
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    added = F.coalesce(F.transform("pii_terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string"))), F.array().cast("array<string>"))
+    added = F.coalesce(F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string"))), F.array().cast("array<string>"))
     based = spans.joined(F.col("base"))
     return joined.select(
         "doc_id",
@@ -163,27 +152,16 @@ def _shape(value: Column) -> Column:
     return F.when(value.rlike("[0-9]"), "[CODE]").when(value.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
 
 
-def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data replaced by its kind, and disclosing terms generalised or removed."""
-    columns = docs.columns
-    found = _found(docs, doc_id, text)
-    joined = _with_terms(docs, _terms(docs, found, text), doc_id, F.xxhash64(text))
-    body = F.col(text)
-    marked = F.transform(base_spans(text_or_empty(text)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mark")))
-    terms = F.transform(
-        F.coalesce("pii_terms", F.array().cast("array<struct<start:int,end:int,share:double>>")),
-        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["share"] >= REMOVE, F.lit("")).otherwise(_shape(F.substring(body, t["start"] + 1, t["end"] - t["start"]))).alias("mark")),
-    )
-    joined = joined.withColumn("pii_marks", F.array_sort(F.concat(marked, terms)))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(now: Column, s: Column) -> Column:
-        piece = F.array(F.substring(body, now["at"] + 1, s["start"] - now["at"]), s["mark"])
-        out = F.when(s["start"] >= now["at"], F.concat(now["out"], piece)).otherwise(now["out"])
-        return F.struct(F.greatest(now["at"], s["end"]).alias("at"), out.alias("out"))
-
-    cleaned = F.aggregate("pii_marks", begin, step, lambda now: F.concat(F.array_join(now["out"], ""), F.substring(body, now["at"] + 1, F.length(body))))
-    return joined.withColumn(text, F.when(F.size("pii_marks") > 0, cleaned).otherwise(body)).select(*columns)
+    bodies = _bodies(docs, text)
+    found = _written(bodies.filter(F.size("base") > 0), "doc", "body")
+    joined = found.select("doc", "body", "base", "row").join(_disclosing(bodies, found), "row", "left")
+    values = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mark")))
+    terms = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["share"] >= REMOVE, F.lit("")).otherwise(_shape(t["value"])).alias("mark")))
+    marked = joined.withColumn("marks", F.when(F.col("terms").isNull(), values).otherwise(F.concat(values, terms)))
+    others = [F.col(f"doc.`{name}`") if name != text else spans.replaced("body", "marks").alias(text) for name in docs.columns]
+    return bodies.filter(F.size("base") == 0).select("doc.*").unionAll(marked.select(*others))
 
 
 def digest_sql() -> str:
@@ -204,21 +182,21 @@ def digest_sql() -> str:
     word = r"[\p{L}\p{N}]+"
     return f"""WITH bodies AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS body FROM documents),
 based AS MATERIALIZED (SELECT id, doc_id, body, list_concat({found}) AS base FROM bodies),
-mentions AS (SELECT id, body, base, unnest(base) AS s FROM based),
-named AS (SELECT *, CASE s.kind WHEN 'email' THEN lower(s.value) WHEN 'ip' THEN s.value ELSE {digits} END AS entity, greatest(s.start - {NEAR}, 0) AS low FROM mentions),
-sides AS (SELECT id, base, s.kind AS kind, entity, low AS off, substring(body, low + 1, s.start - low) AS piece, low = 0 AS from_edge, true AS to_edge FROM named
-  UNION ALL SELECT id, base, s.kind, entity, s.stop, substring(body, s.stop + 1, {NEAR}), true, s.stop + {NEAR} >= length(body) FROM named),
-words AS (SELECT *, unnest({spans.find_sql('piece', word)}) AS t FROM sides),
-placed AS MATERIALIZED (SELECT id, kind, entity, lower(t.value) AS term, off + t.start AS start, off + t.start + length(t.value) AS stop FROM words
-  WHERE regexp_matches(t.value, '^\\p{{L}}') AND length(t.value) >= 3 AND (t.start > 0 OR from_edge) AND (t.start + length(t.value) < {NEAR} OR to_edge)
-    AND len(list_filter(base, lambda o: o.start < off + t.start + length(t.value) AND off + t.start < o.stop)) = 0),
-pairs AS (SELECT kind, entity, term, count(DISTINCT id) AS n FROM placed JOIN bodies USING (id) GROUP BY ALL HAVING count(DISTINCT body) > 1),
-entities AS (SELECT kind, entity, count(DISTINCT id) AS df_e FROM placed GROUP BY ALL),
-corpus AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(body), '{word}')) AS term FROM bodies),
-terms AS (SELECT term, count(*) AS df_t FROM corpus WHERE term IN (SELECT term FROM pairs) GROUP BY term),
-known AS (SELECT kind, entity, term FROM pairs JOIN entities USING (kind, entity) JOIN terms USING (term), (SELECT count(*) AS total FROM documents)
-  WHERE df_e < total AND log2(n * CAST(total AS DOUBLE) / (df_t * df_e)) / log2(CAST(total AS DOUBLE) / df_e) >= {GENERALISE}),
-marked AS (SELECT DISTINCT id, start, stop FROM placed JOIN known USING (kind, entity, term)),
+mentions AS (SELECT id, body, unnest(base) AS s FROM based),
+named AS MATERIALIZED (SELECT DISTINCT id, body, s.kind AS kind, CASE s.kind WHEN 'email' THEN lower(s.value) WHEN 'ip' THEN s.value ELSE {digits} END AS entity FROM mentions
+  UNION SELECT id, body, s.kind || ' class', CASE s.kind WHEN 'email' THEN split_part(lower(s.value), '@', 2) WHEN 'ip' THEN regexp_extract(s.value, '^[0-9]+[.][0-9]+[.][0-9]+')
+    WHEN 'card' THEN left({digits}, {ISSUER}) ELSE left({digits}, {AREA}) END FROM mentions),
+words AS (SELECT id, base, unnest({spans.find_sql('body', word)}) AS t FROM based WHERE len(base) > 0),
+placed AS MATERIALIZED (SELECT id, lower(t.value) AS term, t.start AS start, t.start + length(t.value) AS stop FROM words
+  WHERE regexp_matches(t.value, '^\\p{{L}}') AND length(t.value) >= 3 AND len(list_filter(base, lambda o: o.start < t.start + length(t.value) AND t.start < o.stop)) = 0),
+entities AS (SELECT kind, entity, count(DISTINCT body) AS df_e FROM named GROUP BY ALL HAVING count(DISTINCT body) >= {SUPPORT}),
+pairs AS (SELECT kind, entity, term, count(DISTINCT body) AS n FROM named SEMI JOIN entities USING (kind, entity) JOIN (SELECT DISTINCT id, term FROM placed) USING (id)
+  GROUP BY ALL HAVING count(DISTINCT body) >= {SUPPORT}),
+corpus AS (SELECT body, lower(unnest(list_distinct(regexp_extract_all(body, '{word}')))) AS term FROM (SELECT DISTINCT body FROM bodies)),
+terms AS (SELECT term, count(DISTINCT body) AS df_t FROM corpus WHERE term IN (SELECT term FROM pairs) GROUP BY term),
+known AS (SELECT kind, entity, term FROM pairs JOIN entities USING (kind, entity) JOIN terms USING (term), (SELECT count(DISTINCT body) AS total FROM bodies)
+  WHERE df_e < total AND round(log2(n * CAST(total AS DOUBLE) / (df_t * df_e)) / log2(CAST(total AS DOUBLE) / df_e), 9) >= {GENERALISE}),
+marked AS (SELECT DISTINCT id, start, stop FROM placed JOIN named USING (id) JOIN known USING (kind, entity, term)),
 listed AS (SELECT id, string_agg('term:' || start || ':' || stop, ',' ORDER BY start, stop) AS added, count(*) AS n FROM marked GROUP BY id)
 SELECT doc_id, {', '.join(map(number, KINDS))}, sha256({based}) AS base_sha256,
   concat_ws(',', nullif({based}, ''), added) AS spans, CAST(coalesce(n, 0) AS BIGINT) AS n_term FROM based LEFT JOIN listed USING (id)"""

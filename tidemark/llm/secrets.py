@@ -12,7 +12,8 @@ let go only if they are made of word-like parts.
 
 The work is one pass over each text without a shuffle.  Defined results: a null
 or empty text has no spans and the digest of the empty string; repeated rows
-give repeated results; other columns are not read.
+give repeated results; other columns, whatever their names, are kept by ``scan``
+and ``redact``.
 """
 
 from __future__ import annotations
@@ -97,55 +98,54 @@ def _class_of(value: Column) -> Column:
     return F.when(~allowed, kind)
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``secret_base`` and ``secret_added``: arrays of structs (start, rank, end, kind, value), sorted by start."""
-    body = text_or_empty(text)
-    assign = F.filter(spans.find(body, ASSIGN), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_LEAST)
-    assign = F.when(body.rlike("(?i)passw|secret|token|api_?key"), assign).otherwise(F.array().cast(spans.SPAN))
+def _scanned(docs: DataFrame, text: str) -> DataFrame:
+    """The rows, packed in ``doc`` so that no name can clash, with ``body`` and the spans ``base`` and ``added``.
+
+    Spans are structs (start, rank, end, kind, value), sorted by start.
+    """
+    packed = docs.select(F.struct("*").alias("doc"), text_or_empty(text).alias("body"))
+    assign = F.filter(spans.find("body", ASSIGN), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_LEAST)
+    assign = F.when(F.col("body").rlike("(?i)passw|secret|token|api_?key"), assign).otherwise(F.array().cast(spans.SPAN))
     base = F.concat(
         spans.tagged("assign", 0, assign),
-        spans.tagged("access", 1, spans.find(body, ACCESS, "AKIA")),
-        spans.tagged("hex", 2, spans.find(body, HEX)),
+        spans.tagged("access", 1, spans.find("body", ACCESS, "AKIA")),
+        spans.tagged("hex", 2, spans.find("body", HEX)),
     )
-    found = docs.withColumns({"secret_base": F.array_sort(base), "secret_candidates": spans.find(body, CANDIDATE)})
-    fresh = F.filter("secret_candidates", lambda s: ~spans.overlaps(s, F.col("secret_base")))
-    judged = F.transform(fresh, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _class_of(s["value"]).alias("kind")))
+    found = packed.withColumns({"base": F.array_sort(base), "candidates": spans.find("body", CANDIDATE)})
+    judged = F.transform(spans.apart("candidates", "base"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _class_of(s["value"]).alias("kind")))
     names = [name for name, _, _ in (*CLASSES, LETTERS)]
     rank = lambda kind: 2 + F.array_position(F.array(*map(F.lit, names)), kind).cast("int")
     added = F.transform(
         F.filter(judged, lambda s: s["kind"].isNotNull()),
         lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")),
     )
-    return found.withColumn("secret_added", added).drop("secret_candidates")
+    return found.withColumn("added", added).drop("candidates")
+
+
+def scan(docs: DataFrame, text: str = "text", base: str = "secret_base", added: str = "secret_added") -> DataFrame:
+    """``docs`` with the rules' spans and those that the method adds, in columns of these names."""
+    return _scanned(docs, text).select("doc.*", F.col("base").alias(base), F.col("added").alias(added))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: the counts by rule, a digest of the rules' spans, and all spans."""
-    found = scan(docs.select("doc_id", "text"))
-    number = lambda kind: F.size(F.filter("secret_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    found = _scanned(docs.select("doc_id", "text"), "text")
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
-        "doc_id",
+        "doc.doc_id",
         *map(number, ("assign", "access", "hex")),
-        sha256_hex(F.encode(spans.joined(F.col("secret_base")), "UTF-8")).alias("base_sha256"),
-        spans.joined(F.array_sort(F.concat("secret_base", "secret_added"))).alias("spans"),
-        F.size("secret_added").cast("long").alias("n_entropy"),
+        sha256_hex(F.encode(spans.joined(F.col("base")), "UTF-8")).alias("base_sha256"),
+        spans.joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        F.size("added").cast("long").alias("n_entropy"),
     )
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``[SECRET]``; overlapping spans give one mark."""
-    found = scan(docs, text)
-    every = F.array_sort(F.concat("secret_base", "secret_added"))
-    body = text_or_empty(text)
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(now: Column, s: Column) -> Column:
-        gap = F.substring(body, now["at"] + 1, s["start"] - now["at"])
-        out = F.when(s["start"] >= now["at"], F.concat(now["out"], gap, F.lit("[SECRET]"))).otherwise(now["out"])
-        return F.struct(F.greatest(now["at"], s["end"]).alias("at"), out.alias("out"))
-
-    cleaned = F.aggregate(every, begin, step, lambda now: F.concat(now["out"], F.substring(body, now["at"] + 1, F.length(body))))
-    return found.withColumn(text, F.when(F.size(every) > 0, cleaned).otherwise(F.col(text))).drop("secret_base", "secret_added")
+    mark = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("[SECRET]").alias("mark"))
+    found = _scanned(docs, text).withColumn("marks", F.transform(F.concat("base", "added"), mark))
+    cleaned = F.when(F.size("marks") > 0, spans.replaced("body", "marks")).otherwise(F.col(f"doc.`{text}`"))
+    return found.select(*(F.col(f"doc.`{name}`") if name != text else cleaned.alias(text) for name in docs.columns))
 
 
 def _sql_pattern(pattern: str) -> str:
