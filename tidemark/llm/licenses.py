@@ -1,140 +1,237 @@
 """Licence scans by sentence rules.
 
 A text is normalised (letters and digits, lower case, single spaces) with a mark
-at every stop, colon, semicolon and line break.  A known licence sentence is
-found where it begins and ends at a mark, whatever marks lie inside: notices
-are wrapped, stand behind comment signs, and hold colons, semicolons and stops
-themselves.  Each is mapped to its identifier.  The identifiers of a text, in order and without what stands
-between them, are matched against licence rules, each a sequence of
-identifiers.  Rules are tried in order, the longer before the shorter, and what
-a rule has matched is used up, so that a whole licence isn't also reported as
-its parts.
-
-The work is one pass over each text with SQL functions and no shuffle.  Defined
-results: a null, empty or blank text has no sentences; repeated rows give
-repeated results; other columns are not read.
+at every line break, after every address, and at punctuation before a blank.  A
+known licence sentence is found where it begins and ends at a mark, whatever
+marks lie inside: notices are wrapped, stand behind comment signs, and hold
+colons, quotes and stops themselves.  A sentence may have a gap for a name.
+Each is mapped to its identifier.  The identifiers of a text, in order and
+without what stands between them, are matched against licence rules, each a
+sequence of identifiers.  Rules are tried in order, the longer before the
+shorter, and what a rule has matched is used up, so that a whole licence isn't
+also reported as its parts.
+
+The work is one pass over each text with SQL functions and no shuffle; texts
+without a word that every known sentence holds one of aren't normalised.
+Defined results: a null, empty or blank text has no sentences; repeated rows
+give repeated results; other columns, whatever their names, are kept by ``scan``.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import spans
 from tidemark.llm.common import text_or_empty
 
-#: Sentences of public licences and notices, in normal form.
+#: Sentences of public licences and notices as published; ``{name}`` stands for one to ``NAME_WORDS`` words.
 SENTENCES = {
-    "apache-ref": "licensed under the apache license version 2 0",
-    "apache-may-not": "you may not use this file except in compliance with the license",
-    "apache-copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
-    "apache-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "apache-see": "see the license for the specific language governing permissions and limitations under the license",
-    "mit-ref": "released under the mit license",
-    "mit-ref-licensed": "licensed under the mit license",
-    "mit-title": "the mit license mit",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "as-is-software": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "no-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
-    "gpl3-ref": "this work is licensed under the gnu general public license version 3",
-    "gpl2-ref": "this work is licensed under the gnu general public license version 2",
-    "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "gpl-details": "see the gnu general public license for more details",
-    "gpl-received": "you should have received a copy of the gnu general public license along with this program",
-    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mpl-ref": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "unlicense-grant": "this is free and unencumbered software released into the public domain",
-    "cc0-ref": "licensed under cc0 1 0",
-    "cc-by-ref": "licensed under cc by 4 0",
-    "cc-by-sa-ref": "licensed under cc by sa 4 0",
-    "cc-by-nc-ref": "licensed under cc by nc 4 0",
-    "cc-by-nd-ref": "licensed under cc by nd 4 0",
-    "cc-by-nc-sa-ref": "licensed under cc by nc sa 4 0",
-    "all-rights": "all rights reserved",
-}
-
-#: Licences by the sequences that stand for them, in the order in which they are tried.
-RULES = (
+    "apache-ref": ("Licensed under the Apache License, Version 2.0", 'Licensed under the Apache License, Version 2.0 (the "License")'),
+    "apache-may-not": ("you may not use this file except in compliance with the License", "you may not use these files except in compliance with the License"),
+    "apache-copy": ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"),
+    "apache-as-is": ('Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',),
+    "apache-see": ("See the License for the specific language governing permissions and limitations under the License",),
+    "apache-title": ("Apache License Version 2.0, January 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "Apache License Version 2.0, January 2004 https://www.apache.org/licenses/"),
+    "apache-copyright": (
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form",
+    ),
+    "mit-ref": ("released under the MIT License", "licensed under the MIT License", "distributed under the MIT License", "available under the MIT License"),
+    "mit-title": ("The MIT License (MIT)", "The MIT License", "MIT License"),
+    "mit-grant": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',
+    ),
+    "mit-notice": ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"),
+    "mit-as-is": ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',),
+    "mit-liability": (
+        "IN NO EVENT SHALL {name} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    ),
+    "bsd-grant": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
+    "bsd-source": ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",),
+    "bsd-binary": ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",),
+    "bsd-advertising": ("All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by {name}", "All advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    "bsd-names": (
+        "Neither the name of {name} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "The name of {name} may not be used to endorse or promote products derived from this software without specific prior written permission",
+        "Neither the name of {name} may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    "bsd-as-is": ('THIS SOFTWARE IS PROVIDED BY {name} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',),
+    "bsd-liability": (
+        "IN NO EVENT SHALL {name} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE",
+    ),
+    "isc-grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    "zero-bsd-grant": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
+    "isc-as-is": ('THE SOFTWARE IS PROVIDED "AS IS" AND {name} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',),
+    "isc-liability": (
+        "IN NO EVENT SHALL {name} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
+    ),
+    "zlib-as-is": ("This software is provided 'as-is', without any express or implied warranty",),
+    "zlib-liability": ("In no event will the authors be held liable for any damages arising from the use of this software",),
+    "zlib-grant": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",),
+    "zlib-origin": ("The origin of this software must not be misrepresented; you must not claim that you wrote the original software",),
+    "zlib-altered": ("Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software",),
+    "zlib-notice": ("This notice may not be removed or altered from any source distribution",),
+    "boost-title": ("Boost Software License - Version 1.0 - August 17th, 2003", "Distributed under the Boost Software License, Version 1.0"),
+    "boost-grant": (
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following',
+    ),
+    "gpl-hope": (
+        "This {name} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+        "{name} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    ),
+    "gpl3-ref": ("This work is licensed under the GNU General Public License, version 3",),
+    "gpl2-ref": ("This work is licensed under the GNU General Public License, version 2",),
+    "gpl3-title": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "gpl2-title": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",),
+    "lgpl3-title": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "lgpl2.1-title": ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",),
+    "agpl3-title": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",),
+    "verbatim": ("Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",),
+    "mpl-ref": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
+    "mpl-copy": ("If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    "mpl-title": ("Mozilla Public License Version 2.0",),
+    "epl-ref": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0"),
+    "unlicense-grant": ("This is free and unencumbered software released into the public domain",),
+    "unlicense-free": ("Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",),
+    "wtfpl-title": ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004",),
+    "cc0-ref": ("Licensed under CC0 1.0", "CC0 1.0 Universal", "This work is licensed under CC0 1.0 Universal", "To the extent possible under law, {name} has waived all copyright and related or neighboring rights to this work"),
+    "all-rights": ("All rights reserved",),
+}
+NAME_WORDS = 16
+
+_GNU = {"gpl": ("General", ("2", "3")), "lgpl": ("Lesser General", ("2.1", "3")), "agpl": ("Affero General", ("3",))}
+_CREATIVE = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def _gnu() -> dict[str, tuple[str, ...]]:
+    """The notices of the three licences: their wording differs by name and version only."""
+    found = {}
+    for key, (kind, versions) in _GNU.items():
+        terms = f"is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation"
+        for v in versions:
+            found[f"{key}{v}-later"] = (f"{{name}} {terms}, either version {v} of the License, or (at your option) any later version",)
+            found[f"{key}{v}-only"] = (f"{{name}} {terms}, version {v} of the License", f"{{name}} {terms}, version {v}")
+        found[f"{key}-details"] = (f"See the GNU {kind} Public License for more details",)
+        received = f"You should have received a copy of the GNU {kind} Public License along with this {{name}}"
+        found[f"{key}-received"] = (received, f"{received}; if not, see <https://www.gnu.org/licenses/>", f"{received}; if not, see <http://www.gnu.org/licenses/>")
+    return found
+
+
+def _creative() -> dict[str, tuple[str, ...]]:
+    found = {}
+    for short, long in _CREATIVE.items():
+        forms = (f"Licensed under CC {short} 4.0", f"Licensed under a Creative Commons {long} 4.0 International License", f"Licensed under the Creative Commons {long} 4.0 International License", f"Creative Commons {long} 4.0 International", f"Licensed under Creative Commons {long} 4.0 International")
+        found[f"cc-{short}-ref"] = forms
+    return found
+
+
+#: Licences by the sequences that stand for them.
+_SEQUENCES = (
     ("Apache-2.0", ("apache-ref", "apache-may-not", "apache-copy", "apache-as-is", "apache-see")),
     ("Apache-2.0", ("apache-ref", "apache-may-not", "apache-as-is", "apache-see")),
-    ("MIT", ("mit-title", "mit-grant", "mit-notice", "as-is-software", "no-liability")),
-    ("MIT", ("mit-grant", "mit-notice", "as-is-software", "no-liability")),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-details", "gpl-received")),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-details")),
-    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope", "gpl-details", "gpl-received")),
-    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope", "gpl-details")),
-    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
-    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("ISC", ("isc-grant",)),
+    ("Apache-2.0", ("apache-title", "apache-copyright", "apache-ref", "apache-may-not", "apache-copy", "apache-as-is", "apache-see")),
+    ("Apache-2.0", ("apache-title", "apache-copyright")),
     ("Apache-2.0", ("apache-ref",)),
+    *(("MIT", (*title, "mit-grant", *notice, *end)) for title in (("mit-title",), ()) for notice in (("mit-notice",), ()) for end in (("mit-as-is", "mit-liability"), ("mit-as-is",), ())),
     ("MIT", ("mit-ref",)),
-    ("MIT", ("mit-ref-licensed",)),
-    ("MIT", ("mit-grant",)),
-    ("GPL-3.0-or-later", ("gpl-free",)),
-    ("GPL-2.0-or-later", ("gpl2-free",)),
+    *((name, ("bsd-grant", "bsd-source", "bsd-binary", *more, *end)) for name, more in (("BSD-4-Clause", ("bsd-advertising", "bsd-names")), ("BSD-3-Clause", ("bsd-names",)), ("BSD-2-Clause", ())) for end in (("bsd-as-is", "bsd-liability"), ("bsd-as-is",), ())),
+    *((name, (grant, *end)) for name, grant in (("ISC", "isc-grant"), ("0BSD", "zero-bsd-grant")) for end in (("isc-as-is", "isc-liability"), ("isc-as-is",), ())),
+    ("Zlib", ("zlib-as-is", "zlib-liability", "zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice")),
+    ("Zlib", ("zlib-as-is", "zlib-liability", "zlib-grant")),
+    ("BSL-1.0", ("boost-title", "boost-grant")),
+    ("BSL-1.0", ("boost-title",)),
+    ("BSL-1.0", ("boost-grant",)),
+    *((f"{key.upper()}-{v if '.' in v else v + '.0'}-{which}", (f"{key}{v}-{which.removeprefix('or-')}", *end)) for key, (_, versions) in _GNU.items() for v in versions for which in ("or-later", "only") for end in (("gpl-hope", f"{key}-details", f"{key}-received"), ("gpl-hope", f"{key}-details"), ())),
+    *((f"{key.upper()}-{v if '.' in v else v + '.0'}-only", (f"{key}{v}-title", "verbatim", *end)) for key, (_, versions) in _GNU.items() for v in versions for end in ((f"{key}{v}-later", "gpl-hope", f"{key}-details", f"{key}-received"), (f"{key}{v}-later", "gpl-hope", f"{key}-details"), ())),
     ("GPL-3.0-only", ("gpl3-ref",)),
     ("GPL-2.0-only", ("gpl2-ref",)),
+    ("MPL-2.0", ("mpl-title", "mpl-ref", "mpl-copy")),
+    ("MPL-2.0", ("mpl-ref", "mpl-copy")),
     ("MPL-2.0", ("mpl-ref",)),
+    ("MPL-2.0", ("mpl-title",)),
+    ("EPL-2.0", ("epl-ref",)),
+    ("Unlicense", ("unlicense-grant", "unlicense-free")),
     ("Unlicense", ("unlicense-grant",)),
+    ("WTFPL", ("wtfpl-title",)),
     ("CC0-1.0", ("cc0-ref",)),
-    ("CC-BY-4.0", ("cc-by-ref",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa-ref",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc-ref",)),
-    ("CC-BY-ND-4.0", ("cc-by-nd-ref",)),
-    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-ref",)),
-    ("proprietary", ("all-rights",)),
-)
-
-#: A sentence ends at a stop and blanks, at a colon or semicolon, or at a blank line; single line breaks don't end one.
-BREAK = r"[.!?][\x20\x09-\x0D]+|[.!?]$|[:;]|\n[\x20\x09\x0B-\x0D]*\n"
-#: A line with a sentence of its own may stand amid text without stops, so lines are tried as sentences too.
-LINE = r"\n"
-
-
-#: Other forms in which known sentences stand in the standard notices.
-FORMS = {
-    "licensed under the apache license version 2 0 the license": "apache-ref",
-    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-copy",
-}
-#: The address in the Apache notice has no stop; where the notice stands in one line, a blank ends it.
-ADDRESS = r"[\x20\x09](?<=/LICENSE-2\.0.)"
-_MARK = "|"
-
-
-def _marked(text: Column) -> Column:
-    """The normal form of a text, with a mark at its ends and wherever a sentence or line may end."""
-    marks = F.regexp_replace(F.translate(text, _MARK, " "), f"{BREAK}|{LINE}|{ADDRESS}", _MARK)
-    words = F.lower(F.regexp_replace(marks, "[^A-Za-z0-9|]+", " "))
-    return F.concat(F.lit(_MARK), F.regexp_replace(words, r" ?\|[ |]*", _MARK), F.lit(_MARK))
-
-
-def _known(text: Column) -> Column:
+    *((f"CC-{short.upper()}-4.0", (f"cc-{short}-ref",)) for short in _CREATIVE),
+)
+_NAMES = tuple(dict.fromkeys(name for name, _ in _SEQUENCES))
+SENTENCES |= _gnu() | _creative() | {f"spdx-{name}": (f"SPDX-License-Identifier: {name}",) for name in _NAMES}
+_EVERY = [*_SEQUENCES, *((name, (f"spdx-{name}",)) for name in _NAMES)]
+#: The rules in the order in which they are tried; each may follow a reservation of rights, which alone is proprietary.
+RULES = sorted(((name, sequence) for name, plain in _EVERY for sequence in (("all-rights", *plain), plain)), key=lambda rule: -len(rule[1])) + [("proprietary", ("all-rights",))]
+
+#: Every known sentence holds one of these, in any case.
+WORDS = "licen|permi|redistribut|warrant|reserved|liab|misrepresent|altered|advertising|endorse|noncommercial|unencumbered|compiled|cc0|attribution|waived|mpl"
+_ADDRESS = r"(https?://[^\x20\x09-\x0D]+)[\x20\x09]"
+_STOP = r"[^A-Za-z0-9\x20\x09-\x0D][\x20\x09]"
+#: What may precede a reference, as in "This project is licensed under ...".
+_LEAD = r"(?:(?:this|the) [a-z]+ is )?"
+
+
+def _normal(sentence: str) -> str:
+    return " ".join(re.findall("[a-z0-9]+|NAME", re.sub("[A-Z]+", lambda m: m[0].lower(), sentence).replace("{name}", " NAME ")))
+
+
+def forms() -> dict[str, str]:
+    """The identifiers of the normal forms, NAME in place of a name; the longer before the shorter."""
+    every = {_normal(sentence): name for name, sentences in SENTENCES.items() for sentence in sentences}
+    return dict(sorted(every.items(), key=lambda x: -len(x[0])))
+
+
+def _pattern() -> str:
+    """A sentence between two marks; each mark is written twice, so that neighbours needn't share one."""
+    between, word = r"(?: |\|\|)", "[a-z0-9]+"
+    name = f"(?:{word}{between}){{0,{NAME_WORDS - 1}}}?{word}"
+    either = "|".join(between.join(name if w == "NAME" else w for w in form.split()) for form in forms())
+    return rf"\|(?:[0-9a-z]{{1,2}} )?{_LEAD}({either})\|"
+
+
+def _named() -> list[tuple[str, str]]:
+    """Patterns that find a form with a name, and the form."""
+    return [(f"^{form.replace('NAME', '.+')}$", form) for form in forms() if "NAME" in form]
+
+
+def _known(text: str) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    forms = {sentence: name for name, sentence in SENTENCES.items()} | FORMS
-    either = "|".join(sentence.replace(" ", "[ |]") for sentence in sorted(forms, key=len, reverse=True))
-    pattern = rf"(?<=\| ?)(?:[0-9]+ (?=redistributions|neither))?+({either})(?= ?\|)"
-    ids = F.create_map(*(F.lit(x) for pair in forms.items() for x in pair))
-    return F.transform(F.regexp_extract_all(_marked(text), F.lit(pattern), F.lit(1)), lambda s: F.element_at(ids, F.translate(s, _MARK, " ")))
-
-
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``license_sentences`` (identifiers in order) and ``licenses`` (by rule, each once)."""
-    found = docs.withColumn("license_sentences", _known(text_or_empty(text)))
-    found = found.withColumn("license_left", F.concat(F.lit(";"), F.array_join("license_sentences", ";"), F.lit(";")))
-    columns = docs.columns
-    for i, (_, sequence) in enumerate(RULES):
-        mark = ";" + ";".join(sequence) + ";"
-        hit = F.contains(F.col("license_left"), F.lit(mark))
-        left = F.when(hit, F.replace(F.col("license_left"), F.lit(mark), F.lit(";"))).otherwise(F.col("license_left"))
-        found = found.select("*", hit.alias(f"license_rule_{i}")).withColumn("license_left", left)
-    names = F.array_compact(F.array(*(F.when(F.col(f"license_rule_{i}"), F.lit(name)) for i, (name, _) in enumerate(RULES))))
-    return found.select(*columns, "license_sentences", F.array_distinct(names).alias("licenses"))
+    marks = F.regexp_replace(F.translate(F.col(text), "|", " "), _ADDRESS, "$1|")
+    marks = F.regexp_replace(F.regexp_replace(marks, _STOP, "|"), r"[\n\r]", "|")
+    words = F.regexp_replace(F.lower(F.regexp_replace(marks, "[^A-Za-z0-9|]+", " ")), r" ?\|[ |]*", "||")
+    found = F.regexp_extract_all(F.concat(F.lit("||"), F.trim(words), F.lit("||")), F.lit(_pattern()), F.lit(1))
+
+    def identified(sentence: Column) -> Column:
+        form = F.replace(sentence, F.lit("||"), F.lit(" "))
+        for pattern, to in _named():
+            form = F.regexp_replace(form, pattern, to)
+        return F.element_at(F.create_map(*(F.lit(x) for pair in forms().items() for x in pair)), form)
+
+    return F.when(F.col(text).rlike(f"(?i){WORDS}"), F.transform(found, identified)).otherwise(F.array().cast("array<string>"))
+
+
+def _licenses(ids: str) -> Column:
+    """The licences that the rules make of identifiers, each once."""
+    begin = F.struct(F.concat(F.lit(";"), F.array_join(ids, ";"), F.lit(";")).alias("left"), F.array().cast("array<string>").alias("names"))
+    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(f";{';'.join(sequence)};").alias("mark")) for name, sequence in RULES))
+
+    def step(now: Column, rule: Column) -> Column:
+        hit = F.contains(now["left"], rule["mark"])
+        left = F.when(hit, F.replace(now["left"], rule["mark"], F.lit(";"))).otherwise(now["left"])
+        return F.struct(left.alias("left"), F.when(hit, F.array_union(now["names"], F.array(rule["name"]))).otherwise(now["names"]).alias("names"))
+
+    return F.when(F.size(ids) > 0, F.aggregate(rules, begin, step, lambda now: now["names"])).otherwise(F.array().cast("array<string>"))
+
+
+def scan(docs: DataFrame, text: str = "text", sentences: str = "license_sentences", licenses: str = "licenses") -> DataFrame:
+    """``docs`` with the identifiers of known sentences in order, and the licences that they make, each once."""
+    packed = docs.select(F.struct("*").alias("doc"), text_or_empty(text).alias("body"))
+    found = packed.withColumn("ids", _known("body"))
+    return found.select("doc.*", F.col("ids").alias(sentences), _licenses("ids").alias(licenses))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -150,16 +247,17 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def digest_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"({quoted(name)}, {quoted(sentence)})" for name, sentence in SENTENCES.items())
-    normal = r"trim(regexp_replace(lower(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g')), '^ *[0-9]+ (redistributions|neither)', '\1'))"
-    part = lambda pattern: f"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '{pattern}'), lambda s: ids[{normal}]), lambda x: x IS NOT NULL)"
-    steps = [
-        f"""ids AS (SELECT map(list(sentence), list(name)) AS ids FROM (VALUES {known}) t(name, sentence)),
-parts AS (SELECT doc_id, {part(BREAK)} AS stops, {part(LINE)} AS lines FROM documents, ids),
-r0 AS (SELECT doc_id, CASE WHEN len(lines) > len(stops) THEN lines ELSE stops END AS found,
-       ';' || array_to_string(found, ';') || ';' AS rest, CAST([] AS VARCHAR[]) AS names FROM parts)"""
-    ]
-    for i, (name, sequence) in enumerate(RULES):
-        mark = quoted(";" + ";".join(sequence) + ";")
-        steps.append(f"r{i + 1} AS (SELECT doc_id, found, replace(rest, {mark}, ';') AS rest, CASE WHEN contains(rest, {mark}) AND NOT list_contains(names, {quoted(name)}) THEN list_append(names, {quoted(name)}) ELSE names END AS names FROM r{i})")
-    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, CAST(len(found) AS BIGINT) AS n_sentences, array_to_string(found, ',') AS sentence_ids, array_to_string(names, ',') AS licenses FROM r{len(RULES)}"
+    known = ", ".join(f"({quoted(form)}, {quoted(name)})" for form, name in forms().items())
+    form = "replace(s, '||', ' ')"
+    for pattern, to in _named():
+        form = f"regexp_replace({form}, {quoted(pattern)}, {quoted(to)})"
+    rules = ", ".join(f"{{'rest': '', 'names': CAST([] AS VARCHAR[]), 'mark': {quoted(';' + ';'.join(sequence) + ';')}, 'name': {quoted(name)}}}" for name, sequence in RULES)
+    return f"""WITH ids AS (SELECT map(list(form), list(name)) AS ids FROM (VALUES {known}) t(form, name)),
+bodies AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+stopped AS (SELECT doc_id, regexp_matches(body, '(?i){WORDS}') AS likely, regexp_replace(regexp_replace(regexp_replace(translate(body, '|', ' '), {quoted(_ADDRESS)}, '\\1|', 'g'), {quoted(_STOP)}, '|', 'g'), '[\\n\\r]', '|', 'g') AS body FROM bodies),
+worded AS (SELECT doc_id, likely, '||' || trim(regexp_replace(lower(regexp_replace(body, '[^A-Za-z0-9|]+', ' ', 'g')), ' ?\\|[ |]*', '||', 'g')) || '||' AS body FROM stopped),
+found AS (SELECT doc_id, CASE WHEN likely THEN list_transform(regexp_extract_all(body, {quoted(_pattern())}, 1), lambda s: ids[{form}]) ELSE [] END AS found FROM worded, ids),
+judged AS (SELECT doc_id, found, list_reduce(list_prepend({{'rest': ';' || array_to_string(found, ';') || ';', 'names': CAST([] AS VARCHAR[]), 'mark': '', 'name': ''}}, [{rules}]), lambda a, r: {{
+  'rest': CASE WHEN contains(a.rest, r.mark) THEN replace(a.rest, r.mark, ';') ELSE a.rest END,
+  'names': CASE WHEN contains(a.rest, r.mark) AND NOT list_contains(a.names, r.name) THEN list_append(a.names, r.name) ELSE a.names END, 'mark': '', 'name': ''}}).names AS names FROM found)
+SELECT doc_id, CAST(len(found) AS BIGINT) AS n_sentences, array_to_string(found, ',') AS sentence_ids, array_to_string(names, ',') AS licenses FROM judged"""
