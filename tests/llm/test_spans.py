@@ -79,19 +79,19 @@ def entities_of(text):
 def disclosing(texts):
     """Per text the spans of its disclosing terms, with their shares, by the definition."""
     word = r"(?<![^\W_])[^\W\d_][^\W_]{2,}"
-    corpus = set(texts)
+    corpus = range(len(texts))
     with_term, with_entity, with_both = {}, {}, {}
     outside = lambda t: [m for m in re.finditer(word, t) if not any(a < m.end() and m.start() < b for _, a, b in pii_base(t))]
-    for t in corpus:
+    for i, t in enumerate(texts):
         for w in {m[0].lower() for m in re.finditer(word, t)}:
-            with_term.setdefault(w, set()).add(t)
+            with_term.setdefault(w, set()).add(i)
         for e in entities_of(t):
-            with_entity.setdefault(e, set()).add(t)
+            with_entity.setdefault(e, set()).add(i)
             for w in {m[0].lower() for m in outside(t)}:
-                with_both.setdefault((e, w), set()).add(t)
+                with_both.setdefault((e, w), set()).add(i)
     share = {}
     for (e, w), both in with_both.items():
-        if len(both) >= pii.SUPPORT and len(with_entity[e]) < len(corpus):
+        if len(both) >= pii.SUPPORT and len({texts[i] for i in both}) > 1 and len(with_entity[e]) < len(corpus):
             share[e, w] = round(math.log2(len(both) * len(corpus) / (len(with_term[w]) * len(with_entity[e]))) / math.log2(len(corpus) / len(with_entity[e])), 9)
     found = []
     for t in texts:

@@ -22,6 +22,16 @@ def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def cut_small(df: DataFrame) -> DataFrame:
+    """``cut`` for what an aggregation has left: about a file for each core, not one for each shuffle partition.
+
+    A task reads its partitions one after the other, so none holds more for it.
+    Each file costs local file systems a process or two, for its permissions.
+    """
+    spark = df.sparkSession
+    return cut(df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)))
+
+
 #: What may be broadcast, as counted before: rows and bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 1 << 24
 

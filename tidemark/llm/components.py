@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut_small
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,14 +39,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     with a null end are left out.
     """
     loops = edges.filter("u = v").select("u").distinct()
-    now = cut(
+    now = cut_small(
         edges.filter("u != v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
     before = _state(now)
     for _ in range(rounds):
-        now = cut(_small_star(_large_star(now)))
+        now = cut_small(_small_star(_large_star(now)))
         after = _state(now)
         if after == before:
             break

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, cut, text_or_empty
+from tidemark.llm.common import WORD, cut, cut_small, text_or_empty
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
@@ -96,7 +96,7 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source") -> Dat
     """
     rows = docs.withColumn("mix_bucket", F.substring("mix_key", 1, BUCKET_DIGITS))
     sums = rows.groupBy(F.col(source).alias("source"), F.col("mix_bucket").alias("bucket")).agg(F.sum("mix_size").alias("words"))
-    sums = cut(sums)
+    sums = cut_small(sums)
     aims = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("mix_offset"))

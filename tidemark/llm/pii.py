@@ -4,9 +4,9 @@ Four rules find e-mail addresses, IP addresses, card numbers and phone numbers.
 Each distinct value is a protected entity, and so is the class of a value, which
 says part of it: the domain of an address, the network of an IP address, the
 issuer of a card, the area of a phone number.  Beyond the values, any word of a
-text that holds one may give an entity away.  Counted over the distinct texts of
-the corpus, N in all, with df(e) that hold an entity, df(t) that hold a term and
-n that hold both,
+text that holds one may give an entity away.  Counted over the documents of the
+corpus, N in all, with df(e) that hold an entity, df(t) that hold a term and n
+that hold both,
 
     IC(e) = log2(N / df(e))              what knowing the entity would tell,
     PMI(t, e) = log2(n N / (df(t) df(e)))  what the term tells of the entity,
@@ -14,9 +14,9 @@ n that hold both,
 and PMI / IC is the share of the entity that the term discloses (as in the
 C-sanitized model of Sanchez and Batet).  In the texts of the entity, each
 occurrence of a term at ``GENERALISE`` or more is generalised to its shape, at
-``REMOVE`` or more it is removed.  Copies of a text are one piece of evidence,
-and ``SUPPORT`` different texts must hold the pair: a value that stands in fewer
-is protected by its class alone.
+``REMOVE`` or more it is removed.  A pair must be held by ``SUPPORT`` documents
+whose texts aren't all the same; a value that stands in fewer is protected by
+its class alone.
 
 All counts are partial aggregations.  Texts are never shuffled: only those that
 hold a value are written down with their words, and words are counted after
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import spans
-from tidemark.llm.common import cut, sha256_hex, small, text_or_empty
+from tidemark.llm.common import cut, cut_small, sha256_hex, small, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: A match can only begin where a run of its first characters begins, or right after another match.
@@ -43,7 +43,7 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){15,18}+(?![\x20-]?[0
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}+"
-#: Different texts that a pair of term and entity needs.
+#: Documents that an entity, and a pair of term and entity, need; their texts must differ.
 SUPPORT = 3
 GENERALISE, REMOVE = 0.75, 0.95
 #: First digits of a card or a phone number that say its issuer or area.
@@ -102,29 +102,26 @@ def _written(bodies: DataFrame, *kept: str) -> DataFrame:
     return cut(found.select(*kept, "same", "base", F.monotonically_increasing_id().alias("row"), spans.apart("words", "base").alias("words"), "entities"))
 
 
-def _texts() -> Column:
-    return F.count_distinct("same")
-
-
 def _disclosing(bodies: DataFrame, found: DataFrame) -> DataFrame:
     """Per ``row`` with such: its disclosing terms as sorted structs (start, end, share, value)."""
     holding = found.filter(F.size("base") > 0)
+    varied = (F.min("same") != F.max("same")).alias("varied")
     listed = holding.select("row", "same", F.explode("entities").alias("e")).select("row", "same", "e.*")
-    live = small(cut(listed.groupBy("kind", "entity").agg(_texts().alias("df_e")).filter(F.col("df_e") >= SUPPORT)))
+    live = small(cut_small(listed.groupBy("kind", "entity").agg(F.count("*").alias("df_e"), varied).filter((F.col("df_e") >= SUPPORT) & F.col("varied")).drop("varied")))
     named = listed.join(live, ["kind", "entity"]).groupBy("row").agg(F.collect_list(F.struct("kind", "entity")).alias("live"))
-    named = small(cut(named))
+    named = small(cut_small(named))
     worded = holding.select("row", "same", "words").join(named, "row")
     words = F.array_distinct(F.transform("words", lambda w: F.lower(w["value"])))
     each = worded.select("same", "live", words.alias("terms")).select("same", "terms", F.explode("live").alias("e")).select("same", "e.*", F.explode("terms").alias("term"))
-    pairs = cut(each.groupBy("kind", "entity", "term").agg(_texts().alias("n")).filter(F.col("n") >= SUPPORT))
-    total = bodies.select("same").distinct().count()
+    pairs = cut_small(each.groupBy("kind", "entity", "term").agg(F.count("*").alias("n"), varied).filter((F.col("n") >= SUPPORT) & F.col("varied")))
+    total = bodies.count()
 
     every = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("body", F.lit(TERM), F.lit(0))), lambda w: F.lower(w)))
-    wanted = small(cut(pairs.select("term").distinct()))
-    terms = bodies.select("same", F.explode(every).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(_texts().alias("df_t"))
+    wanted = small(cut_small(pairs.select("term").distinct()))
+    terms = bodies.select(F.explode(every).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
     known = pairs.join(live, ["kind", "entity"]).join(terms, "term").filter(F.col("df_e") < total)
     ratio = F.log2(F.col("n") * float(max(total, 1)) / (F.col("df_t") * F.col("df_e"))) / F.log2(float(max(total, 1)) / F.col("df_e"))
-    known = small(cut(known.select("kind", "entity", "term", F.round(ratio, 9).alias("share")).filter(F.col("share") >= GENERALISE)))
+    known = small(cut_small(known.select("kind", "entity", "term", F.round(ratio, 9).alias("share")).filter(F.col("share") >= GENERALISE)))
 
     placed = worded.select("row", "words", F.explode("live").alias("e")).select("row", "e.*", F.explode("words").alias("w")).select("row", "kind", "entity", "w.*", F.lower("w.value").alias("term"))
     marked = placed.join(known, ["kind", "entity", "term"]).groupBy("row", "start", "end", "value").agg(F.max("share").alias("share"))
@@ -189,12 +186,12 @@ named AS MATERIALIZED (SELECT DISTINCT id, body, s.kind AS kind, CASE s.kind WHE
 words AS (SELECT id, base, unnest({spans.find_sql('body', word)}) AS t FROM based WHERE len(base) > 0),
 placed AS MATERIALIZED (SELECT id, lower(t.value) AS term, t.start AS start, t.start + length(t.value) AS stop FROM words
   WHERE regexp_matches(t.value, '^\\p{{L}}') AND length(t.value) >= 3 AND len(list_filter(base, lambda o: o.start < t.start + length(t.value) AND t.start < o.stop)) = 0),
-entities AS (SELECT kind, entity, count(DISTINCT body) AS df_e FROM named GROUP BY ALL HAVING count(DISTINCT body) >= {SUPPORT}),
-pairs AS (SELECT kind, entity, term, count(DISTINCT body) AS n FROM named SEMI JOIN entities USING (kind, entity) JOIN (SELECT DISTINCT id, term FROM placed) USING (id)
-  GROUP BY ALL HAVING count(DISTINCT body) >= {SUPPORT}),
-corpus AS (SELECT body, lower(unnest(list_distinct(regexp_extract_all(body, '{word}')))) AS term FROM (SELECT DISTINCT body FROM bodies)),
-terms AS (SELECT term, count(DISTINCT body) AS df_t FROM corpus WHERE term IN (SELECT term FROM pairs) GROUP BY term),
-known AS (SELECT kind, entity, term FROM pairs JOIN entities USING (kind, entity) JOIN terms USING (term), (SELECT count(DISTINCT body) AS total FROM bodies)
+entities AS (SELECT kind, entity, count(*) AS df_e FROM named GROUP BY ALL HAVING count(*) >= {SUPPORT} AND min(body) <> max(body)),
+pairs AS (SELECT kind, entity, term, count(*) AS n FROM named SEMI JOIN entities USING (kind, entity) JOIN (SELECT DISTINCT id, term FROM placed) USING (id)
+  GROUP BY ALL HAVING count(*) >= {SUPPORT} AND min(body) <> max(body)),
+corpus AS (SELECT DISTINCT id, lower(unnest(list_distinct(regexp_extract_all(body, '{word}')))) AS term FROM bodies),
+terms AS (SELECT term, count(*) AS df_t FROM corpus WHERE term IN (SELECT term FROM pairs) GROUP BY term),
+known AS (SELECT kind, entity, term FROM pairs JOIN entities USING (kind, entity) JOIN terms USING (term), (SELECT count(*) AS total FROM bodies)
   WHERE df_e < total AND round(log2(n * CAST(total AS DOUBLE) / (df_t * df_e)) / log2(CAST(total AS DOUBLE) / df_e), 9) >= {GENERALISE}),
 marked AS (SELECT DISTINCT id, start, stop FROM placed JOIN named USING (id) JOIN known USING (kind, entity, term)),
 listed AS (SELECT id, string_agg('term:' || start || ':' || stop, ',' ORDER BY start, stop) AS added, count(*) AS n FROM marked GROUP BY id)

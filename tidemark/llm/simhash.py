@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidemark.llm.common import bound_batches, cut, text_or_empty
+from tidemark.llm.common import bound_batches, cut, cut_small, text_or_empty
 from tidemark.llm.components import components
 from tidemark.operators.order import partitions_of
 
@@ -127,9 +127,9 @@ def links(fps: DataFrame) -> DataFrame:
     """Star edges ``u``, ``v`` that connect exactly the fingerprints (distinct, column ``fp``) within two bits."""
     points = fps.select("fp", embedding(F.col("fp")).alias("point"))
     placed = points.select("fp", "point", F.explode(_cells(F.col("point"))).alias("cell"))
-    crowded = cut(placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell"))
+    crowded = cut_small(placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell"))
     candidates = placed.join(F.broadcast(crowded) if crowded.count() <= BROADCAST_CELLS else crowded, "cell", "left_semi")
-    verified = cut(candidates.select("fp", F.explode(_centres(F.col("fp"), F.col("point"), F.col("cell"))).alias("centre")))
+    verified = cut_small(candidates.select("fp", F.explode(_centres(F.col("fp"), F.col("point"), F.col("cell"))).alias("centre")))
     hubs = verified.groupBy("centre").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).filter("hub != last")
     return verified.join(hubs, "centre").filter("fp != hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
 
@@ -142,13 +142,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     bound_batches(docs.sparkSession, 500, "4m")
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    nodes = cut(nodes.repartition(partitions_of(nodes), "fp"))  # so many, as each of these small rows grows to thirty
+    nodes = cut_small(nodes.repartition(partitions_of(nodes), "fp"))  # not fewer, as each of these small rows grows to thirty
     roots = components(links(nodes))
     joined = roots.join(nodes, roots.node == nodes.fp).select("node", "root", "least_id")
     least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = joined.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "component_id")
     # a fingerprint without links is a component of its own
-    classes = cut(nodes.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
+    classes = cut_small(nodes.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
     # the copies of one text meet their class in a join that can be split
     return rows.join(classes, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -166,7 +166,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     key = F.struct(F.col(doc_id).isNull().alias("without"), *(value.alias(name) for name, value in keys.items()))
     rows = cut(docs.select(key.alias("key"), _fingerprints(F.col(text)).alias("fp")))
     nodes = rows.groupBy("fp").agg(F.min("key").alias("first"))
-    nodes = cut(nodes.repartition(partitions_of(nodes), "fp"))
+    nodes = cut_small(nodes.repartition(partitions_of(nodes), "fp"))
     roots = components(links(nodes)).withColumnRenamed("node", "fp")
     kept = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first")
     keyed = docs.select(F.struct("*").alias("doc"), key.alias("key"))  # packed, so that no name of the table can clash

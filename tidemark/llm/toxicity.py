@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
-from tidemark.llm.common import bound_batches, cut, in_training
+from tidemark.llm.common import bound_batches, cut, cut_small, in_training
 
 FOLDS, HELD_OUT = 5, 0
 LEXICON_FOLDS, TREE_FOLD, CALIBRATION_FOLD = (1, 2), 3, 4
@@ -67,7 +67,7 @@ def lexicon(labelled: DataFrame) -> dict[str, float]:
     """Words and word beginnings with their log-odds, from ``text`` and ``toxic``; at most ``LEXICON_SIZE``."""
     words = labelled.select("toxic", F.explode(_plain_words("text")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     parts = F.array_distinct(F.concat(F.array("word"), *(F.when(F.length("word") > k, F.array(F.substring("word", 1, k))).otherwise(F.array().cast("array<string>")) for k in BEGINNINGS)))
-    terms = cut(words.select(F.explode(parts).alias("term"), "t", "n").groupBy("term").agg(F.sum("t").alias("t"), F.sum(F.col("n") - F.col("t")).alias("c")).filter("t > 0 or length(term) > 2"))
+    terms = cut_small(words.select(F.explode(parts).alias("term"), "t", "n").groupBy("term").agg(F.sum("t").alias("t"), F.sum(F.col("n") - F.col("t")).alias("c")).filter("t > 0 or length(term) > 2"))
     whole = words.agg(F.sum("t").alias("t"), F.sum(F.col("n") - F.col("t")).alias("c")).first()
     if not whole.t or not whole.c:
         return {}
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Learn from the rows of ``labels`` (``doc_id`` and ``label``) outside the held-out fold."""
     usable = labels.filter(F.col(label).isNotNull() & in_training("doc_id", FOLDS, HELD_OUT))
     usable = usable.groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max(label).cast("int").alias("toxic"))
-    usable = cut(usable)
+    usable = cut_small(usable)
     there = usable.count()
     # about SAMPLE rows by a hash of the id, or all
     sample = usable if there <= SAMPLE else usable.filter(F.pmod(F.xxhash64("labelled_id"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / there))
@@ -221,8 +221,7 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: whether it is held out, its score and the predicted label."""
     docs = docs.select("doc_id", "text")
     scored = fit(docs, labels).score(docs)
-    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % FOLDS == HELD_OUT
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", (~in_training("doc_id", FOLDS, HELD_OUT)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
