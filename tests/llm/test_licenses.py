@@ -194,10 +194,8 @@ def test_odd_texts(spark):
 
 
 def test_tables():
-    import re
-
     assert all(n in licenses.SENTENCES for _, sequence in licenses.RULES for n in sequence)
-    assert all(re.search(licenses.WORDS, form) for form in licenses.forms())
+    assert all(any(word in form for word in licenses.WORDS) for form in licenses.forms())
     assert [len(s) for _, s in licenses.RULES] == sorted((len(s) for _, s in licenses.RULES), reverse=True)
 
 

@@ -20,6 +20,8 @@ give repeated results; other columns, whatever their names, are kept by ``scan``
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,7 +170,7 @@ _EVERY = [*_SEQUENCES, *((name, (f"spdx-{name}",)) for name in _NAMES)]
 RULES = sorted(((name, sequence) for name, plain in _EVERY for sequence in (("all-rights", *plain), plain)), key=lambda rule: -len(rule[1])) + [("proprietary", ("all-rights",))]
 
 #: Every known sentence holds one of these, in any case.
-WORDS = "licen|permi|redistribut|warrant|reserved|liab|misrepresent|altered|advertising|endorse|noncommercial|unencumbered|compiled|cc0|attribution|waived|mpl"
+WORDS = ("licen", "permi", "redistribut", "warrant", "reserved", "liab", "misrepresent", "altered", "advertising", "endorse", "noncommercial", "unencumbered", "compiled", "cc0", "attribution", "waived", "mpl")
 _ADDRESS = r"(https?://[^\x20\x09-\x0D]+)[\x20\x09]"
 _STOP = r"[^A-Za-z0-9\x20\x09-\x0D][\x20\x09]"
 #: What may precede a reference, as in "This project is licensed under ...".
@@ -211,7 +213,8 @@ def _known(text: str) -> Column:
             form = F.regexp_replace(form, pattern, to)
         return F.element_at(F.create_map(*(F.lit(x) for pair in forms().items() for x in pair)), form)
 
-    return F.when(F.col(text).rlike(f"(?i){WORDS}"), F.transform(found, identified)).otherwise(F.array().cast("array<string>"))
+    likely = reduce(or_, (F.contains(F.lower(text), F.lit(word)) for word in WORDS))
+    return F.when(likely, F.transform(found, identified)).otherwise(F.array().cast("array<string>"))
 
 
 def _licenses(ids: str) -> Column:
@@ -254,7 +257,7 @@ def digest_sql() -> str:
     rules = ", ".join(f"{{'rest': '', 'names': CAST([] AS VARCHAR[]), 'mark': {quoted(';' + ';'.join(sequence) + ';')}, 'name': {quoted(name)}}}" for name, sequence in RULES)
     return f"""WITH ids AS (SELECT map(list(form), list(name)) AS ids FROM (VALUES {known}) t(form, name)),
 bodies AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
-stopped AS (SELECT doc_id, regexp_matches(body, '(?i){WORDS}') AS likely, regexp_replace(regexp_replace(regexp_replace(translate(body, '|', ' '), {quoted(_ADDRESS)}, '\\1|', 'g'), {quoted(_STOP)}, '|', 'g'), '[\\n\\r]', '|', 'g') AS body FROM bodies),
+stopped AS (SELECT doc_id, {' OR '.join(f"contains(lower(body), '{word}')" for word in WORDS)} AS likely, regexp_replace(regexp_replace(regexp_replace(translate(body, '|', ' '), {quoted(_ADDRESS)}, '\\1|', 'g'), {quoted(_STOP)}, '|', 'g'), '[\\n\\r]', '|', 'g') AS body FROM bodies),
 worded AS (SELECT doc_id, likely, '||' || trim(regexp_replace(lower(regexp_replace(body, '[^A-Za-z0-9|]+', ' ', 'g')), ' ?\\|[ |]*', '||', 'g')) || '||' AS body FROM stopped),
 found AS (SELECT doc_id, CASE WHEN likely THEN list_transform(regexp_extract_all(body, {quoted(_pattern())}, 1), lambda s: ids[{form}]) ELSE [] END AS found FROM worded, ids),
 judged AS (SELECT doc_id, found, list_reduce(list_prepend({{'rest': ';' || array_to_string(found, ';') || ';', 'names': CAST([] AS VARCHAR[]), 'mark': '', 'name': ''}}, [{rules}]), lambda a, r: {{
