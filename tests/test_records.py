@@ -3,6 +3,7 @@
 import gzip
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tidemark.operators.order import dest_ranks, running
 from tidemark.operators.route import known_refs, route, unknown_refs
 from tidemark.operators.stats import sortedness
 from tidemark.plans.sort import arguments, sort_sam
+from tidemark.sources import bgzf
 from tidemark.sources.sam import parse, read_lines, read_sam
 
 # qname, rname, pos, mapq, rnext; buckets: single, paired, paired with discordant apart
@@ -115,6 +117,38 @@ def test_malformed(spark, tmp_path):
     assert [r.qname for r in rows if r._corrupt is None] == ["ok"] and len(rows) == 4
 
 
+def test_the_header_is_a_prefix(spark, tmp_path):
+    path = tmp_path / "late.sam"
+    path.write_text(HEAD + line("a", "chr1", 1, 1, "=") + "\n@CO\tlate\n" + line("@b", "chr1", 2, 1, "=") + "\n")
+    lines, header, _ = read_lines(spark, str(path))
+    assert header.lines == tuple(HEAD.split("\n")[:-1])
+    with pytest.raises(Exception, match="malformed"):
+        parse(lines).collect()
+    assert [(r.qname, r._corrupt) for r in parse(lines, "PERMISSIVE").collect()] == [("a", None), ("@CO", "@CO\tlate"), ("@b", None)]
+
+
+@pytest.mark.parametrize("name", ["a.sam", "a.sam.gz", "a.bam"])
+def test_places_of_one_scan_are_in_order(spark, tmp_path, monkeypatch, name):
+    rng = random.Random(5)
+    rows = [line(f"r{i}", "chr1", rng.randrange(99), 9, "=", "\tX:" + "y" * rng.randrange(90_000 if i % 97 == 0 else 60)) for i in range(3000)]
+    text = (HEAD + "\n".join(rows) + "\n").encode()
+    packed = name != "a.sam"
+    (tmp_path / name).write_bytes(bgzf.compress(text) + bgzf.EOF if packed else text)
+    monkeypatch.setattr(bgzf, "RANGE", 9_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 50_000)
+    try:
+        for exact in (True, False):
+            lines, header, head = read_lines(spark, str(tmp_path / name), exact)
+            found = sorted((r.src_offset, r.line, r.in_header) for r in lines.collect())
+            assert len({at for at, _, _ in found}) == len(found) == 3004
+            assert [x for _, x, _ in found] == text.decode().split("\n")[:-1] and sum(h for *_, h in found) == 4
+            if exact:
+                assert [at for at, _, _ in found] == [0, *np.cumsum([len(x) + 1 for _, x, _ in found])[:-1].tolist()]
+            assert lines.rdd.getNumPartitions() > 3 and head == len(HEAD)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def expected_files(text, layout, q, order):
     """What sorting gives, record by record."""
     names, out = ["chr1", "chr2"], {}

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``; in local mode, as in tests, a temporary one where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -20,3 +23,11 @@ def settle(df: DataFrame) -> DataFrame:
     """``df`` from files of the checkpoint folder."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def local_path(uri: str) -> str:
+    """The path of a file that all executors mount; raises for other file systems."""
+    scheme = re.match("([A-Za-z][A-Za-z0-9+.-]+):", uri)
+    if scheme and scheme[1] != "file":
+        raise ValueError(f"this needs a mounted path, not {uri}")
+    return re.sub("^file:(//(?=/))?", "", uri)

@@ -112,5 +112,7 @@ powers AS (SELECT *, CAST(pow(2, floor(log2(cores))) AS BIGINT) AS pow2_cores FR
 SELECT *, round(mem_gb / pow2_cores, 1) AS mem_per_core, CAST(ceil(pow2_cores / nodes) AS BIGINT) AS cores_per_node FROM powers""",
     "sam_roundtrip": _round_trip(False),
     "bgzf_roundtrip": _round_trip(False),
+    "bam_roundtrip": _round_trip(False),
+    "command_roundtrip": _round_trip(False),
     "merged_roundtrip": _round_trip(True),
 }

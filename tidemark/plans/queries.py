@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
-import shutil
 import uuid
 from collections.abc import Callable
 
@@ -13,13 +14,13 @@ from pyspark.sql import functions as F
 from tidemark.functions.header import Header, refs_frame
 from tidemark.functions.keys import name_key
 from tidemark.functions.resources import estimate
-from tidemark.lineage import checkpoint_folder
+from tidemark.lineage import checkpoint_folder, local_path
 from tidemark.operators import stats
 from tidemark.operators.order import dest_ranks, shard_offsets
 from tidemark.operators.route import known_refs, route, unknown_refs
 from tidemark.plans.fixtures import NAMES, lineitem_records, reads_documents, reads_events, reads_lineitem
-from tidemark.plans.sort import sort_sam
-from tidemark.sources.sam import read_lines, read_sam
+from tidemark.plans.sort import main, sort_sam
+from tidemark.sources.sam import parse, read_lines
 from tidemark.sources.sink import write_sorted
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,8 +39,8 @@ def scan_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def header_refs(spark: SparkSession, folder: str) -> DataFrame:
     """The dictionary of a header whose references are the nations."""
-    nations = spark.read.parquet(f"{folder}/nation.parquet").orderBy("n_nationkey").select("n_name").collect()
-    names = [row.n_name.replace(" ", "_") for row in nations]
+    nations = spark.read.parquet(f"{folder}/nation.parquet").orderBy("n_nationkey").select(F.replace("n_name", F.lit(" "), F.lit("_")).alias("name"))
+    names = [row.name for row in nations.collect()]  # a header is the driver's own
     return refs_frame(spark, Header(tuple(f"@SQ\tSN:{name}\tLN:1" for name in names)).references())
 
 
@@ -137,7 +138,7 @@ def resource_estimate(spark: SparkSession, folder: str) -> DataFrame:
 
 def _shared_folder(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, as a local path of the shared file system."""
-    folder = f"{checkpoint_folder(spark).removeprefix('file:')}/sam-{uuid.uuid4().hex}"
+    folder = f"{local_path(checkpoint_folder(spark))}/sam-{uuid.uuid4().hex}"
     os.makedirs(folder)
     return folder
 
@@ -151,7 +152,14 @@ def write_source(spark: SparkSession, folder: str, to: str) -> str:
     return f"{to}/source.sam"
 
 
-def _round_trip(**options) -> Query:
+def _by_command(spark: SparkSession, path: str, out_dir: str) -> list[str]:
+    """The files that the command line writes."""
+    with contextlib.redirect_stdout(io.StringIO()) as told:
+        main(["-p", "-q", "20", "-s", path, out_dir])
+    return [line.split("\t")[0] for line in told.getvalue().splitlines()]
+
+
+def _round_trip(sort: Callable | None = None, **options) -> Query:
     """Records written as SAM, sorted to files, and read back with the place they have there."""
 
     def query(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,19 +167,13 @@ def _round_trip(**options) -> Query:
         source = write_source(spark, folder, work)
         out = f"{work}/out"
         os.makedirs(out)
-        files = sort_sam(spark, source, out, layout="paired", min_mapq=20, **options)
+        files = sort(spark, source, out) if sort else sort_sam(spark, source, out, layout="paired", min_mapq=20, **options)
         os.remove(source)
-        frames = []
-        for name in files:
-            lines, header, head = read_lines(spark, f"{out}/{name}")
-            if header.lines[0] != "@HD\tVN:1.0\tSO:coordinate":
-                raise AssertionError(f"{name} has another header")
-            records, _ = read_sam(spark, f"{out}/{name}")
-            frames.append(records.select(F.lit(name.rpartition(".")[0]).alias("file"), (F.col("src_offset") - head).alias("place"), "size", "qname", "rname", "pos", "mapq", "rnext"))
-        every = frames[0]
-        for frame in frames[1:]:
-            every = every.unionAll(frame)
-        return every
+        lines, header, head = read_lines(spark, [f"{out}/{name}" for name in files])
+        if header.lines[0] != "@HD\tVN:1.0\tSO:coordinate":
+            raise AssertionError("the files have another header")
+        file = F.regexp_extract("file", "([^/]+)[.][a-z]+$", 1)  # all files have the same header
+        return parse(lines).select(file.alias("file"), (F.col("src_offset") - head).alias("place"), "size", "qname", "rname", "pos", "mapq", "rnext")
 
     return query
 
@@ -213,5 +215,7 @@ QUERIES: dict[str, Query] = {
     "resource_estimate": resource_estimate,
     "sam_roundtrip": _flat(_round_trip(fmt="sam")),
     "bgzf_roundtrip": _flat(_round_trip(fmt="bgzf")),
+    "bam_roundtrip": _flat(_round_trip(fmt="bam", level=9)),
+    "command_roundtrip": _flat(_round_trip(_by_command)),
     "merged_roundtrip": _flat(_round_trip(fmt="bgzf", merge=True)),
 }

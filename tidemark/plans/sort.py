@@ -36,7 +36,7 @@ def sort_sam(
     """
     if not os.path.isdir(out_dir):
         raise NotADirectoryError(out_dir)
-    records, header = read_sam(spark, path, parse_mode)
+    records, header = read_sam(spark, path, parse_mode, exact=False)
     if parse_mode == "PERMISSIVE":
         records = records.filter("_corrupt is null")
     routed = route(records, header.references() if uniq is None else [uniq], layout, uniq, min_mapq, discordant, order)

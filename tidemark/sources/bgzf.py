@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 #: Raw bytes of a block; so many fit into 64 KiB even if they can't be compressed.
 RAW_BLOCK = 64_512
 EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 _HEAD = "<4BI2BH2BHH"
+_MAGIC = b"\x1f\x8b\x08\x04"
+#: Compressed bytes that a task reads.
+RANGE = 1 << 24
+#: More raw bytes than a compressed byte can stand for.
+MOST_RAW = 1100
 
 
 def block(raw: bytes, level: int = 3) -> bytes:
@@ -44,3 +54,90 @@ def blocks(data: bytes) -> Iterator[tuple[int, bytes]]:
             raise ValueError(f"block at {at} has another checksum or length")
         yield at, raw
         at = end
+
+
+def is_blocked(path: str) -> bool:
+    """Whether a local file begins with a block."""
+    with open(path, "rb") as file:
+        head = file.read(18)
+    return len(head) == 18 and head[:4] == _MAGIC and head[10:16] == b"\6\0BC\2\0"
+
+
+def _first_block(file: BinaryIO, begin: int, size: int) -> int:
+    """The first block at or after ``begin``: a header behind which headers follow to the end, or for three blocks."""
+    file.seek(begin)
+    data = file.read(1 << 18)
+    at = data.find(_MAGIC)
+    while at >= 0:
+        here = at
+        for _ in range(3):
+            if here == len(data) or begin + here == size:
+                return begin + at
+            if data[here : here + 4] != _MAGIC or data[here + 10 : here + 16] != b"\6\0BC\2\0":
+                break
+            here += struct.unpack_from("<H", data, here + 16)[0] + 1
+        else:
+            return begin + at
+        at = data.find(_MAGIC, at + 1)
+    return size
+
+
+def _raw(file: BinaryIO, at: int, size: int) -> Iterator[tuple[int, bytes]]:
+    """Offset and raw bytes of each block from ``at`` on, read one by one."""
+    file.seek(at)
+    while at < size:
+        head = file.read(18)
+        if len(head) < 18 or head[:4] != _MAGIC or head[10:16] != b"\6\0BC\2\0":
+            raise ValueError(f"no block header at {at}")
+        last = struct.unpack_from("<H", head, 16)[0]
+        for _, raw in blocks(head + file.read(last - 17)):
+            yield at, raw
+        at += last + 1
+
+
+def lines_of(path: str, begin: int, end: int) -> Iterator[list[bytes]]:
+    """The lines, in lists, that begin behind the first line end of the range (the first range: at once), the last to its end."""
+    size = os.path.getsize(path)
+    with open(path, "rb") as file:
+        first = _first_block(file, begin, size) if begin else 0
+        if first >= end:
+            return
+        held, inside = b"", begin == 0
+        for at, raw in _raw(file, first, size):
+            if at >= end:  # only the line that runs over the end is left
+                if inside:
+                    stop = raw.find(b"\n")
+                    held += raw if stop < 0 else raw[:stop]
+                    if stop >= 0:
+                        yield [held]
+                        return
+                    continue
+                return
+            if not inside:
+                start = raw.find(b"\n")
+                if start < 0:
+                    continue
+                raw, inside = raw[start + 1 :], True
+            *whole, held = (held + raw).split(b"\n")
+            if whole:
+                yield whole
+        if inside and held:
+            yield [held]
+
+
+def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file``, ``line`` and ``split`` of block-gzip files on mounted paths, read in parallel by ranges of their blocks.
+
+    A split is the place where its range begins if all bytes before it stood for as many raw bytes as they can.
+    """
+    ranges = [(path, at, min(at + RANGE, size)) for path in paths for size in [os.path.getsize(path)] for at in range(0, size, RANGE)]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, begin, end in zip(*(c.to_pylist() for c in batch.columns)):
+                for lines in lines_of(path, begin, end):
+                    n = len(lines)
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(lines, pa.binary()), pa.array([begin * MOST_RAW] * n, pa.int64())], ["file", "line", "split"])
+
+    frame = spark.createDataFrame(ranges, "file string, begin bigint, end bigint").repartition(min(len(ranges), 4096) or 1)
+    return frame.mapInArrow(read, "file string, line binary, split bigint").selectExpr("file", "cast(line as string) line", "split")
