@@ -59,3 +59,20 @@ def test_blocks_of_a_leaf(spark, monkeypatch, block):
         found.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
     expected = brute(np.arange(300), vectors, 20)
     assert {q: [v[i] for i in range(1, 21)] for q, v in found.items()} == expected  # one leaf: every candidate is seen
+
+
+def test_structured_vectors_need_less(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 32))
+    vectors = (centres[rng.integers(0, 40, 6000)] + 0.1 * rng.normal(size=(6000, 32))).astype(np.float32).astype(float)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    seen = []
+    enough = ann._enough
+    monkeypatch.setattr(ann, "_enough", lambda *a: seen.append(enough(*a)) or seen[-1])
+    monkeypatch.setattr(ann, "LEAF", 64)
+    found = {}
+    for r in ann.search(frame(spark, [(i, vectors[i].tolist(), 0) for i in range(6000)]), F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    expected = brute(np.arange(6000), vectors, 20)
+    assert sum(len(found[q] & set(v)) for q, v in expected.items()) >= 0.9 * 20 * len(expected)
+    assert seen[0] < 0.3 * ann.TREES * 6000  # a small part of what all trees hold together

@@ -4,13 +4,14 @@ The trees are complete and fit on a bounded sample: each node projects on the
 difference of two random sample vectors and splits at the median.  Every vector
 is indexed, in one leaf of each tree.  A query walks all trees through one
 priority queue, ordered by how far it lies on the wrong side of a split at
-worst, and takes leaves until they hold ``SEARCH`` times as many vectors as the
-index, a vector counting once for each tree.  Queries and vectors meet by leaf, every candidate there
-is scored exactly, and each query's best candidates of all leaves are merged.
-
-Vectors of high dimension without structure have no shortcuts: ``SEARCH`` is
-what takes recall to 0.95 on such data; structured vectors need
-far less.  Leaves with more than ``BLOCK`` vectors, or asked by more than
+worst, and takes leaves until they hold enough vectors, a vector counting once
+for each tree.  Queries and vectors meet by leaf, every candidate there is
+scored exactly, and each query's best candidates of all leaves are merged.
+
+How many are enough is measured: for about ``TRIALS`` queries the exact answer
+is found by brute force, and so many are taken as reach ``RECALL`` of it.
+Vectors of high dimension without structure have no shortcuts, and most of the
+index must be seen; structured vectors need far less.  Leaves with more than ``BLOCK`` vectors, or asked by more than
 ``BLOCK`` queries, are split into blocks that are searched apart, each of the
 queries against each of the vectors.  Of equal vectors only the ``k + 1`` smallest ids can be among
 anyone's nearest, as ties go to smaller ids, so only these are indexed; this
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,7 +43,8 @@ SAMPLE = 16_384
 #: Vectors in a leaf, about, and levels at most (more would leave a leaf too few of the sample).
 LEAF, DEEPEST = 512, 10
 BLOCK = 8192
-SEARCH = 1.1
+#: Queries whose exact answers tell how far to search, about, and the recall aimed at.
+TRIALS, RECALL = 256, 0.95
 
 
 class Forest:
@@ -61,6 +64,12 @@ class Forest:
             found[:, t] = t * 2**self.depth + node - (2**self.depth - 1)
         return found
 
+    def needed(self, query: np.ndarray, sizes: dict[int, int], leaves: np.ndarray) -> list[int]:
+        """For each row of leaf codes how many vectors are held by the leaves visited before one of the row."""
+        order = self.search(query, sizes, math.inf)
+        before = dict(zip(order, np.cumsum([0, *(sizes[code] for code in order)]).tolist()))
+        return [min(before[code] for code in row) for row in leaves.tolist()]
+
     def search(self, query: np.ndarray, sizes: dict[int, int], enough: float) -> list[int]:
         """Codes of leaves, nearest first, that hold ``enough`` vectors together; all if they don't."""
         sides = (self.planes @ query - self.cuts).tolist()
@@ -124,7 +133,8 @@ def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) ->
     order = np.lexsort((ids[near], -scores), axis=1)[:, :k]
     best, score = list(np.take_along_axis(ids[near], order, 1)), list(np.take_along_axis(scores, order, 1))
     if spare < len(ids):  # all that tie with the last place belong to the choice
-        last = np.take_along_axis(rough, near, 1).min(1) - 1e-12
+        size = np.linalg.norm(queries, axis=1) * np.linalg.norm(vectors, axis=1).max()
+        last = np.take_along_axis(rough, near, 1).min(1) - 1e-12 * np.maximum(size, 1e-300)
         for i in np.flatnonzero((rough >= last[:, None]).sum(1) > spare):
             at = np.flatnonzero(rough[i] >= last[i])
             exact = _exact(np.repeat(queries[i : i + 1], len(at), axis=0), vectors[at])
@@ -133,6 +143,32 @@ def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) ->
     return best, score
 
 
+def _enough(indexed: DataFrame, queries: DataFrame, k: int, forest: tuple, sizes: dict[int, int]) -> float:
+    """How many vectors the visited leaves must hold, by the exact answers of some queries (``query_id``, ``q``)."""
+    total = queries.count()
+    share = int((1 << 30) * min(1.0, TRIALS / max(total, 1)))
+    trials = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(1 << 30)) < share).orderBy("query_id").collect()
+    if not trials:
+        return math.inf
+    asked, names = np.array([r.q for r in trials], float), [r.query_id for r in trials]
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found, ids = np.stack(batch["v"].to_numpy()), batch["vec_id"].to_numpy()
+            for i, near in enumerate(_best(asked, found, ids, k + 1)[0]):
+                at = np.flatnonzero(np.isin(ids, near) & (ids != names[i]))
+                yield pd.DataFrame({"trial": i, "vec_id": ids[at], "below": -(found[at] @ asked[i]), "v": list(found[at])})
+
+    found = indexed.select("vec_id", "v").mapInPandas(best, "trial int, vec_id long, below double, v array<double>")
+    place = F.row_number().over(Window.partitionBy("trial").orderBy("below", "vec_id"))
+    nearest = found.withColumn("place", place).filter(F.col("place") <= k).select("trial", "v").collect()  # TRIALS * k rows, about
+    trees, needs = Forest(*forest), []
+    codes = trees.leaves(np.array([r.v for r in nearest], float)) if nearest else []
+    for i in range(len(trials)):
+        needs += trees.needed(asked[i], sizes, codes[[r.trial == i for r in nearest]]) if nearest else []
+    return float(np.quantile(needs, RECALL, method="higher")) + 1 if needs else math.inf
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the k nearest found, by inner product, for the rows that are queries."""
     spark = vectors.sparkSession
@@ -158,14 +194,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
 
     posted = cut(indexed.select("vec_id", "v", F.explode(leaves("v")).alias("leaf")))
     sizes = {r.leaf: r["count"] for r in posted.groupBy("leaf").count().collect()}  # TREES * 2**DEEPEST at most
+    asked = points.filter("asked").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    enough = _enough(indexed, asked, k, forest.value, sizes)
     held = spark.sparkContext.broadcast(sizes)
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def visits(batch: pd.Series) -> pd.Series:
         trees = Forest(*forest.value)
-        return pd.Series([trees.search(np.asarray(q, float), held.value, SEARCH * total) for q in batch], dtype=object)
+        return pd.Series([trees.search(np.asarray(q, float), held.value, enough) for q in batch], dtype=object)
 
-    asked = points.filter("asked").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     asked = cut(asked.select("query_id", "q", visits("q").alias("leaves")))
     askers = {r.leaf: r["count"] for r in asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
     parts = [(leaf, math.ceil(n / BLOCK), math.ceil(askers.get(leaf, 0) / BLOCK)) for leaf, n in sizes.items()]
