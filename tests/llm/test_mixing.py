@@ -88,7 +88,7 @@ def test_positions_invert_the_demand(spark, rates):
 
 def test_the_mix(spark):
     rows = rows_of(5) + [(7, "repeated id", "a")]
-    df = documents(spark, rows).withColumnRenamed("lang", "target")
+    df = documents(spark, rows).withColumnsRenamed({"lang": "mix_size", "n_chars": "mix_key"})
     plan = mixing.plan(mixing.sized(df)).collect()
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 from tidemark.llm import toxicity
@@ -42,7 +44,7 @@ def test_labels_of_the_held_out_fold_are_not_used(spark):
 
 def test_rejection_keeps_columns(spark):
     docs, labels, truth = labelled(spark, 600)
-    df = docs.withColumnRenamed("lang", "features")
+    df = docs.withColumnsRenamed({"lang": "score", "source": "tox_raw", "n_chars": "doc"})
     kept = toxicity.reject(df, labels)
     assert kept.columns == df.columns
     ids = {r.doc_id for r in kept.collect()}
@@ -65,3 +67,67 @@ def test_features():
     at = features.NAMES.index
     assert rows[0][at("near_second")] == 1.0 and rows[0][at("caps_rate")] == 0.5 and rows[0][at("most_weight")] == 5.0
     assert rows[1][at("undone_rate")] > 0 and rows[2] == [0.0] * len(features.NAMES) and rows[3][at("hit_density")] == 0
+
+
+def brute_features(text, lexicon):
+    """The features by their definition, word by word."""
+    tokens = (text or "").split()
+    if not tokens:
+        return [0.0] * len(toxicity.Features.NAMES)
+    weigh = lambda w: max([lexicon.get(w, 0.0)] + [lexicon.get(w[:k], 0.0) for k in range(3, 8) if k < len(w)])
+    facts = []
+    for t in tokens:
+        word = t.lower().strip(".,;:!?\"'()[]{}|-_`~<>/\\")
+        odd = bool(re.search(r"[^\W\d_][\d@$!*]+[^\W\d_]", word))
+        stretched = bool(re.search(r"([^\W\d_])\1\1", word))
+        undone = max(weigh(word.translate(str.maketrans("013457@$!*", "oieastasi."))), weigh(re.sub(r"(.)\1+", r"\1", word))) if odd or stretched else 0.0
+        letters = [c for c in t if c.isalpha()]
+        facts.append({"weight": max(weigh(word), undone), "second": word in toxicity._SECOND, "caps": len(letters) > 1 and all(c.isupper() for c in letters), "odd": odd, "undone": undone > 0, "stretched": stretched})
+    n, chars = len(tokens), "".join(tokens)
+    hits = [i for i, f in enumerate(facts) if f["weight"] > 0]
+    second = [i for i, f in enumerate(facts) if f["second"]]
+    share = lambda name: sum(f[name] for f in facts) / n
+    return [
+        share("weight"), len(hits) / n, sum(f["weight"] >= 2 * toxicity.LEAST_ODDS for f in facts) / n, max(f["weight"] for f in facts), math.log1p(len({tokens[i] for i in hits})),
+        sum(any(abs(i - j) <= toxicity.NEAR_WORDS for j in second) for i in hits) / len(hits) if hits and second else 0.0, len(second) / n,
+        share("caps"), sum(c.isupper() for c in chars) / max(sum(c.isalpha() for c in chars), 1), sum(not c.isalnum() for c in chars) / len(chars),
+        sum(c in "!?" for c in chars) / len(chars), share("odd"), share("undone"), share("stretched"), math.log1p(n),
+    ]
+
+
+def test_features_by_brute_force():
+    rng = random.Random(9)
+    lexicon = {"idiot": 5.0, "idi": 2.5, "trash": 3.0, "mor": 2.1, "scum": 4.4}
+    words = ["you", "YOUR,", "u", "IDIOT!!", "1d1ot", "idiiiot", "trash", "tr@sh?", "moronic", "scum.", "plain", "Word", "NASA", "l33t", "(du)", "été", "'", "--", "sooo", "a", "x1y"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(200)] + [None, "", "\n\t", "\u00a0 x"]
+    for text, row in zip(texts, toxicity.Features(lexicon).of(texts), strict=True):
+        assert all(math.isclose(a, b, rel_tol=1e-5, abs_tol=1e-9) for a, b in zip(row, brute_features(text, lexicon), strict=True)), text
+
+
+def pooled(points):
+    """Isotonic regression by pooling neighbours that decrease."""
+    blocks = []
+    for y, w in points:
+        blocks.append([y * w, w, 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            total, weight, n = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + total, blocks[-1][1] + weight, blocks[-1][2] + n]
+    return [t / w for t, w, n in blocks for _ in range(n)]
+
+
+def test_calibration_by_brute_force(spark):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    docs, labels, truth = labelled(spark, 500, 5)
+    model = toxicity.fit(docs, labels)
+    raw = model.trees.transform(toxicity.with_features(docs, model.words)).select("doc_id", F.get(vector_to_array("tox_probability"), 1).alias("p")).collect()
+    by_value = {}
+    for r in raw:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 == toxicity.CALIBRATION_FOLD:
+            by_value.setdefault(r.p, []).append(truth[r.doc_id])
+    values = sorted(by_value)
+    expected = dict(zip(values, pooled([(sum(by_value[v]) / len(by_value[v]), len(by_value[v])) for v in values])))
+    scores = {r.doc_id: r.score for r in model.score(docs).collect()}
+    seen = [(expected[r.p], scores[r.doc_id]) for r in raw if r.p in expected]
+    assert len(seen) > 50 and all(math.isclose(a, b, abs_tol=1e-9) for a, b in seen)

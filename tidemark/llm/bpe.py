@@ -264,8 +264,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids
             back = [b"".join(map(token, np.frombuffer(p, "<u4").tolist())) for p in packed]
             yield pd.DataFrame({"ids": pd.Series(packed, dtype=object), "decoded": pd.Series(back, dtype=object)})
 
-    found = docs.withColumn("bpe_both", both(F.col(text)))
-    return found.select(*docs.columns, F.col("bpe_both.ids").alias(ids), F.col("bpe_both.decoded").alias(decoded))
+    found = docs.select(F.struct("*").alias("doc"), both(F.col(text)).alias("both"))  # packed, so that no name can clash
+    return found.select("doc.*", F.col("both.ids").alias(ids), F.col("both.decoded").alias(decoded))
 
 
 def count_ids(ids: str = "ids"):

@@ -151,15 +151,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     A document that is taken in part keeps its first words.
     """
-    columns = docs.columns
-    planned = plan(sized(docs, doc_id, text), doc_id, source).filter("mix_taken > 0")
+    packed = docs.select(F.struct("*").alias("doc"))  # so that no name of the table can clash
+    own_id, own_text, own_source = (f"doc.`{name}`" for name in (doc_id, text, source))
+    planned = plan(sized(packed, own_id, own_text), own_id, own_source).filter("mix_taken > 0")
     uses = F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int")
     used = planned.select("*", F.explode(F.sequence(F.lit(0), uses - 1)).alias("mix_use"))
     left = F.col("mix_taken") - F.col("mix_use") * F.col("mix_size")
-    cut_short = F.when(left < F.col("mix_size"), _first_words(F.col(text), left)).otherwise(F.col(text))
+    cut_short = F.when(left < F.col("mix_size"), _first_words(F.col(own_text), left)).otherwise(F.col(own_text))
     at = position(F.col("mix_use") * F.col("mix_source_size") + F.col("mix_begin"), F.col("mix_target"), F.col("mix_weight"))
-    placed = used.withColumn("mix_position", at).withColumn(text, cut_short)
-    return placed.orderBy("mix_position", F.col(doc_id)).select(*columns)
+    placed = used.select("doc", at.alias("mix_position"), cut_short.alias("mix_text")).orderBy("mix_position", own_id)
+    return placed.select(*(F.col(f"doc.`{name}`") if name != text else F.col("mix_text").alias(text) for name in docs.columns))
 
 
 ASSIGN_SQL = r"""

@@ -170,18 +170,14 @@ class Model:
     def __init__(self, words, trees, calibration, share: float):
         self.words, self.trees, self.calibration, self.share = words, trees, calibration, share
 
-    def _probability(self, docs: DataFrame, text: str) -> DataFrame:
-        judged = self.trees.transform(with_features(docs, self.words, text))
-        return judged.withColumn("tox_raw", F.get(vector_to_array("tox_probability"), 1)).drop("tox_features", "tox_raw_prediction", "tox_probability", "tox_prediction")
-
     def score(self, docs: DataFrame, text: str = "text", to: str = "score") -> DataFrame:
         if self.trees is None:
             return docs.withColumn(to, F.lit(self.share))
-        raw = self._probability(docs, text)
+        packed = docs.select(F.struct("*").alias("doc"))  # so that no name of the table can clash
+        judged = self.trees.transform(with_features(packed, self.words, f"doc.`{text}`")).select("doc", F.get(vector_to_array("tox_probability"), 1).alias("tox_raw"))
         if self.calibration is None:
-            return raw.withColumnRenamed("tox_raw", to)
-        found = self.calibration.transform(raw).drop("tox_raw")
-        return found.withColumn("tox_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "tox_score"))).withColumnRenamed("tox_score", to)
+            return judged.select("doc.*", F.col("tox_raw").alias(to))
+        return self.calibration.transform(judged).select("doc.*", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "tox_score")).alias(to))
 
 
 def _classes(rows: DataFrame) -> tuple[int, int]:
@@ -226,5 +222,7 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that are predicted to be toxic."""
-    scored = fit(docs, labels, doc_id, text).score(docs, text, "tox_final")
-    return scored.filter(F.col("tox_final") < 0.5).select(*docs.columns)
+    to = "score"
+    while to in docs.columns:
+        to += "_"
+    return fit(docs, labels, doc_id, text).score(docs, text, to).filter(F.col(to) < 0.5).drop(to)
