@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, licenses, lm, mixing, pii, quality, secrets, simhash, toxicity
+from tidemark.llm import ann, bpe, fim, licenses, lm, mixing, pii, quality, secrets, simhash, toxicity, whitening
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -54,6 +54,14 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(table(spark, folder, "documents"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.digest(table(spark, folder, "embeddings"))
+
+
+def op13_fim(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.digest(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -66,6 +74,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
         "op10_secrets": op10_secrets,
+        "op12_whitening": op12_whitening,
+        "op13_fim": op13_fim,
     }
 
 
@@ -76,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_licenses": licenses.digest_sql(),
         "op9_mixing": mixing.ASSIGN_SQL,
         "op10_secrets": secrets.digest_sql(),
+        "op13_fim": fim.digest_sql(),
     }
