@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, fim, licenses, lm, mixing, pii, quality, secrets, simhash, toxicity, whitening
+from tidemark.llm import ann, bpe, fim, licenses, lm, mixing, pii, quality, secrets, simhash, suffixes, toxicity, whitening
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -54,6 +54,10 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(table(spark, folder, "documents"))
 
 
+def op11_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digest(table(spark, folder, "documents"))
+
+
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.digest(table(spark, folder, "embeddings"))
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
         "op10_secrets": op10_secrets,
+        "op11_suffixes": op11_suffixes,
         "op12_whitening": op12_whitening,
         "op13_fim": op13_fim,
     }
