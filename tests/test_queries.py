@@ -12,7 +12,7 @@ from tidemark.plans.queries import QUERIES
 
 FOLDER = Path(os.environ.get("TIDEMARK_TESTDATA", "/root/testdata"), "sf0.001")
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no test tables here")
-TABLES = ("nation", "part", "lineitem", "events", "documents")
+TABLES = ("nation", "part", "lineitem", "events", "documents", "orders", "customer")
 
 
 @pytest.fixture(scope="module")

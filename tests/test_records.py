@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.header import Header
 from tidemark.functions.keys import name_key
 from tidemark.operators.order import dest_ranks, running
-from tidemark.operators.route import known_refs, route, unknown_refs
+from tidemark.operators.dictionary import checked, dictionary, known_refs, unknown_refs
+from tidemark.operators.route import route
 from tidemark.operators.stats import sortedness
 from tidemark.plans.sort import arguments, sort_sam
 from tidemark.sources import bgzf
@@ -241,11 +242,11 @@ def test_violations_are_found(spark):
 
 def test_ranks_match_order(spark, golden):
     records, header = read_sam(spark, golden)
-    ranked = dest_ranks(route(records, header.references(), "paired"), tie="src_offset").collect()
+    ranked = dest_ranks(route(records, header.references(), "paired"), "src_offset").collect()
     chr1 = [r.qname for r in sorted(ranked, key=lambda r: r.dest_rank) if r.bucket == "chr1"]
     assert chr1 == ["123:4", "r9", "HWI-ST1:2:30", "HWI-ST1:2:30:a"]
 
 
 def test_arguments():
     options = vars(arguments().parse_args(["a.sam", "out", "-p", "-q", "30", "-n", "-s", "-m", "-c", "5"]))
-    assert options == {"sam_file": "a.sam", "out_dir": "out", "min_mapq": 30, "layout": "paired", "uniq": None, "order": "queryname", "fmt": "sam", "merge": True, "level": 5, "discordant": "inline", "overwrite": False}
+    assert options == {"sam_file": "a.sam", "out_dir": "out", "min_mapq": 30, "layout": "paired", "uniq": None, "order": "queryname", "fmt": "sam", "merge": True, "level": 5, "discordant": "inline", "overwrite": False, "late": False}

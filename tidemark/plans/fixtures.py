@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.lineage import settle
 from tidemark.operators.order import running
 
 NAMES = [f"chr{i}" for i in range(1, 9)]
-_LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 
 
 def lineitem_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,15 +24,18 @@ def lineitem_records(spark: SparkSession, folder: str) -> DataFrame:
         rnext.alias("rnext"),
         F.col("l_partkey").cast("bigint").alias("pos"),
         (F.floor("l_quantity").cast("int") - 1).alias("mapq"),
-        *_LINE_ORDER,
+        *LINE_ORDER,
     )
     return made.withColumn("size", (F.length("qname") + F.length("rname") + F.length("rnext") + 40).cast("bigint"))
 
 
 def reads_lineitem(spark: SparkSession, folder: str) -> DataFrame:
-    """Records with ``src_ord``, their place in the source, and ``src_end``, the bytes up to their end."""
-    ordered = running(lineitem_records(spark, folder), [], _LINE_ORDER, "size", "src_ord", "src_end")
-    return ordered.drop(*_LINE_ORDER)
+    """Records with ``src_ord``, their place in the source, and ``src_end``, the bytes up to their end.
+
+    They stand for a file, whose records have their places, so they are written down once.
+    """
+    ordered = running(lineitem_records(spark, folder), [], LINE_ORDER, "size", "src_ord", "src_end")
+    return settle(ordered.drop(*LINE_ORDER))
 
 
 def reads_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,3 +59,16 @@ def reads_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("qname"), F.col("source").alias("rname"), F.lit("*").alias("rnext"),
         F.col("n_chars").alias("pos"), F.lit(60).alias("mapq"), (F.col("n_chars") + 1).cast("bigint").alias("size"), F.col("doc_id").alias("src_ord"),
     )
+
+
+def reads_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of very many references: one for each customer, the mate of every third order on another one, some names unknown."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    customer = lambda key: F.concat(F.lit("Customer#"), F.lpad(key.cast("string"), 9, "0"))
+    own, key = F.col("o_custkey"), F.col("o_orderkey")
+    return orders.select(
+        F.concat(F.lit("O"), key.cast("string")).alias("qname"),
+        F.when(key % 11 == 0, "*").when(key % 13 == 0, "nobody").otherwise(customer(own)).alias("rname"),
+        F.when(key % 7 == 0, "*").when(key % 3 == 0, customer(own + 1)).otherwise("=").alias("rnext"),
+        F.floor("o_totalprice").cast("bigint").alias("pos"), (key % 60).cast("int").alias("mapq"), F.lit(50).cast("bigint").alias("size"), key.alias("src_ord"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.operators.digest import PRIME
 from tidemark.plans.queries import HEADER_BYTES, SHARD, SPLIT, SPLITS
 
 _READS = """
@@ -57,6 +58,19 @@ SELECT {file} AS file, CAST(coalesce(sum(bytes) OVER ({group}ORDER BY bucket_idx
   bytes AS size, qname, rname, pos, mapq, rnext FROM lines"""
 
 
+_LINES = _routed("paired", 20) + """,
+lines AS (SELECT *, concat_ws(chr(9), qname, '0', rname, CAST(pos AS VARCHAR), CAST(mapq AS VARCHAR), '10M', rnext, '0', '0', 'ACGTACGTAC', 'FFFFFFFFFF') AS line FROM routed),
+sized AS (SELECT *, CAST(length(line) + 1 AS BIGINT) AS bytes, CAST('0x' || substr(sha256(line), 1, 12) AS BIGINT) AS h FROM lines)"""
+
+
+def _digests(file: str, group: str) -> str:
+    """CTEs up to ``digests``, one row a file."""
+    return f"""{_LINES},
+spread AS (SELECT *, {file} AS file, CAST(coalesce(sum(bytes) OVER ({group}ORDER BY bucket_idx, key, src_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS HUGEINT) AS place FROM sized),
+digests AS (SELECT file, count(*) AS n_records, CAST(sum(bytes) AS BIGINT) AS n_bytes, CAST(sum(CAST(h AS HUGEINT)) % {PRIME} AS BIGINT) AS sum_hash,
+  CAST(sum((CAST(h AS HUGEINT) * place) % {PRIME}) % {PRIME} AS BIGINT) AS placed_hash FROM spread GROUP BY file)"""
+
+
 SQL: dict[str, str] = {
     "scan_records": f"WITH {_READS} SELECT src_ord, src_end - size AS src_offset, size, qname, rname, pos, mapq, rnext FROM reads",
     "header_refs": "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INT) AS ref_idx, replace(n_name, ' ', '_') AS ref_name FROM nation",
@@ -106,6 +120,18 @@ SELECT bucket_idx, bucket, max(n) AS most_records FROM counts GROUP BY ALL""",
     "sortedness_violations": f"{_ranked('paired')} SELECT bucket_idx, bucket, count(*) AS n_records, CAST(0 AS BIGINT) AS violations FROM ranked GROUP BY ALL",
     "known_refs_semi": f"WITH {_READS} SELECT rname, count(*) AS n_records FROM reads WHERE rname IN (SELECT ref_name FROM refs) GROUP BY rname",
     "unknown_refs_anti": f"WITH {_READS} SELECT rname, count(*) AS n_records FROM reads WHERE rname <> '*' AND rname NOT IN (SELECT ref_name FROM refs) GROUP BY rname",
+    "header_repeated_refs": """WITH refs AS (SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INT) AS ref_idx, replace(p_type, ' ', '_') AS ref_name FROM part)
+SELECT ref_name, count(*) AS times, min(ref_idx) AS first_idx FROM refs GROUP BY ref_name HAVING count(*) > 1""",
+    "route_large_dictionary": """WITH refs AS (SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS INT) AS ref_idx, replace(c_name, ' ', '_') AS ref_name FROM customer),
+reads AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN '*' WHEN o_orderkey % 13 = 0 THEN 'nobody' ELSE 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') END AS rname,
+  CASE WHEN o_orderkey % 7 = 0 THEN '*' WHEN o_orderkey % 3 = 0 THEN 'Customer#' || lpad(CAST(o_custkey + 1 AS VARCHAR), 9, '0') ELSE '=' END AS rnext,
+  CAST(floor(o_totalprice) AS BIGINT) AS pos, CAST(o_orderkey % 60 AS INT) AS mapq FROM orders),
+placed AS (SELECT pos, mapq, r.ref_idx AS own, m.ref_idx AS mate, rname, rnext FROM reads LEFT JOIN refs r ON rname = r.ref_name
+  LEFT JOIN refs m ON CASE WHEN rnext = '=' THEN rname ELSE rnext END = m.ref_name),
+routed AS (SELECT pos, mapq, CASE WHEN own IS NOT NULL AND (mate IS NOT NULL OR rnext = '*') THEN own WHEN rname = '*' THEN mate END AS idx FROM placed)
+SELECT coalesce(ref_name, 'unmapped') AS bucket, coalesce(idx, CAST((SELECT count(*) + 1 FROM refs) AS INT)) AS bucket_idx, count(*) AS n_records,
+  CAST(sum(CASE WHEN idx IS NULL THEN 0 ELSE pos END) AS BIGINT) AS sum_key, CAST(count(*) * 50 AS BIGINT) AS n_bytes
+FROM routed LEFT JOIN refs ON idx = ref_idx WHERE idx IS NULL OR mapq >= 20 GROUP BY ALL""",
     "resource_estimate": """WITH sizes AS (SELECT p_partkey, CAST(p_size * 8 AS DOUBLE) * CASE WHEN p_partkey % 2 = 0 THEN 1.5 ELSE 2.5 END AS mem_gb FROM part),
 counted AS (SELECT *, CAST(ceil(mem_gb / 128) AS BIGINT) AS nodes, CAST(ceil(mem_gb / 4) AS BIGINT) AS cores FROM sizes),
 powers AS (SELECT *, CAST(pow(2, floor(log2(cores))) AS BIGINT) AS pow2_cores FROM counted)
@@ -115,4 +141,14 @@ SELECT *, round(mem_gb / pow2_cores, 1) AS mem_per_core, CAST(ceil(pow2_cores /
     "bam_roundtrip": _round_trip(False),
     "command_roundtrip": _round_trip(False),
     "merged_roundtrip": _round_trip(True),
+    "late_roundtrip": _round_trip(False),
+    "parts_roundtrip": f"{_routed('paired', 20)} SELECT bucket, qname, rname, pos, mapq, rnext FROM routed",
+    "source_scan": f"""WITH {_READS},
+lines AS (SELECT *, CAST(length(concat_ws(chr(9), qname, '0', rname, CAST(pos AS VARCHAR), CAST(mapq AS VARCHAR), '10M', rnext, '0', '0', 'ACGTACGTAC', 'FFFFFFFFFF')) + 1 AS BIGINT) AS bytes FROM reads),
+placed AS (SELECT *, CAST(sum(bytes) OVER (ORDER BY src_ord ROWS UNBOUNDED PRECEDING) - bytes AS BIGINT) AS place FROM lines)
+SELECT place, bytes AS size, qname, rname, pos, mapq FROM placed WHERE mapq >= 30 AND rname IN ('chr1', 'chr2')""",
+    "virtual_fetch": f"{_routed('paired', 20)} SELECT qname, rname, pos, mapq, rnext FROM routed WHERE pos % 5 = 0",
+    "bucket_region": f"{_routed('paired', 20)} SELECT qname, rname, pos, mapq, rnext FROM routed WHERE bucket = 'chr3'",
+    "written_files": f"{_digests('bucket', 'PARTITION BY bucket ')} SELECT *, CAST(0 AS BIGINT) AS violations FROM digests",
+    "merged_digest": f"{_digests(chr(39) + 'merged' + chr(39), '')} SELECT what, n_records, n_bytes, sum_hash, placed_hash FROM digests, (VALUES ('merged file'), ('files of buckets')) t(what)",
 }

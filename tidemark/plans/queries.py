@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import io
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +10,12 @@ from pyspark.sql import functions as F
 from tidemark.functions.header import Header, refs_frame
 from tidemark.functions.keys import name_key
 from tidemark.functions.resources import estimate
-from tidemark.lineage import checkpoint_folder, local_path
 from tidemark.operators import stats
-from tidemark.operators.order import dest_ranks, shard_offsets
-from tidemark.operators.route import known_refs, route, unknown_refs
-from tidemark.plans.fixtures import NAMES, lineitem_records, reads_documents, reads_events, reads_lineitem
-from tidemark.plans.sort import main, sort_sam
-from tidemark.sources.sam import parse, read_lines
-from tidemark.sources.sink import write_sorted
+from tidemark.operators.dictionary import dictionary, known_refs, repeated_names, unknown_refs
+from tidemark.operators.order import dest_ranks, running, shard_offsets
+from tidemark.operators.route import quality, route
+from tidemark.plans.files import FILES
+from tidemark.plans.fixtures import LINE_ORDER, NAMES, lineitem_records, reads_documents, reads_events, reads_lineitem, reads_orders
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPLIT, SHARD, SPLITS, HEADER_BYTES = 1000, 1000, 8, 100
@@ -29,10 +23,6 @@ SPLIT, SHARD, SPLITS, HEADER_BYTES = 1000, 1000, 8, 100
 _RANKED = ("bucket", "dest_rank", "dest_end", "qname", "pos", "mapq", "key")
 
 
-def _header() -> Header:
-    return Header(("@HD\tVN:1.0\tSO:unsorted", *(f"@SQ\tSN:{name}\tLN:250000000" for name in NAMES)))
-
-
 def scan_records(spark: SparkSession, folder: str) -> DataFrame:
     return reads_lineitem(spark, folder).select("src_ord", (F.col("src_end") - F.col("size")).alias("src_offset"), "size", "qname", "rname", "pos", "mapq", "rnext")
 
@@ -45,7 +35,7 @@ def header_refs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def filter_mapq(spark: SparkSession, folder: str) -> DataFrame:
-    return lineitem_records(spark, folder).filter("mapq >= 20 or rname = '*'").select("qname", "rname", "pos", "mapq")
+    return quality(lineitem_records(spark, folder), 20, F.col("rname") == "*").select("qname", "rname", "pos", "mapq")
 
 
 def _routed(**options) -> Query:
@@ -62,7 +52,8 @@ def _ranked(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 
 def _sorted(**options) -> Query:
-    return lambda spark, folder: _ranked(spark, folder, **options).select(*_RANKED)
+    """Equal keys stay in the order of the source, which the columns of the line have: no place in the source need be known."""
+    return lambda spark, folder: dest_ranks(route(lineitem_records(spark, folder), NAMES, **options), *LINE_ORDER).select(*_RANKED)
 
 
 def unmapped_in_order(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,10 +76,8 @@ def document_offsets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merged_order(spark: SparkSession, folder: str) -> DataFrame:
-    from tidemark.operators.order import running
-
-    routed = route(reads_lineitem(spark, folder), NAMES, "paired", min_mapq=20)
-    return running(routed, [], ["bucket_idx", "key", "src_ord"], "size").select(*_RANKED)
+    routed = route(lineitem_records(spark, folder), NAMES, "paired", min_mapq=20)
+    return running(routed, [], ["bucket_idx", "key", *LINE_ORDER], "size").select(*_RANKED)
 
 
 def dest_offsets(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,56 +119,25 @@ def unknown_refs_anti(spark: SparkSession, folder: str) -> DataFrame:
     return unknown_refs(lineitem_records(spark, folder), NAMES).groupBy("rname").agg(F.count("*").alias("n_records"))
 
 
-def resource_estimate(spark: SparkSession, folder: str) -> DataFrame:
+def header_repeated_refs(spark: SparkSession, folder: str) -> DataFrame:
+    """Names that a header with a line for each part repeats; the parts are named by their type."""
     parts = spark.read.parquet(f"{folder}/part.parquet")
-    sizes = parts.select("p_partkey", (F.col("p_size") * 8).cast("double").alias("size_gb"), F.when(F.col("p_partkey") % 2 == 0, "all").otherwise("one").alias("kind"))
-    return sizes.select("p_partkey", *(c.alias(n) for n, c in estimate(F.col("size_gb"), F.col("kind"), 128.0, 32).items()))
-
-
-def _shared_folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, as a local path of the shared file system."""
-    folder = f"{local_path(checkpoint_folder(spark))}/sam-{uuid.uuid4().hex}"
-    os.makedirs(folder)
-    return folder
-
-
-def write_source(spark: SparkSession, folder: str, to: str) -> str:
-    """The records of ``reads_lineitem`` as a SAM file in source order."""
-    line = F.concat_ws("\t", "qname", F.lit("0"), "rname", "pos", "mapq", F.lit("10M"), "rnext", F.lit("0"), F.lit("0"), F.lit("ACGTACGTAC"), F.lit("FFFFFFFFFF"))
-    records = reads_lineitem(spark, folder).select(F.lit(0).alias("bucket_idx"), F.lit("source").alias("bucket"), F.col("src_ord").alias("key"), F.col("src_ord").alias("src_offset"), line.alias("line"))
-    header = "".join(f"{line}\n" for line in _header().lines)
-    write_sorted(records, to, header, "sam")
-    return f"{to}/source.sam"
+    lines = parts.select(F.concat(F.lit("@SQ\tSN:"), F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("\tLN:1")).alias("line"), F.col("p_partkey").alias("src_offset"))
+    return repeated_names(dictionary(lines))
 
 
-def _by_command(spark: SparkSession, path: str, out_dir: str) -> list[str]:
-    """The files that the command line writes."""
-    with contextlib.redirect_stdout(io.StringIO()) as told:
-        main(["-p", "-q", "20", "-s", path, out_dir])
-    return [line.split("\t")[0] for line in told.getvalue().splitlines()]
+def route_large_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    """A reference for each customer, looked up by shuffle joins, as for dictionaries that are too large to broadcast."""
+    customers = spark.read.parquet(f"{folder}/customer.parquet")
+    lines = customers.select(F.concat(F.lit("@SQ\tSN:"), F.replace("c_name", F.lit(" "), F.lit("_")), F.lit("\tLN:1")).alias("line"), F.col("c_custkey").alias("src_offset"))
+    routed = route(reads_orders(spark, folder), dictionary(lines), "paired", min_mapq=20, broadcast_names=0)
+    return routed.groupBy("bucket", "bucket_idx").agg(F.count("*").alias("n_records"), F.sum("key").cast("bigint").alias("sum_key"), F.sum("size").cast("bigint").alias("n_bytes"))
 
 
-def _round_trip(sort: Callable | None = None, **options) -> Query:
-    """Records written as SAM, sorted to files, and read back with the place they have there."""
-
-    def query(spark: SparkSession, folder: str) -> DataFrame:
-        work = _shared_folder(spark)
-        source = write_source(spark, folder, work)
-        out = f"{work}/out"
-        os.makedirs(out)
-        files = sort(spark, source, out) if sort else sort_sam(spark, source, out, layout="paired", min_mapq=20, **options)
-        os.remove(source)
-        lines, header, head = read_lines(spark, [f"{out}/{name}" for name in files])
-        if header.lines[0] != "@HD\tVN:1.0\tSO:coordinate":
-            raise AssertionError("the files have another header")
-        file = F.regexp_extract("file", "([^/]+)[.][a-z]+$", 1)  # all files have the same header
-        return parse(lines).select(file.alias("file"), (F.col("src_offset") - head).alias("place"), "size", "qname", "rname", "pos", "mapq", "rnext")
-
-    return query
-
-
-def _flat(query: Query) -> Query:
-    return lambda spark, folder: query(spark, folder).select("file", F.col("place").cast("bigint"), F.col("size").cast("bigint"), "qname", "rname", "pos", "mapq", "rnext")
+def resource_estimate(spark: SparkSession, folder: str) -> DataFrame:
+    parts = spark.read.parquet(f"{folder}/part.parquet")
+    sizes = parts.select("p_partkey", (F.col("p_size") * 8).cast("double").alias("size_gb"), F.when(F.col("p_partkey") % 2 == 0, "all").otherwise("one").alias("kind"))
+    return sizes.select("p_partkey", *(c.alias(n) for n, c in estimate(F.col("size_gb"), F.col("kind"), 128.0, 32).items()))
 
 
 QUERIES: dict[str, Query] = {
@@ -212,10 +170,8 @@ QUERIES: dict[str, Query] = {
     "sortedness_violations": sortedness_violations,
     "known_refs_semi": known_refs_semi,
     "unknown_refs_anti": unknown_refs_anti,
+    "header_repeated_refs": header_repeated_refs,
+    "route_large_dictionary": route_large_dictionary,
     "resource_estimate": resource_estimate,
-    "sam_roundtrip": _flat(_round_trip(fmt="sam")),
-    "bgzf_roundtrip": _flat(_round_trip(fmt="bgzf")),
-    "bam_roundtrip": _flat(_round_trip(fmt="bam", level=9)),
-    "command_roundtrip": _flat(_round_trip(_by_command)),
-    "merged_roundtrip": _flat(_round_trip(fmt="bgzf", merge=True)),
+    **FILES,
 }

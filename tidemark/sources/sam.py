@@ -1,8 +1,8 @@
 """SAM text as a DataFrame with byte offsets.
 
 Spark's text source reads the file in splits, with the line feed as the only
-line end, so a carriage return stays part of its line; block-gzip files on a
-mounted path are read in ranges of blocks.  Offsets run on inside a split as its
+line end, so a carriage return stays part of its line; block-gzip files are read
+in ranges of blocks.  Offsets run on inside a split as its
 lines stream by.  A sort needs no more: a split begins before all its lines and
 behind those of the splits before it, so places of one scan are in the order of
 the file.  For exact offsets one more pass sums the bytes of each split.
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tidemark.functions.header import Header
-from tidemark.lineage import local_path
 from tidemark.schema import FIELDS, MAPQ_MOST
 from tidemark.sources import bgzf
+from tidemark.sources.places import readable
 
 
 #: Bytes of headers that surely end in the first split.
@@ -49,16 +49,14 @@ def _run_on(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
 
 
 def _blocked(path: str) -> bool:
-    try:
-        return path.endswith((".gz", ".bam")) and bgzf.is_blocked(local_path(path))
-    except ValueError:
-        return False
+    """Block-gzip files that Arrow can open are read in ranges of blocks; Spark's own reader takes any other gzip file in one task."""
+    return path.endswith((".gz", ".bam")) and readable(path) and bgzf.is_blocked(path)
 
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``file``, ``line``, ``split``, ``size`` of all files."""
-    blocked = [local_path(path) for path in paths if _blocked(path)]
-    plain = [path for path in paths if not _blocked(path)]
+    blocked = [path for path in paths if _blocked(path)]
+    plain = [path for path in paths if path not in blocked]
     frames = []
     if blocked:
         frames.append(bgzf.read_lines(spark, blocked))

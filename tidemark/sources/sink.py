@@ -1,135 +1,156 @@
 """Sorted records to one file per bucket, or one file for all.
 
-The sorted partitions are written as shards by their tasks, under names of the
-attempt, so that a task that runs twice does no harm.  Their sizes are the only
-thing the driver gets; prefix sums give each shard's place, and a second job
-copies the shards into the files, each to its place, in parallel.  A file gets
-its name when it is whole.  The folder must be one that all executors share.
+Two jobs write through ``df.write.format(...)``, each with Spark's two-phase
+commit.  The first writes the sorted partitions as shards, under names of the
+attempt, so that a task that runs twice does no harm; what the driver gets of it
+is the list of shards with their sizes.  Prefix sums give each shard its place,
+and the second job puts the shards together: on mounted file systems they are
+copied into the files in parallel, each to its place; elsewhere, where files only
+grow at their end (S3, GCS, Azure and HDFS), a task streams the shards of a file
+one after the other, which object stores take in parts.  The commit of the second
+job gives files their names, and the folder of the job goes, with whatever tasks
+that died have left there.
 """
 
 from __future__ import annotations
 
-import os
-import shutil
+import json
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from tidemark.operators.order import total_order
 from tidemark.sources import bgzf
+from tidemark.sources.datasource import FORMATS, register
+from tidemark.sources.places import place
 
-FORMATS = {"sam": "sam", "bgzf": "gz", "bam": "bam"}
-#: Bytes that a task gathers before it compresses and writes them.
-_GATHER = 16 * bgzf.RAW_BLOCK
 _COPY = 1 << 22
-
-_SHARD = "bucket_idx int, bucket string, part int, path string, n_bytes bigint, n_records bigint"
-
-
-def _shard_writer(folder: str, packed: bool, level: int):
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        part, attempt = context.partitionId(), context.taskAttemptId()
-        done, now, out, held, rows = [], None, None, [], 0
-        size = 0
-
-        def flush(last: bool) -> None:
-            nonlocal held, size
-            raw = b"".join(held)
-            whole = len(raw) if last or not packed else len(raw) // bgzf.RAW_BLOCK * bgzf.RAW_BLOCK
-            out.write(bgzf.compress(raw[:whole], level) if packed else raw[:whole])
-            held = [raw[whole:]] if whole < len(raw) else []
-            size = len(raw) - whole
-
-        def close() -> None:
-            if out is not None:
-                flush(True)
-                out.close()
-                done.append((*now, part, out.name, os.path.getsize(out.name), rows))
-
-        for batch in batches:
-            idx, lines = batch.column(0).to_numpy(), batch.column(2)
-            if not len(idx):
-                continue
-            # the lines of a batch lie end to end, so a bucket's run of lines is one stretch of bytes
-            _, at, data = lines.buffers()
-            at = np.frombuffer(at, np.int32)[lines.offset : lines.offset + len(idx) + 1]
-            cuts = [0, *(np.flatnonzero(np.diff(idx)) + 1).tolist(), len(idx)]
-            for begin, end in zip(cuts, cuts[1:]):
-                if int(idx[begin]) != (now and now[0]):
-                    close()
-                    now, rows = (int(idx[begin]), batch.column(1)[begin].as_py()), 0
-                    out = open(f"{folder}/{now[0]}-{part}-{attempt}", "wb")
-                held.append(data.slice(int(at[begin]), int(at[end] - at[begin])).to_pybytes())
-                rows += end - begin
-                size += len(held[-1])
-                if size >= _GATHER:
-                    flush(False)
-        close()
-        columns = list(zip(*done)) if done else [()] * 6
-        kinds = (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket_idx", "bucket", "part", "path", "n_bytes", "n_records"])
-
-    return write
-
-
-def _copier(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples():
-            with open(row.path, "rb") as source, open(row.target, "r+b") as target:
-                target.seek(row.offset)
-                shutil.copyfileobj(source, target, _COPY)
-        yield batch[["path"]]
-
-
-def write_sorted(df: DataFrame, folder: str, header: str, fmt: str = "bgzf", merge: str | None = None, level: int = 3, mode: str = "error", partitions: int | None = None) -> dict[str, int]:
+_PIECES = "target string, pieces array<struct<path:string,raw:binary,offset:bigint>>"
+
+
+class AssemblyWriter(DataSourceArrowWriter):
+    """Rows have a target and pieces, files or bytes, in order; targets are in the folder of the job until its commit."""
+
+    def __init__(self, options: dict[str, str]):
+        self.work, self.folder, self.positioned = options["work"], options["path"], options["positioned"] == "true"
+        self.names = json.loads(options["names"])
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        system, work = place(self.work)
+        for batch in iterator:
+            for target, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                # a task that runs again writes the same bytes to the same places, or the whole file anew
+                with open(f"{work}/{target}", "r+b") if self.positioned else system.open_output_stream(f"{work}/{target}") as out:
+                    for piece in pieces:
+                        if self.positioned:
+                            out.seek(piece["offset"])
+                        if piece["path"] is None:
+                            out.write(piece["raw"])
+                            continue
+                        with system.open_input_stream(piece["path"]) as source:
+                            while data := source.read(_COPY):
+                                out.write(data)
+        return WriterCommitMessage()
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, work = place(self.work)
+        _, folder = place(self.folder)
+        for name in self.names:
+            system.move(f"{work}/{name}", f"{folder}/{name}")
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, work = place(self.work)
+        if system.get_file_info(work).type == fs.FileType.Directory:
+            system.delete_dir(work)
+
+
+class AssemblySource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "sam_assembly"
+
+    def writer(self, schema: StructType, overwrite: bool) -> AssemblyWriter:
+        return AssemblyWriter(dict(self.options))
+
+
+def _name(bucket: str, merge: str | None, fmt: str) -> str:
+    return f"{f'{merge}_sorted' if merge else bucket}.{FORMATS[fmt]}"
+
+
+def _files(shards: list[list], merge: str | None, fmt: str, top: bytes) -> dict[str, tuple[list[tuple[str | None, bytes | None, int]], int]]:
+    """For each file its pieces, with their places, and its records: the header, the shards in order, an end marker after each bucket."""
+    ends, found, ats = bgzf.EOF if fmt != "sam" else b"", {}, {}
+    for i, (idx, bucket, _, path, size, records) in enumerate(shards):
+        name = _name(bucket, merge, fmt)
+        pieces, n = found.get(name, ([(None, top, 0)], 0))
+        at = ats.get(name, len(top))
+        pieces.append((path, None, at))
+        at += size
+        if ends and (i + 1 == len(shards) or shards[i + 1][0] != idx):
+            pieces.append((None, ends, at))
+            at += len(ends)
+        found[name], ats[name] = (pieces, n + records), at
+    return found
+
+
+def write_sorted(
+    df: DataFrame, folder: str, header: str, fmt: str = "bgzf", merge: str | None = None, level: int = 3, mode: str = "error", partitions: int | None = None, source: str | None = None, positioned: bool | None = None,
+    regions: dict[str, tuple[int, int]] | None = None,
+) -> dict[str, int]:
     """Write routed records (``bucket_idx``, ``bucket``, ``key``, ``src_offset``, ``line``) in order; the records of each file.
 
     A bucket's file is ``<bucket>.<suffix>``; with ``merge`` all go to
     ``<merge>_sorted.<suffix>``, in the order of the buckets.  Each file begins
     with the header.  Existing files are an error, or are replaced with
-    ``mode="overwrite"``.
+    ``mode="overwrite"``.  With ``source``, a plain file, records have ``size``
+    instead of ``line``: only what places them is shuffled, and the tasks that
+    write read the lines from the file.  ``regions`` takes each bucket's place.
     """
     if fmt not in FORMATS or mode not in ("error", "overwrite"):
         raise ValueError(f"no such format or mode: {fmt}, {mode}")
-    spark, packed = df.sparkSession, fmt != "sam"
-    work = f"{folder}/.work-{uuid.uuid4().hex}"
-    os.makedirs(work)
+    spark: SparkSession = df.sparkSession
+    register(spark)
+    spark.dataSource.register(AssemblySource)
+    job, folder = uuid.uuid4().hex, folder.rstrip("/")
+    system, root = place(folder)
+    if positioned is None:
+        positioned = isinstance(system, fs.LocalFileSystem)
+    work = f"{root}/.work-{job}"
     try:
-        lines = total_order(df, partitions=partitions).select("bucket_idx", "bucket", F.concat("line", F.lit("\n")).cast("binary").alias("line"))
-        shards = lines.mapInArrow(_shard_writer(work, packed, level), _SHARD).collect()  # a row for each shard
-        shards.sort(key=lambda s: (s.bucket_idx, s.part))
-        top = bgzf.compress(header.encode(), level) if packed else header.encode()
-        ends = bgzf.EOF if packed else b""
-        files: dict[str, list] = {}
-        for shard in shards:
-            name = f"{merge}_sorted" if merge else shard.bucket
-            files.setdefault(f"{name}.{FORMATS[fmt]}", []).append(shard)
-        taken = [name for name in files if os.path.exists(f"{folder}/{name}")]
+        columns = ["bucket_idx", "bucket", "run_part", *(["src_offset", F.col("size").cast("int").alias("size")] if source else ["line"])]
+        kept = df.select("bucket_idx", "bucket", "key", "src_offset", "size" if source else "line")
+        rows = total_order(kept, partitions=partitions).select(*columns)
+        options = {"fmt": fmt, "level": level, "bare": job} | ({"source": source} if source else {})
+        rows.write.format("sam").options(**options).mode("append").save(folder)
+        with system.open_input_stream(f"{work}/shards.json") as file:
+            shards = json.loads(file.read())  # a row for each range and bucket in it
+        top = bgzf.compress(header.encode(), level) if fmt != "sam" else header.encode()
+        found = _files(shards, merge, fmt, top)
+        taken = [name for name in found if system.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound]
         if taken and mode == "error":
             raise FileExistsError(f"in {folder}: {', '.join(taken)}")
-        moves = []
-        for name, parts in files.items():
-            with open(f"{work}/{name}", "wb") as target:
-                at = target.write(top)
-                for i, shard in enumerate(parts):
-                    moves.append((shard.path, f"{work}/{name}", at))
-                    at += shard.n_bytes
-                    if i + 1 == len(parts) or parts[i + 1].bucket_idx != shard.bucket_idx:  # an end marker after each bucket
-                        target.seek(at)
-                        at += target.write(ends)
-                target.truncate(at)
+        if positioned:
+            for name, (pieces, _) in found.items():
+                with open(f"{work}/{name}", "wb"):
+                    pass
+            moves = [(name, [piece]) for name, (pieces, _) in found.items() for piece in pieces]
+        else:
+            moves = [(name, pieces) for name, (pieces, _) in found.items()]
+        if regions is not None:
+            ats = {path: at for pieces, _ in found.values() for path, _, at in pieces}
+            bits = bgzf.INNER if fmt != "sam" else 0
+            for _, bucket, _, path, size, _ in shards:
+                regions[bucket] = (regions.get(bucket, (ats[path] << bits,))[0], (ats[path] + size) << bits)
         if moves:
-            frame = spark.createDataFrame(moves, "path string, target string, offset bigint")
-            frame.repartition(min(len(moves), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(_copier, "path string").count()
-        for name in files:
-            os.replace(f"{work}/{name}", f"{folder}/{name}")
-        return {name: sum(s.n_records for s in parts) for name, parts in files.items()}
+            frame = spark.createDataFrame(moves, _PIECES).repartition(min(len(moves), 4 * spark.sparkContext.defaultParallelism))
+            frame.write.format("sam_assembly").options(work=f"{folder}/.work-{job}", positioned=str(positioned).lower(), names=json.dumps([*found])).mode("append").save(folder)
+        return {name: records for name, (_, records) in found.items()}
     finally:
-        shutil.rmtree(work, ignore_errors=True)
+        if system.get_file_info(work).type == fs.FileType.Directory:
+            system.delete_dir(work)
