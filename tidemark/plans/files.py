@@ -22,7 +22,7 @@ from tidemark.plans.fixtures import NAMES, reads_lineitem
 from tidemark.plans.sort import main, sort_sam
 from tidemark.schema import DISCORDANT, UNMAPPED
 from tidemark.sources import bgzf
-from tidemark.sources.datasource import register
+from tidemark.sources.datasource import pushing, register
 from tidemark.sources.sam import parse, read_lines
 from tidemark.sources.sink import write_sorted
 
@@ -114,10 +114,11 @@ def source_scan(spark: SparkSession, folder: str) -> DataFrame:
     with _shared_folder(spark) as work:
         source = write_source(spark, folder, work)
         register(spark)
-        kept = spark.read.format("sam").option("split", SMALL_SPLIT).schema("src_offset bigint, size int, qname string, rname string, pos bigint, mapq int").load(source)
+        kept = spark.read.format("sam").options(split=SMALL_SPLIT, push=True).schema("src_offset bigint, size int, qname string, rname string, pos bigint, mapq int").load(source)
         head = sum(len(line) + 1 for line in _header().lines)
         found = kept.filter("mapq >= 30 and rname in ('chr1', 'chr2')")
-        return settle(found.select((F.col("src_offset") - head).alias("place"), F.col("size").cast("bigint").alias("size"), "qname", "rname", "pos", "mapq"))
+        with pushing(spark):
+            return settle(found.select((F.col("src_offset") - head).alias("place"), F.col("size").cast("bigint").alias("size"), "qname", "rname", "pos", "mapq"))
 
 
 def virtual_fetch(spark: SparkSession, folder: str) -> DataFrame:

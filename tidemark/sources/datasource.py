@@ -6,9 +6,10 @@
 
 *Reading.*  A task reads a range of bytes, or of blocks of a block-gzip file, and
 cuts it into records with array operations.  Only columns of the schema that was
-asked for are cut out of the lines.  Comparisons of numbers, and equality or
-membership of the names, are pushed into the scan and tried before any other
-column is made.  ``src_offset`` is the byte where a record begins, in block-gzip
+asked for are cut out of the lines.  Conditions are tried before any other column
+is made: those of the options ``min_mapq`` and ``rname`` (names, comma-separated),
+and with the option ``push``, inside ``with pushing(spark)``, comparisons of
+numbers and equality or membership of names that Spark pushes into the scan.  ``src_offset`` is the byte where a record begins, in block-gzip
 files its virtual offset (place of the block times 65536 and the place in it),
 which also is in the order of the file.  The options ``begin`` and ``end`` are such
 offsets: only the bytes or blocks between them are read.
@@ -22,6 +23,7 @@ there is a folder with a whole file, header and all, for each sorted partition.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 import uuid
@@ -131,17 +133,6 @@ class SamReader(DataSourceReader):
     region: tuple[int, int] | None = None
     tests: list[tuple[str, type, object]] = field(default_factory=list)
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for test in filters:
-            name = getattr(test, "attribute", ("",))[0]
-            if type(test) in _COMPARE and name in _WHOLE or isinstance(test, (EqualTo, In)) and name in _NUMBER:
-                self.tests.append((name, type(test), test.value))
-            elif not (isinstance(test, IsNotNull) and name in _NUMBER):
-                yield test
-                continue
-            if isinstance(test, IsNotNull):
-                self.tests.append((name, IsNotNull, None))
-
     def partitions(self) -> Sequence[InputPartition]:
         found = []
         for uri, size in files(self.path):
@@ -211,6 +202,22 @@ class SamReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(arrays, [name for name, _ in self.columns])
 
 
+@dataclass
+class PushingReader(SamReader):
+    """A reader that takes conditions from Spark."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for test in filters:
+            name = getattr(test, "attribute", ("",))[0]
+            if type(test) in _COMPARE and name in _WHOLE or isinstance(test, (EqualTo, In)) and name in _NUMBER:
+                self.tests.append((name, type(test), test.value))
+            elif not (isinstance(test, IsNotNull) and name in _NUMBER):
+                yield test
+                continue
+            if isinstance(test, IsNotNull):
+                self.tests.append((name, IsNotNull, None))
+
+
 def _streamed(uri: str) -> Iterator[bytes]:
     """The raw bytes of a gzip file of any kind."""
     system, path = place(uri)
@@ -404,7 +411,7 @@ class SamWriter(DataSourceArrowWriter):
                     close()
                     now, path = here, f"{work}/{here[0]}-{here[1]}-{task}-{attempt}"
                     bucket = batch.column(at["bucket"])[begin].as_py() if "bucket" in at else str(here[0])
-                    out = {"file": system.open_output_stream(path), "path": path, "bytes": 0, "rows": 0, "bucket": bucket}
+                    out = {"file": system.open_output_stream(path, compression=None), "path": path, "bytes": 0, "rows": 0, "bucket": bucket}
                     if not self.bare:
                         put(self.header.encode())
                 held.append(raw[ends[begin] : ends[end]].tobytes())
@@ -458,13 +465,32 @@ class SamSource(DataSource):
         if mode not in ("FAILFAST", "PERMISSIVE"):
             raise ValueError(f"no such mode: {mode}")
         region = (int(self.options.get("begin", 0)), int(self.options.get("end", 1 << 62))) if {"begin", "end"} & {*self.options} else None
-        return SamReader(self.options["path"], columns, mode == "PERMISSIVE", int(self.options.get("split", SPLIT)), region)
+        tests = [("mapq", GreaterThanOrEqual, int(self.options["min_mapq"]))] if "min_mapq" in self.options else []
+        tests += [("rname", In, tuple(self.options["rname"].split(",")))] if "rname" in self.options else []
+        made = PushingReader if self.options.get("push", "false").lower() == "true" else SamReader
+        return made(self.options["path"], columns, mode == "PERMISSIVE", int(self.options.get("split", SPLIT)), region, tests)
 
     def writer(self, schema: StructType, overwrite: bool) -> SamWriter:
         return SamWriter(dict(self.options), schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to the session, and let Spark push filters into sources that are written in Python."""
+    """Make the format known to the session."""
     spark.dataSource.register(SamSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+@contextlib.contextmanager
+def pushing(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark pushes filters into sources that are written in Python and loaded with the option ``push``.
+
+    Each query there needs its own ``load``: Spark (4.1) keeps what a query has
+    pushed with the loaded DataFrame, and a later query over the same one that
+    pushes nothing would be filtered, too.
+    """
+    name = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

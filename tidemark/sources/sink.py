@@ -46,14 +46,14 @@ class AssemblyWriter(DataSourceArrowWriter):
         for batch in iterator:
             for target, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 # a task that runs again writes the same bytes to the same places, or the whole file anew
-                with open(f"{work}/{target}", "r+b") if self.positioned else system.open_output_stream(f"{work}/{target}") as out:
+                with open(f"{work}/{target}", "r+b") if self.positioned else system.open_output_stream(f"{work}/{target}", compression=None) as out:
                     for piece in pieces:
                         if self.positioned:
                             out.seek(piece["offset"])
                         if piece["path"] is None:
                             out.write(piece["raw"])
                             continue
-                        with system.open_input_stream(piece["path"]) as source:
+                        with system.open_input_stream(piece["path"], compression=None) as source:
                             while data := source.read(_COPY):
                                 out.write(data)
         return WriterCommitMessage()
