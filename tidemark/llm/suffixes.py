@@ -289,6 +289,7 @@ def _live(texts: DataFrame, folder: str, length: int, anchor: int) -> tuple[Data
 
     found = _written(texts.select(*_KEY, "raw").mapInArrow(hashed, "k1 long, k2 int, hashes array<long>"), folder, "anchors")
     twice = found.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h")
+    twice = _written(twice, folder, "twice")
     each = found.select(*_KEY, F.explode(F.array_distinct("hashes")).alias("h")).join(twice, "h")
     return each.groupBy(*_KEY).agg(F.collect_list("h").alias("live")), keep  # bounded by the text
 
@@ -331,6 +332,7 @@ def covered(docs: DataFrame, text: str = "text", length: int = LENGTH, anchor: i
     where = F.min(F.struct(*_KEY, "first")).alias("where")
     distinct = _written(occurrences.groupBy("h", "c1", "c2", "n").agg(F.count("*").alias("times"), where), folder, "distinct")
     sizes = distinct.groupBy("h").agg(F.count("*").alias("strings"), F.sum(F.col("n") + (length - 1)).alias("held")).filter("strings > 1")
+    sizes = _written(sizes, folder, "sizes")  # a join of two plain shuffles can be split where an anchor is hot
     shards = max(1, math.ceil((sizes.agg(F.sum("held")).first()[0] or 0) / shard))
     parts = F.ceil(F.col("held") / shard).cast("int")
     dealt = distinct.join(sizes, "h").select(
