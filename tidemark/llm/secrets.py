@@ -3,7 +3,8 @@
 Three rules find assignments, access keys and long hexadecimal runs.  Beyond
 them, candidate strings of 20 or more token characters are read through a
 sliding window: one fold over "character enters" and "character leaves" events
-keeps the counts of the window and the sum of c*log2(c), so each step costs the
+keeps the counts of the window and the sum of c*log2(c).  What leaves is looked up
+in an array of the string's characters that is made once, so each step costs the
 same however long the string is.  A candidate is a secret if the largest window
 entropy reaches the threshold of its character class and no allow-list pattern
 (words, numbers, UUIDs, paths of words) matches it whole.  Letters alone are
@@ -58,44 +59,35 @@ _UNIT = 1_000_000
 _TERMS = [round(_UNIT * c * math.log2(c)) if c else 0 for c in range(WINDOW + 1)]
 
 
-def window_entropy(value: Column) -> Column:
-    """The largest Shannon entropy, in bits, of any ``WINDOW`` successive characters; 0 for shorter strings."""
-    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    events = F.flatten(F.transform(codes, lambda c, i: F.when(i >= WINDOW, F.array(-F.get(codes, i - WINDOW), c)).otherwise(F.array(c))))
-    terms = F.array(*map(F.lit, _TERMS))
-    begin = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).alias("n"), F.lit(0).alias("sum"), F.lit(_UNIT * WINDOW * 99).alias("least")
-    )
-
-    def step(now: Column, event: Column) -> Column:
-        code, change = F.abs(event), F.signum(event).cast("int")
-        count = F.element_at(now["counts"], code)
-        total = now["sum"] - F.element_at(terms, count + 1) + F.element_at(terms, count + change + 1)
-        counts = F.concat(F.slice(now["counts"], F.lit(1), code - 1), F.array(count + change), F.slice(now["counts"], code + 1, F.lit(len(ALPHABET))))
-        n = now["n"] + change
-        least = F.when(n == WINDOW, F.least(now["least"], total)).otherwise(now["least"])
-        return F.struct(counts.alias("counts"), n.alias("n"), total.alias("sum"), least.alias("least"))
+def window_entropy(value: str) -> str:
+    """The largest Shannon entropy, in bits, of any ``WINDOW`` successive characters of a string of token characters; 0 for shorter strings.
 
-    def finish(now: Column) -> Column:
-        entropy = F.lit(math.log2(WINDOW)) - now["least"] / F.lit(float(_UNIT * WINDOW))
-        return F.when(F.size(codes) < WINDOW, F.lit(0.0)).otherwise(entropy)
-
-    return F.aggregate(events, begin, step, finish)
+    Value and result are SQL expressions.  The characters' numbers are an array
+    that is made once; what enters and what leaves is found in it by its index.
+    """
+    n = len(ALPHABET)
+    terms = f"array({', '.join(map(str, _TERMS))})"
+    begin = f"named_struct('counts', array_repeat(0, {n}), 'n', 0, 'sum', 0, 'least', {_UNIT * WINDOW * 99})"
 
+    def judged(codes: str) -> str:
+        events = f"flatten(transform({codes}, (c, i) -> if(i >= {WINDOW}, array(-get({codes}, i - {WINDOW}), c), array(c))))"
+        count, change = "element_at(s.counts, abs(e))", "cast(signum(e) as int)"
+        total = f"s.sum - element_at({terms}, {count} + 1) + element_at({terms}, {count} + {change} + 1)"
+        counts = f"concat(slice(s.counts, 1, abs(e) - 1), array({count} + {change}), slice(s.counts, abs(e) + 1, {n}))"
+        step = f"named_struct('counts', {counts}, 'n', s.n + {change}, 'sum', {total}, 'least', if(s.n + {change} = {WINDOW}, least(s.least, {total}), s.least))"
+        return f"if(size({codes}) < {WINDOW}, 0D, aggregate({events}, {begin}, (s, e) -> {step}, s -> {math.log2(WINDOW)!r}D - s.least / {float(_UNIT * WINDOW)!r}D))"
 
-def _whole(value: Column, pattern: str) -> Column:
-    return value.rlike(f"^(?:{pattern})$")
+    return spans._let(f"transform(split({value}, ''), c -> instr({spans.quoted(ALPHABET)}, c))", judged)
 
 
-def _class_of(value: Column) -> Column:
+def _class_of(value: str) -> str:
     """The class of a candidate that the entropy condemns, else null."""
-    allowed = F.lit(False)
-    for pattern in (WORDS, *ALLOWED[1:]):
-        allowed = allowed | _whole(value, pattern)
-    kind = F.lit(None).cast("string")
-    for name, chars, least in (CLASSES[1], LETTERS, CLASSES[0]):
-        kind = F.when(_whole(value, chars), F.when(window_entropy(value) >= least, F.lit(name))).otherwise(kind)
-    return F.when(~allowed, kind)
+    whole = lambda pattern: f"{value} rlike {spans.quoted(f'^(?:{pattern})$')}"
+    allowed = " or ".join(whole(pattern) for pattern in (WORDS, *ALLOWED[1:]))
+    classes = (CLASSES[0], LETTERS, CLASSES[1])
+    least = "case " + " ".join(f"when {whole(chars)} then {limit}D" for _, chars, limit in classes) + " end"
+    name = "case " + " ".join(f"when {whole(chars)} then '{kind}'" for kind, chars, _ in classes) + " end"
+    return f"if({allowed}, cast(null as string), if({window_entropy(value)} >= {least}, {name}, cast(null as string)))"
 
 
 def _scanned(docs: DataFrame, text: str) -> DataFrame:
@@ -111,15 +103,15 @@ def _scanned(docs: DataFrame, text: str) -> DataFrame:
         spans.tagged("access", 1, spans.find("body", ACCESS, "AKIA")),
         spans.tagged("hex", 2, spans.find("body", HEX)),
     )
-    found = packed.withColumns({"base": F.array_sort(base), "candidates": spans.find("body", CANDIDATE)})
-    judged = F.transform(spans.apart("candidates", "base"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _class_of(s["value"]).alias("kind")))
+    found = packed.withColumns({"base": F.array_sort(base), "candidates": spans.find("body", CANDIDATE)}).withColumn("apart", spans.apart("candidates", "base"))
+    judged = F.expr(f"transform(apart, c -> named_struct('start', c.start, 'end', c.end, 'value', c.value, 'kind', {_class_of('c.value')}))")
     names = [name for name, _, _ in (*CLASSES, LETTERS)]
     rank = lambda kind: 2 + F.array_position(F.array(*map(F.lit, names)), kind).cast("int")
     added = F.transform(
         F.filter(judged, lambda s: s["kind"].isNotNull()),
         lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")),
     )
-    return found.withColumn("added", added).drop("candidates")
+    return found.withColumn("added", added).drop("candidates", "apart")
 
 
 def scan(docs: DataFrame, text: str = "text", base: str = "secret_base", added: str = "secret_added") -> DataFrame:
