@@ -19,8 +19,9 @@ whose texts aren't all the same; a value that stands in fewer is protected by
 its class alone.
 
 All counts are partial aggregations.  Texts are never shuffled: only those that
-hold a value are written down with their words, and words are counted after
-those that can't disclose anything are gone.  Defined results: a null or empty
+hold a value are written down with their words.  PMI and IC depend on nothing but
+the sets of documents that hold the entity and the term, so pairs are counted of
+different sets (told apart by 128 bits of hashes), not of entities and terms.  Defined results: a null or empty
 text has no spans and the digest of the empty string (``sanitise`` leaves it as
 it is); repeated rows give repeated results; rows may lack or repeat ids; other
 columns, whatever their names, are kept by ``sanitise``.
@@ -102,30 +103,45 @@ def _written(bodies: DataFrame, *kept: str) -> DataFrame:
     return cut(found.select(*kept, "same", "base", F.monotonically_increasing_id().alias("row"), spans.apart("words", "base").alias("words"), "entities"))
 
 
+def _standing(listed: DataFrame, *names: str, to: tuple[str, str]) -> DataFrame:
+    """What stands in ``SUPPORT`` rows or more whose texts differ: in how many, and two hashes of the set of these rows."""
+    sets = (F.bit_xor(F.xxhash64("row", F.lit(seed))).alias(name) for seed, name in enumerate(to))
+    counted = listed.groupBy(*names).agg(F.count("*").alias("rows"), (F.min("same") != F.max("same")).alias("varied"), *sets)
+    return cut_small(counted.filter((F.col("rows") >= SUPPORT) & F.col("varied")).drop("varied"))
+
+
 def _disclosing(bodies: DataFrame, found: DataFrame) -> DataFrame:
-    """Per ``row`` with such: its disclosing terms as sorted structs (start, end, share, value)."""
+    """Per ``row`` with such: its disclosing terms as sorted structs (start, end, share, value).
+
+    Entities that stand in the same rows disclose and are disclosed alike, and so
+    do terms: what is counted are pairs of sets, so that a long list of addresses
+    in a few copies is one set of entities and not the product of its values and
+    its words.
+    """
     holding = found.filter(F.size("base") > 0)
-    varied = (F.min("same") != F.max("same")).alias("varied")
     listed = holding.select("row", "same", F.explode("entities").alias("e")).select("row", "same", "e.*")
-    live = small(cut_small(listed.groupBy("kind", "entity").agg(F.count("*").alias("df_e"), varied).filter((F.col("df_e") >= SUPPORT) & F.col("varied")).drop("varied")))
-    named = listed.join(live, ["kind", "entity"]).groupBy("row").agg(F.collect_list(F.struct("kind", "entity")).alias("live"))
-    named = small(cut_small(named))
-    worded = holding.select("row", "same", "words").join(named, "row")
-    words = F.array_distinct(F.transform("words", lambda w: F.lower(w["value"])))
-    each = worded.select("same", "live", words.alias("terms")).select("same", "terms", F.explode("live").alias("e")).select("same", "e.*", F.explode("terms").alias("term"))
-    pairs = cut_small(each.groupBy("kind", "entity", "term").agg(F.count("*").alias("n"), varied).filter((F.col("n") >= SUPPORT) & F.col("varied")))
+    live = small(_standing(listed, "kind", "entity", to=("e1", "e2")))
+    held = small(cut_small(listed.join(live, ["kind", "entity"]).groupBy("row", "e1", "e2").agg(F.first("rows").alias("df_e"), F.first("same").alias("same"))))
+    worded = holding.select("row", "same", "words").join(held.select("row").distinct(), "row")
+    each = worded.select("row", "same", F.explode(F.array_distinct(F.transform("words", lambda w: F.lower(w["value"])))).alias("term"))
+    terms = small(_standing(each, "term", to=("t1", "t2")).drop("rows"))
+    placed = each.join(terms, "term").select("row", "same", "term", "t1", "t2")
+    both = held.drop("same").join(placed.drop("term").distinct(), "row").groupBy("e1", "e2", "t1", "t2")
+    pairs = cut_small(both.agg(F.first("df_e").alias("df_e"), F.count("*").alias("n"), (F.min("same") != F.max("same")).alias("varied")).filter((F.col("n") >= SUPPORT) & F.col("varied")))
     total = bodies.count()
 
     every = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("body", F.lit(TERM), F.lit(0))), lambda w: F.lower(w)))
-    wanted = small(cut_small(pairs.select("term").distinct()))
-    terms = bodies.select(F.explode(every).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
-    known = pairs.join(live, ["kind", "entity"]).join(terms, "term").filter(F.col("df_e") < total)
+    wanted = small(cut_small(terms.join(pairs.select("t1", "t2").distinct(), ["t1", "t2"])))
+    counted = bodies.select(F.explode(every).alias("term")).join(wanted.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
+    counted = small(cut_small(counted.join(wanted, "term")))
+    known = pairs.filter(F.col("df_e") < total).join(counted.select("t1", "t2", "df_t").distinct(), ["t1", "t2"])
     ratio = F.log2(F.col("n") * float(max(total, 1)) / (F.col("df_t") * F.col("df_e"))) / F.log2(float(max(total, 1)) / F.col("df_e"))
-    known = small(cut_small(known.select("kind", "entity", "term", F.round(ratio, 9).alias("share")).filter(F.col("share") >= GENERALISE)))
+    known = small(cut_small(known.select("e1", "e2", "t1", "t2", "df_t", F.round(ratio, 9).alias("share")).filter(F.col("share") >= GENERALISE)))
 
-    placed = worded.select("row", "words", F.explode("live").alias("e")).select("row", "e.*", F.explode("words").alias("w")).select("row", "kind", "entity", "w.*", F.lower("w.value").alias("term"))
-    marked = placed.join(known, ["kind", "entity", "term"]).groupBy("row", "start", "end", "value").agg(F.max("share").alias("share"))
-    return marked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share", "value"))).alias("terms"))
+    shares = held.select("row", "e1", "e2").join(known, ["e1", "e2"]).groupBy("row", "t1", "t2", "df_t").agg(F.max("share").alias("share"))
+    shares = placed.select("row", "term").join(counted, "term").join(shares, ["row", "t1", "t2", "df_t"]).select("row", "term", "share")
+    spread = worded.select("row", F.explode("words").alias("w")).select("row", "w.*", F.lower("w.value").alias("term"))
+    return spread.join(shares, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share", "value"))).alias("terms"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
