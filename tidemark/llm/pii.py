@@ -77,7 +77,7 @@ def base_spans(text: str) -> Column:
 
 
 def _entities(base: Column) -> Column:
-    """The values of spans and their classes, as distinct structs (kind, entity)."""
+    """The values of spans and their classes, as distinct strings with their kind before them (distinct strings are told by hashing, structs would be compared in pairs)."""
 
     def value(s: Column) -> Column:
         return F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"]))
@@ -86,8 +86,8 @@ def _entities(base: Column) -> Column:
         digits = F.substring(_digits(s["value"]), F.lit(1), F.when(s["kind"] == "card", F.lit(ISSUER)).otherwise(F.lit(AREA)))
         return F.when(s["kind"] == "email", F.substring_index(F.lower(s["value"]), "@", -1)).when(s["kind"] == "ip", F.substring_index(s["value"], ".", 3)).otherwise(digits)
 
-    values = F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), value(s).alias("entity")))
-    classes = F.transform(base, lambda s: F.struct(F.concat(s["kind"], F.lit(" class")).alias("kind"), class_of(s).alias("entity")))
+    values = F.transform(base, lambda s: F.concat(s["kind"], F.lit(":"), value(s)))
+    classes = F.transform(base, lambda s: F.concat(s["kind"], F.lit(" class:"), class_of(s)))
     return F.array_distinct(F.concat(values, classes))
 
 
@@ -119,9 +119,9 @@ def _disclosing(bodies: DataFrame, found: DataFrame) -> DataFrame:
     its words.
     """
     holding = found.filter(F.size("base") > 0)
-    listed = holding.select("row", "same", F.explode("entities").alias("e")).select("row", "same", "e.*")
-    live = small(_standing(listed, "kind", "entity", to=("e1", "e2")))
-    held = small(cut_small(listed.join(live, ["kind", "entity"]).groupBy("row", "e1", "e2").agg(F.first("rows").alias("df_e"), F.first("same").alias("same"))))
+    listed = holding.select("row", "same", F.explode("entities").alias("entity"))
+    live = small(_standing(listed, "entity", to=("e1", "e2")))
+    held = small(cut_small(listed.join(live, "entity").groupBy("row", "e1", "e2").agg(F.first("rows").alias("df_e"), F.first("same").alias("same"))))
     worded = holding.select("row", "same", "words").join(held.select("row").distinct(), "row")
     each = worded.select("row", "same", F.explode(F.array_distinct(F.transform("words", lambda w: F.lower(w["value"])))).alias("term"))
     terms = small(_standing(each, "term", to=("t1", "t2")).drop("rows"))
