@@ -230,3 +230,80 @@ def test_secrets_of_letters_alone(spark):
     assert [found[i].spans for i in range(len(hidden))] == [f"entropy_letters:4:{4 + len(t)}" for t in hidden]
     assert all(found[i].n_entropy == 0 for i in range(len(hidden), len(rows)))
     assert all(h not in r.text for r in secrets.redact(documents(spark, rows)).collect() for h in hidden)
+
+
+def test_one_run_of_a_megabyte(spark):
+    """As an embedded image: the entropy of a candidate is linear in its length, and agrees with counting each window."""
+    rng = random.Random(11)
+    run = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1 << 20))
+    values = [run[:20], run[:21], run[:300], "ab" * 30, "a1" * 15 + run[:19], run[:19]]
+    found = spark.createDataFrame([(v,) for v in values], "value string").selectExpr("value", f"{secrets.window_entropy('value')} as entropy").collect()
+    for row in found:
+        windows = [Counter(row.value[i : i + 20]) for i in range(len(row.value) - 19)]
+        expected = max((-sum(c / 20 * math.log2(c / 20) for c in w.values()) for w in windows), default=0.0)
+        assert abs(row.entropy - expected) < 1e-5
+    began = time.perf_counter()
+    row = secrets.digest(documents(spark, [(1, f"data:{run} end")])).first()
+    assert row.spans == f"entropy_token:5:{5 + len(run)}" and time.perf_counter() - began < 60
+
+
+def wordlike(text):
+    """Whether joiners part a text into word-like parts, by going through its letters."""
+
+    def part_ends(s, at):
+        """Where a capitalised or lower-case part may end: it takes all the lower-case letters it can."""
+        end = at + 1
+        while end < len(s) and s[end].islower():
+            end += 1
+        body, lead = s[at:end], s[at]
+        run = longest = 0
+        for c in body[1:]:
+            run = 0 if c in "aeiouy" else run + 1
+            longest = max(longest, run)
+        vowel = any(c in "aeiouy" for c in body) or lead in "AEIOUY"
+        lower_run = re.search(r"[b-df-hj-np-tv-xz]{6}", body)
+        return end if 2 <= len(body) <= 24 and vowel and longest < 6 and not lower_run else None
+
+    def piece(s):
+        if len(s) <= 2:
+            return True
+        if s.isupper():
+            return len(s) <= 24 and any(c in "AEIOUY" for c in s) and not re.search(r"[B-DF-HJ-NP-TV-XZ]{6}", s)
+        at = 0
+        while at < len(s):
+            if (at := part_ends(s, at)) is None:
+                return False
+        return True
+
+    return all(piece(s) for s in re.split(r"[-_/=+]+", text) if s)
+
+
+def test_letters_alone_against_going_through_them(spark):
+    rng = random.Random(12)
+    syllables = ["wa", "ter", "lo", "str", "Con", "Vert", "mapq", "HTTP", "URL", "xq", "qwrtpsd", "QWRTPSD", "io", "E", "ly", "ing", "Able", "zz"]
+    values = {"".join(rng.choice([*syllables, "-", "_", "/", "=", "+"]) for _ in range(rng.randrange(6, 14))) for _ in range(3000)}
+    values |= {"".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ") for _ in range(rng.randrange(20, 40))) for _ in range(1500)}
+    values = [v for v in values if len(v) >= 20 and re.fullmatch(r"[A-Za-z]+(?:[-_/=+]+[A-Za-z]+)*[-_/=+]*", v)]
+    found = spark.createDataFrame([(v,) for v in values], "value string").selectExpr("value", f"{secrets._class_of('value')} as kind").collect()
+    let_go = 0
+    for row in found:
+        windows = [Counter(row.value[i : i + 20]) for i in range(len(row.value) - 19)]
+        entropy = max(-sum(c / 20 * math.log2(c / 20) for c in w.values()) for w in windows)
+        let_go += wordlike(row.value)
+        expected = None if wordlike(row.value) or entropy < secrets.LETTERS[2] - 1e-9 else "entropy_hex" if re.fullmatch("[0-9A-Fa-f]+", row.value) else "entropy_letters"
+        assert row.kind == expected, row.value
+    assert 100 < let_go < len(found) - 100
+
+
+def test_long_lists_of_addresses(spark):
+    """Three near copies of a list of 20,000 addresses: pairs are counted of sets, not of addresses and words."""
+    rng = random.Random(13)
+    lines = [f"{''.join(rng.choice('abcdefghij') for _ in range(9))} user{i}@h{i % 7}.example.org" for i in range(20_000)]
+    rows = [(c, "\n".join(x for i, x in enumerate(lines) if i % 4001 != c) + f" copy{c}") for c in range(3)]
+    rows += [(10 + i, f"plain words about nothing in particular, text {i}") for i in range(40)]
+    began = time.perf_counter()
+    found = {r.doc_id: r for r in pii.digest(documents(spark, rows)).collect()}
+    assert time.perf_counter() - began < 90
+    assert [found[c].n_email for c in range(3)] == [19_995] * 3
+    everywhere = 20_000 - 5 * 3  # words of lines that all three have
+    assert all(found[c].n_term == everywhere for c in range(3)) and all(found[10 + i].spans == "" for i in range(40))
