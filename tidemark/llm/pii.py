@@ -103,43 +103,51 @@ def _written(bodies: DataFrame, *kept: str) -> DataFrame:
     return cut(found.select(*kept, "same", "base", F.monotonically_increasing_id().alias("row"), spans.apart("words", "base").alias("words"), "entities"))
 
 
-def _standing(listed: DataFrame, *names: str, to: tuple[str, str]) -> DataFrame:
-    """What stands in ``SUPPORT`` rows or more whose texts differ: in how many, and two hashes of the set of these rows."""
-    sets = (F.bit_xor(F.xxhash64("row", F.lit(seed))).alias(name) for seed, name in enumerate(to))
-    counted = listed.groupBy(*names).agg(F.count("*").alias("rows"), (F.min("same") != F.max("same")).alias("varied"), *sets)
-    return cut_small(counted.filter((F.col("rows") >= SUPPORT) & F.col("varied")).drop("varied"))
+def _standing(listed: DataFrame, name: str, to: str) -> DataFrame:
+    """What stands in ``SUPPORT`` rows or more whose texts differ, the number of these rows, and a number for each set of rows.
+
+    Sets are told apart by two hashes; their numbers are small and shuffle well.
+    """
+    sets = [F.bit_xor(F.xxhash64("row", F.lit(seed))).alias(f"set{seed}") for seed in (1, 2)]
+    counted = listed.groupBy(name).agg(F.count("*").alias("rows"), (F.min("same") != F.max("same")).alias("varied"), *sets)
+    counted = cut_small(counted.filter((F.col("rows") >= SUPPORT) & F.col("varied")).drop("varied"))
+    numbered = cut_small(counted.select("set1", "set2").distinct().withColumn(to, F.monotonically_increasing_id()))
+    return small(cut_small(counted.join(small(numbered), ["set1", "set2"]).drop("set1", "set2")))
 
 
 def _disclosing(bodies: DataFrame, found: DataFrame) -> DataFrame:
     """Per ``row`` with such: its disclosing terms as sorted structs (start, end, share, value).
 
     Entities that stand in the same rows disclose and are disclosed alike, and so
-    do terms: what is counted are pairs of sets, so that a long list of addresses
-    in a few copies is one set of entities and not the product of its values and
-    its words.
+    do terms: what is counted are pairs of sets ``e`` and ``t``, so that a long list
+    of addresses in a few copies is one set of entities and not the product of its
+    values and its words.
     """
     holding = found.filter(F.size("base") > 0)
     listed = holding.select("row", "same", F.explode("entities").alias("entity"))
-    live = small(_standing(listed, "entity", to=("e1", "e2")))
-    held = small(cut_small(listed.join(live, "entity").groupBy("row", "e1", "e2").agg(F.first("rows").alias("df_e"), F.first("same").alias("same"))))
-    worded = holding.select("row", "same", "words").join(held.select("row").distinct(), "row")
-    each = worded.select("row", "same", F.explode(F.array_distinct(F.transform("words", lambda w: F.lower(w["value"])))).alias("term"))
-    terms = small(_standing(each, "term", to=("t1", "t2")).drop("rows"))
-    placed = each.join(terms, "term").select("row", "same", "term", "t1", "t2")
-    both = held.drop("same").join(placed.drop("term").distinct(), "row").groupBy("e1", "e2", "t1", "t2")
-    pairs = cut_small(both.agg(F.first("df_e").alias("df_e"), F.count("*").alias("n"), (F.min("same") != F.max("same")).alias("varied")).filter((F.col("n") >= SUPPORT) & F.col("varied")))
+    live = _standing(listed, "entity", "e").withColumnRenamed("rows", "df_e")
+    held = cut_small(listed.join(live, "entity").groupBy("row").agg(F.collect_set(F.struct("e", "df_e")).alias("held")))
+    worded = holding.select("row", "same", "words").join(small(held), "row")
+    each = worded.select("row", "same", "held", F.explode(F.array_distinct(F.transform("words", lambda w: F.lower(w["value"])))).alias("term"))
+    terms = _standing(each, "term", "t").drop("rows")
+    placed = cut_small(each.join(terms, "term").select("row", "term", "t"))
+    groups = placed.groupBy("row").agg(F.collect_set("t").alias("ts"))  # bounded by the text
+    both = groups.join(holding.select("row", "same").join(small(held), "row"), "row").select("same", F.explode("held").alias("h"), "ts").select("same", "h.*", F.explode("ts").alias("t"))
+    pairs = both.groupBy("e", "df_e", "t").agg(F.count("*").alias("n"), (F.min("same") != F.max("same")).alias("varied"))
+    pairs = cut_small(pairs.filter((F.col("n") >= SUPPORT) & F.col("varied")).drop("varied"))
     total = bodies.count()
 
     every = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("body", F.lit(TERM), F.lit(0))), lambda w: F.lower(w)))
-    wanted = small(cut_small(terms.join(pairs.select("t1", "t2").distinct(), ["t1", "t2"])))
+    wanted = small(cut_small(terms.join(small(cut_small(pairs.select("t").distinct())), "t")))
     counted = bodies.select(F.explode(every).alias("term")).join(wanted.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
     counted = small(cut_small(counted.join(wanted, "term")))
-    known = pairs.filter(F.col("df_e") < total).join(counted.select("t1", "t2", "df_t").distinct(), ["t1", "t2"])
+    known = pairs.filter(F.col("df_e") < total).join(counted.select("t", "df_t").distinct(), "t")
     ratio = F.log2(F.col("n") * float(max(total, 1)) / (F.col("df_t") * F.col("df_e"))) / F.log2(float(max(total, 1)) / F.col("df_e"))
-    known = small(cut_small(known.select("e1", "e2", "t1", "t2", "df_t", F.round(ratio, 9).alias("share")).filter(F.col("share") >= GENERALISE)))
+    known = small(cut_small(known.select("e", "t", "df_t", F.round(ratio, 9).alias("share")).filter(F.col("share") >= GENERALISE)))
 
-    shares = held.select("row", "e1", "e2").join(known, ["e1", "e2"]).groupBy("row", "t1", "t2", "df_t").agg(F.max("share").alias("share"))
-    shares = placed.select("row", "term").join(counted, "term").join(shares, ["row", "t1", "t2", "df_t"]).select("row", "term", "share")
+    shares = held.select("row", F.explode("held.e").alias("e")).join(known, "e").groupBy("row", "t", "df_t").agg(F.max("share").alias("share"))
+    shares = placed.join(counted.select("term", "df_t"), "term").join(small(cut_small(shares)), ["row", "t", "df_t"]).select("row", "term", "share")
+    shares = small(cut_small(shares))
     spread = worded.select("row", F.explode("words").alias("w")).select("row", "w.*", F.lower("w.value").alias("term"))
     return spread.join(shares, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share", "value"))).alias("terms"))
 
