@@ -31,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import bound_batches, cut
 
 TREES = 8
 #: Rows that fit the trees, about, chosen by a hash of their ids.
@@ -143,7 +144,7 @@ def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) ->
     return best, score
 
 
-def _enough(indexed: DataFrame, queries: DataFrame, k: int, forest: tuple, sizes: dict[int, int]) -> float:
+def _enough(indexed: DataFrame, queries: DataFrame, k: int, forest: Broadcast, sizes: dict[int, int]) -> float:
     """How many vectors the visited leaves must hold, by the exact answers of some queries (``query_id``, ``q``)."""
     total = queries.count()
     share = int((1 << 30) * min(1.0, TRIALS / max(total, 1)))
@@ -153,17 +154,21 @@ def _enough(indexed: DataFrame, queries: DataFrame, k: int, forest: tuple, sizes
     asked, names = np.array([r.q for r in trials], float), [r.query_id for r in trials]
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees, kept = Forest(*forest.value), [[] for _ in names]  # of each trial the k best of the task, with their leaves
         for batch in batches:
             found, ids = np.stack(batch["v"].to_numpy()), batch["vec_id"].to_numpy()
+            leaves = trees.leaves(found)
             for i, near in enumerate(_best(asked, found, ids, k + 1)[0]):
                 at = np.flatnonzero(np.isin(ids, near) & (ids != names[i]))
-                yield pd.DataFrame({"trial": i, "vec_id": ids[at], "below": -(found[at] @ asked[i]), "v": list(found[at])})
+                kept[i] = sorted([*kept[i], *zip((-(found[at] @ asked[i])).tolist(), ids[at].tolist(), leaves[at].tolist())])[:k]
+        rows = [(i, name, below, codes) for i, own in enumerate(kept) for below, name, codes in own]
+        yield pd.DataFrame(rows, columns=["trial", "vec_id", "below", "leaves"])
 
-    found = indexed.select("vec_id", "v").mapInPandas(best, "trial int, vec_id long, below double, v array<double>")
+    found = indexed.select("vec_id", "v").mapInPandas(best, "trial int, vec_id long, below double, leaves array<int>")
     place = F.row_number().over(Window.partitionBy("trial").orderBy("below", "vec_id"))
-    nearest = found.withColumn("place", place).filter(F.col("place") <= k).select("trial", "v").collect()  # TRIALS * k rows, about
-    trees, needs = Forest(*forest), []
-    codes = trees.leaves(np.array([r.v for r in nearest], float)) if nearest else []
+    nearest = found.withColumn("place", place).filter(F.col("place") <= k).select("trial", "leaves").collect()  # TRIALS * k rows, about
+    trees, needs = Forest(*forest.value), []
+    codes = np.array([r.leaves for r in nearest], np.int64)
     for i in range(len(trials)):
         needs += trees.needed(asked[i], sizes, codes[[r.trial == i for r in nearest]]) if nearest else []
     return float(np.quantile(needs, RECALL, method="higher")) + 1 if needs else math.inf
@@ -172,6 +177,7 @@ def _enough(indexed: DataFrame, queries: DataFrame, k: int, forest: tuple, sizes
 def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the k nearest found, by inner product, for the rows that are queries."""
     spark = vectors.sparkSession
+    bound_batches(spark, 8192)
     points = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asked"))
     points = points.filter(F.col("vec_id").isNotNull() & _usable(F.col("v")))
     points = cut(points.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("asked").alias("asked")))
@@ -195,7 +201,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     posted = cut(indexed.select("vec_id", "v", F.explode(leaves("v")).alias("leaf")))
     sizes = {r.leaf: r["count"] for r in posted.groupBy("leaf").count().collect()}  # TREES * 2**DEEPEST at most
     asked = points.filter("asked").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    enough = _enough(indexed, asked, k, forest.value, sizes)
+    enough = _enough(indexed, asked, k, forest, sizes)
     held = spark.sparkContext.broadcast(sizes)
 
     @F.pandas_udf(ArrayType(IntegerType()))
