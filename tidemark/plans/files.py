@@ -47,10 +47,11 @@ def _shared_folder(spark: SparkSession) -> Iterator[str]:
         shutil.rmtree(folder, ignore_errors=True)
 
 
-def write_source(spark: SparkSession, folder: str, to: str) -> str:
-    """The records of ``reads_lineitem`` as a SAM file in source order."""
+def write_source(spark: SparkSession, folder: str, to: str, copies: int = 1) -> str:
+    """The records of ``reads_lineitem``, each so many times, as a SAM file in source order."""
     line = F.concat_ws("\t", "qname", F.lit("0"), "rname", "pos", "mapq", F.lit("10M"), "rnext", F.lit("0"), F.lit("0"), F.lit("ACGTACGTAC"), F.lit("FFFFFFFFFF"))
-    records = reads_lineitem(spark, folder).select(F.lit(0).alias("bucket_idx"), F.lit("source").alias("bucket"), F.col("src_ord").alias("key"), F.col("src_ord").alias("src_offset"), line.alias("line"))
+    reads = reads_lineitem(spark, folder).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    records = reads.select(F.lit(0).alias("bucket_idx"), F.lit("source").alias("bucket"), F.col("src_ord").alias("key"), F.col("copy").cast("bigint").alias("src_offset"), line.alias("line"))
     header = "".join(f"{line}\n" for line in _header().lines)
     write_sorted(records, to, header, "sam")
     return f"{to}/source.sam"
