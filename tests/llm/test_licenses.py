@@ -157,6 +157,61 @@ NOTICES = [
     (f"{MPL}\n\n{MIT}", "MIT,MPL-2.0"),
 ]
 
+ASF = """/*
+ * Licensed to the Apache Software Foundation (ASF) under one or more
+ * contributor license agreements.  See the NOTICE file distributed with
+ * this work for additional information regarding copyright ownership.
+ * The ASF licenses this file to You under the Apache License, Version 2.0
+ * (the "License"); you may not use this file except in compliance with
+ * the License.  You may obtain a copy of the License at
+ *
+ *    http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+RUST = """Licensed under either of
+
+ * Apache License, Version 2.0
+   ([LICENSE-APACHE](LICENSE-APACHE) or http://www.apache.org/licenses/LICENSE-2.0)
+ * MIT license
+   ([LICENSE-MIT](LICENSE-MIT) or http://opensource.org/licenses/MIT)
+
+at your option."""
+
+#: As projects word it, with the licences in any order.
+WORDINGS = [
+    (ASF, "Apache-2.0"),
+    (RUST, "Apache-2.0,MIT"),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license", "Apache-2.0,MIT"),
+    ("This crate is licensed under the Apache License 2.0.", "Apache-2.0"),
+    ("It is dual-licensed under the MIT License and the Apache License, Version 2.0.", "Apache-2.0,MIT"),
+    ("This source code is licensed under the MIT license found in the\nLICENSE file in the root directory of this source tree.", "MIT"),
+    ("Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file.", "BSD"),
+    ("This library is free software; you can redistribute it and/or modify\nit under the same terms as Perl itself.", "Artistic-1.0-Perl OR GPL-1.0-or-later"),
+    ("This library is licensed under the same terms as Perl itself.", "Artistic-1.0-Perl OR GPL-1.0-or-later"),
+    ("This plugin is licensed under the GPLv2 or later.", "GPL-2.0-or-later"),
+    ("This program may be distributed under the terms of the GNU General Public License, version 2.", "GPL-2.0-only"),
+    ("Distributed under the terms of the GNU Lesser General Public License v3.0 or later", "LGPL-3.0-or-later"),
+    ("The code is released under the 3-Clause BSD License.", "BSD-3-Clause"),
+    ("## License\n\nMIT\n", "MIT"),
+    ("license: Apache-2.0\nauthor: someone", "Apache-2.0"),
+    ("// SPDX-License-Identifier: MIT OR Apache-2.0\n", "Apache-2.0,MIT"),
+    ("# SPDX-License-Identifier: (GPL-2.0+ OR MIT) AND BSD-3-Clause\nx = 1", "BSD-3-Clause,GPL-2.0-or-later,MIT"),
+    ("/* SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note */", "GPL-2.0-only WITH Linux-syscall-note"),
+    ("/* SPDX-License-Identifier: GPL-2.0+ */\n", "GPL-2.0-or-later"),
+    ("<!-- SPDX-License-Identifier: GPL-3.0-or-later WITH Unheard-exception-1.0 -->", "GPL-3.0-or-later"),
+    ("SPDX-License-Identifier: Unheard-1.0 OR ISC", "ISC"),
+    ("SPDX-License-Identifier: Unheard-1.0", ""),
+    ("He was licensed under the law to drive, and MIT lies at the river.", ""),
+    ("The apache license plate was red. A gpl of water, licensed by no one.", ""),
+    ("SPDX-License-Identifier: " + "word or " * 20_000, ""),
+    ("licensed under the mit license as " + "word and mit " * 20_000, "MIT"),
+]
+
 
 def dressed(notice):
     """A notice as it is, wrapped anew, behind three comment signs, and with each paragraph in a line."""
@@ -178,6 +233,11 @@ def test_notices(spark):
     assert [(t, found[i]) for i, t in rows] == [(t, name) for (_, t), name in zip(rows, expected)]
 
 
+def test_wordings(spark):
+    found = {r.doc_id: r.licenses for r in licenses.digest(documents(spark, [(i, text) for i, (text, _) in enumerate(WORDINGS)])).collect()}
+    assert [(t[:200], ",".join(sorted(found[i].split(",")))) for i, (t, _) in enumerate(WORDINGS)] == [(t[:200], name) for t, name in WORDINGS]
+
+
 @pytest.mark.parametrize(("file", "name"), [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0-only"), ("GPL-3", "GPL-3.0-only"), ("LGPL-2.1", "LGPL-2.1-only"), ("LGPL-3", "LGPL-3.0-only"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD", "BSD-3-Clause")])
 def test_whole_licences(spark, file, name):
     path = Path("/usr/share/common-licenses", file)
@@ -207,7 +267,7 @@ def test_columns_stay(spark):
 
 
 def test_sql(spark, tmp_path):
-    rows = [(i, text) for i, (notice, _) in enumerate(NOTICES) for text in dressed(notice)] + [(None, None), (1, "")]
+    rows = [(i, text) for i, (notice, _) in enumerate(NOTICES + WORDINGS) for text in dressed(notice)] + [(None, None), (1, "")]
     docs = documents(spark, rows)
     docs.write.parquet(str(tmp_path / "d"))
     duck = duckdb.connect()

@@ -5,9 +5,12 @@ at every line break, after every address, and at punctuation before a blank.  A
 known licence sentence is found where it begins and ends at a mark, whatever
 marks lie inside: notices are wrapped, stand behind comment signs, and hold
 colons, quotes and stops themselves.  A sentence may have a gap for a name.
-Each is mapped to its identifier.  The identifiers of a text, in order and
-without what stands between them, are matched against licence rules, each a
-sequence of identifiers.  Rules are tried in order, the longer before the
+Each is mapped to its identifier.  A sentence that refers to licences by their
+names, after any words of its line, and a line with an SPDX expression are
+mapped to an identifier for each licence that they name; names that aren't known
+are passed over.  The identifiers of a text, in order and without what stands
+between them, are matched against licence rules, each a sequence of
+identifiers.  Rules are tried in order, the longer before the
 shorter, and what a rule has matched is used up, so that a whole licence isn't
 also reported as its parts.
 
@@ -163,9 +166,75 @@ _SEQUENCES = (
     ("CC0-1.0", ("cc0-ref",)),
     *((f"CC-{short.upper()}-4.0", (f"cc-{short}-ref",)) for short in _CREATIVE),
 )
-_NAMES = tuple(dict.fromkeys(name for name, _ in _SEQUENCES))
+
+_VERSION = "(?:version |v )?v?"
+_LATER = "(?: or(?: at your option)?(?: any)? (?:later|newer)(?: versions?)?| plus)"
+_LICENCE = "licen[sc]e"
+
+#: How running text names licences, in normal form: with the word licence, and without it.
+NAMED = {
+    "Apache-2.0": (f"apache(?: software)? {_LICENCE}(?: {_VERSION}2(?: 0)?)?|apache {_VERSION}2(?: 0)? {_LICENCE}", f"apache {_VERSION}2(?: 0)?"),
+    "MIT": (f"mit(?: x11| expat)? {_LICENCE}|expat {_LICENCE}", "mit"),
+    "BSD-3-Clause": (f"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: style)? {_LICENCE}", "bsd 3 clause|3 clause bsd"),
+    "BSD-2-Clause": (f"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: style)? {_LICENCE}", "bsd 2 clause|2 clause bsd"),
+    "BSD": (f"bsd(?: style)? {_LICENCE}", "bsd"),
+    "ISC": (f"isc {_LICENCE}", "isc"),
+    "Zlib": (f"zlib(?: libpng)? {_LICENCE}", "zlib"),
+    "BSL-1.0": (f"boost software {_LICENCE}(?: {_VERSION}1 0)?", "bsl 1 0"),
+    "MPL-2.0": (f"mozilla public {_LICENCE} {_VERSION}2(?: 0)?", f"mpl {_VERSION}2(?: 0)?|mplv2(?: 0)?"),
+    "EPL-2.0": (f"eclipse public {_LICENCE} {_VERSION}2(?: 0)?", f"epl {_VERSION}2(?: 0)?"),
+    "CC0-1.0": (f"cc0(?: 1 0)?(?: universal)? {_LICENCE}", "cc0(?: 1 0)?(?: universal)?"),
+    "Unlicense": (f"unlicense(?: {_LICENCE})?", "unlicense"),
+    "Artistic-1.0-Perl OR GPL-1.0-or-later": (f"same (?:terms|{_LICENCE}) as perl(?: itself)?", "same terms as perl(?: itself)?"),
+}
+
+
+def _gnu_named() -> dict[str, tuple[str, str]]:
+    found = {}
+    for key, (kind, versions) in _GNU.items():
+        kinds = {"General": "", "Lesser General": "(?:lesser|library) "}.get(kind, "affero ")
+        long = f"(?:gnu )?{kinds}general public {_LICENCE}(?: {key})?"
+        for v in versions:
+            number = v.replace(".", " ") if "." in v else f"{v}(?: 0)?"
+            plain, short = f"{long} {_VERSION}{number}", f"(?:gnu )?{key}(?:v| {_VERSION}){number}"
+            name = f"{key.upper()}-{v if '.' in v else v + '.0'}"
+            found[f"{name}-or-later"] = (f"{plain}{_LATER}|version {number}{_LATER} of the {long}|{short}{_LATER} {_LICENCE}", f"{short}{_LATER}")
+            found[f"{name}-only"] = (f"{plain}(?: only)?|version {number} of the {long}|{short} {_LICENCE}", f"{short}(?: only)?")
+    return found
+
+
+NAMED = _gnu_named() | NAMED
+_OWN = {"Apache-2.0": "apache-ref", "MIT": "mit-ref", "MPL-2.0": "mpl-ref", "EPL-2.0": "epl-ref", "CC0-1.0": "cc0-ref", "GPL-3.0-only": "gpl3-ref", "GPL-2.0-only": "gpl2-ref", "BSL-1.0": "boost-title"}
+#: The identifier of a reference to each licence.
+REFERENCES = {name: _OWN.get(name, f"ref-{name.split()[0]}") for name in NAMED}
+#: Exceptions of SPDX, with the licences that they are mostly used with.
+EXCEPTIONS = {
+    "Classpath-exception-2.0": ("GPL-2.0", "GPL-3.0"),
+    "Linux-syscall-note": ("GPL-1.0", "GPL-2.0", "LGPL-2.1"),
+    "GCC-exception-3.1": ("GPL-3.0",),
+    "Autoconf-exception-3.0": ("GPL-3.0",),
+    "Bison-exception-2.2": ("GPL-2.0", "GPL-3.0"),
+    "Font-exception-2.0": ("GPL-2.0", "GPL-3.0"),
+}
+
+
+def _spdx() -> dict[str, str]:
+    """The licence of each identifier of SPDX, older ones of GNU licences and exceptions included."""
+    gnu = dict.fromkeys(["GPL-1.0", *(f"{key.upper()}-{v if '.' in v else v + '.0'}" for key, (_, versions) in _GNU.items() for v in versions)])
+    found = {name: name for name, _ in _SEQUENCES} | {"Artistic-1.0-Perl": "Artistic-1.0-Perl", "Artistic-2.0": "Artistic-2.0"}
+    for name in gnu:
+        found |= {f"{name}{end}": f"{name}-{which}" for which, ends in (("only", ("", "-only")), ("or-later", ("+", "-or-later"))) for end in ends}
+    found |= {f"{name} WITH {more}": f"{found[name]} WITH {more}" for more, bases in EXCEPTIONS.items() for name in list(found) if name.rstrip("+").removesuffix("-only").removesuffix("-or-later") in bases}
+    return found | {"Apache-2.0 WITH LLVM-exception": "Apache-2.0 WITH LLVM-exception"}
+
+
+SPDX = _spdx()
+_NAMES = tuple(dict.fromkeys(SPDX.values()))
 SENTENCES |= _gnu() | _creative() | {f"spdx-{name}": (f"SPDX-License-Identifier: {name}",) for name in _NAMES}
-_EVERY = [*_SEQUENCES, *((name, (f"spdx-{name}",)) for name in _NAMES)]
+SENTENCES |= {identifier: (f"Licensed under {name}",) for name, identifier in REFERENCES.items() if identifier not in SENTENCES}
+SENTENCES["ref-Artistic-1.0-Perl"] = ("{name} redistribute it and/or modify it under the same terms as Perl itself", "redistribute it and/or modify it under the same terms as Perl itself")
+_EVERY = [*_SEQUENCES, *((name, (f"spdx-{name}",)) for name in _NAMES), *((name, (REFERENCES[name],)) for name in NAMED)]
+_EVERY = list(dict.fromkeys(_EVERY))
 #: The rules in the order in which they are tried; each may follow a reservation of rights, which alone is proprietary.
 RULES = sorted(((name, sequence) for name, plain in _EVERY for sequence in (("all-rights", *plain), plain)), key=lambda rule: -len(rule[1])) + [("proprietary", ("all-rights",))]
 
@@ -177,6 +246,57 @@ _STOP = r"[^A-Za-z0-9\x20\x09-\x0D][\x20\x09]"
 _LEAD = r"(?:(?:this|the) [a-z]+ is )?"
 
 
+#: Where a sign that stands for later versions is spelled out.
+_PLUS = r"([0-9])\+"
+
+_BETWEEN = r"(?: |\|\|)"
+#: What brings a reference about: after the first kind licences needn't be called so.
+_LICENSED = "(?:licen[sc]ed|licen[sc]es (?:this|these) [a-z]+ to you) (?:under|by)|licen[sc]e"
+_RELEASED = "(?:released|distributed|available|provided|published|offered|redistributed|used|modified) under|(?:governed|covered) by|subject to"
+_TERMS = "(?:the terms (?:and conditions )?of )?(?:(?:either|both|one|any|of|the|a|an|your choice) )*"
+#: What may follow the licences of a reference before the next mark.
+_TAIL = "(?: (?:the license|at|that|which|found|as|see|in|with|for|whose|located|described|included|available|terms|file)(?: [a-z0-9 ]*)?)?"
+
+
+def _wide(pattern: str) -> str:
+    """A pattern of normal forms that also takes marks for spaces, outside of runs of words."""
+    return re.sub(r" (?![^\[\]]*\])", lambda _: _BETWEEN, pattern)
+
+
+def _called(bare: bool) -> str:
+    return "|".join(x for full, short in NAMED.values() for x in ((full, short) if bare else (full,)))
+
+
+def _reference() -> str:
+    """A sentence that names licences, of which lists may have more words behind each name."""
+    first = f"(?:(?:{_LICENSED}) {_TERMS}(?:{_called(True)})|(?:{_RELEASED}) {_TERMS}(?:{_called(False)}))"
+    more = f"(?:(?: and| or| and or)? (?:under )?{_TERMS}(?:{_called(True)}))*"
+    listed = rf"(?:[a-z0-9 ]*\|\|(?:and |or )?(?:the )?(?:{_wide(_called(True))}))*"
+    lists = _wide(f"(?:{_LICENSED}) (?:either of|any of|one of|both of|both|either) (?:the )?(?:{_called(True)})") + listed + "[a-z0-9 ]*"
+    return f"(?:[a-z0-9]+ ){{0,{NAME_WORDS}}}?(?:{_wide(first + more)}{_TAIL}|{lists})"
+
+
+def _named_in() -> str:
+    """The licences in a reference: each follows what brings it about, a joining word or a mark."""
+    before = _wide(f"(?:{_LICENSED}|{_RELEASED}| and| or)(?: under)? {_TERMS}")
+    return rf"(?:{before}|\|\|(?:and |or |the )*)({_wide(_called(True))})\b"
+
+
+def _expression() -> str:
+    """A line with an SPDX expression: words up to the next mark, or over marks that are brackets."""
+    return rf"spdx license identifier{_BETWEEN}[a-z0-9][a-z0-9 ]*(?:\|\|(?:and|or|with) [a-z0-9 ]*)*"
+
+
+def terms() -> dict[str, str]:
+    """The identifiers of the sentences for SPDX identifiers in normal form."""
+    return {_normal(re.sub(_PLUS, r"\1 plus ", term)): f"spdx-{name}" for term, name in SPDX.items()}
+
+
+#: In an expression: what joins terms, and an exception.
+_JOINED, _EXCEPTION = r" (?:and|or) ", " with .*"
+_OR_LATER = (" or later", " orlater")
+
+
 def _normal(sentence: str) -> str:
     return " ".join(re.findall("[a-z0-9]+|NAME", re.sub("[A-Z]+", lambda m: m[0].lower(), sentence).replace("{name}", " NAME ")))
 
@@ -189,10 +309,10 @@ def forms() -> dict[str, str]:
 
 def _pattern() -> str:
     """A sentence between two marks; each mark is written twice, so that neighbours needn't share one."""
-    between, word = r"(?: |\|\|)", "[a-z0-9]+"
+    between, word = _BETWEEN, "[a-z0-9]+"
     name = f"(?:{word}{between}){{0,{NAME_WORDS - 1}}}?{word}"
     either = "|".join(between.join(name if w == "NAME" else w for w in form.split()) for form in forms())
-    return rf"\|(?:[0-9a-z]{{1,2}} )?{_LEAD}({either})\|"
+    return rf"\|(?:[0-9a-z]{{1,2}} )?{_LEAD}({either}|{_expression()}|{_reference()})\|"
 
 
 def _named() -> list[tuple[str, str]]:
@@ -200,21 +320,47 @@ def _named() -> list[tuple[str, str]]:
     return [(f"^{form.replace('NAME', '.+')}$", form) for form in forms() if "NAME" in form]
 
 
+def _calls() -> list[tuple[str, str]]:
+    """Patterns of names, in the order in which they are tried, and the identifier of a reference to each."""
+    return [("|".join(names), REFERENCES[name]) for name, names in NAMED.items()]
+
+
 def _known(text: str) -> Column:
-    """The identifiers of the known sentences of a text, in order."""
-    marks = F.regexp_replace(F.translate(F.col(text), "|", " "), _ADDRESS, "$1|")
+    """The identifiers of the known sentences of a text, in order; ``lower`` is the text in lower case."""
+    marks = F.regexp_replace(F.translate(F.col(text), "|", " "), _PLUS, "$1 plus ")
+    marks = F.regexp_replace(marks, _ADDRESS, "$1|")
     marks = F.regexp_replace(F.regexp_replace(marks, _STOP, "|"), r"[\n\r]", "|")
     words = F.regexp_replace(F.lower(F.regexp_replace(marks, "[^A-Za-z0-9|]+", " ")), r" ?\|[ |]*", "||")
     found = F.regexp_extract_all(F.concat(F.lit("||"), F.trim(words), F.lit("||")), F.lit(_pattern()), F.lit(1))
 
+    def looked_up(table: dict[str, str], form: Column) -> Column:
+        return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), form)
+
+    def spaced(sentence: Column) -> Column:
+        return F.replace(sentence, F.lit("||"), F.lit(" "))
+
+    def expressed(sentence: Column) -> Column:
+        joined = F.replace(F.substr(spaced(sentence), F.lit(len("spdx license identifier") + 2)), *map(F.lit, _OR_LATER))
+        each = F.transform(F.split(joined, _JOINED), lambda term: F.trim(F.replace(term, *map(F.lit, _OR_LATER[::-1]))))
+        return F.transform(each, lambda term: F.coalesce(looked_up(terms(), term), looked_up(terms(), F.regexp_replace(term, _EXCEPTION, ""))))
+
+    def named(sentence: Column) -> Column:
+        def one(name: Column) -> Column:
+            cases = ((F.regexp_like(spaced(name), F.lit(f"^(?:{either})$")), identifier) for either, identifier in _calls())
+            return F.coalesce(*(F.when(hit, identifier) for hit, identifier in cases))
+
+        return F.transform(F.regexp_extract_all(sentence, F.lit(_named_in()), F.lit(1)), one)
+
     def identified(sentence: Column) -> Column:
-        form = F.replace(sentence, F.lit("||"), F.lit(" "))
+        form = spaced(sentence)
         for pattern, to in _named():
             form = F.regexp_replace(form, pattern, to)
-        return F.element_at(F.create_map(*(F.lit(x) for pair in forms().items() for x in pair)), form)
+        known = F.array(looked_up(forms(), form))
+        several = F.when(F.startswith(sentence, F.lit("spdx license identifier")), expressed(sentence)).otherwise(named(sentence))
+        return F.when(known[0].isNotNull(), known).otherwise(F.array_compact(several))
 
-    likely = reduce(or_, (F.contains(F.lower(text), F.lit(word)) for word in WORDS))
-    return F.when(likely, F.transform(found, identified)).otherwise(F.array().cast("array<string>"))
+    likely = reduce(or_, (F.contains("lower", F.lit(word)) for word in WORDS))
+    return F.when(likely, F.flatten(F.transform(found, identified))).otherwise(F.array().cast("array<string>"))
 
 
 def _licenses(ids: str) -> Column:
@@ -233,12 +379,12 @@ def _licenses(ids: str) -> Column:
 def scan(docs: DataFrame, text: str = "text", sentences: str = "license_sentences", licenses: str = "licenses") -> DataFrame:
     """``docs`` with the identifiers of known sentences in order, and the licences that they make, each once."""
     packed = docs.select(F.struct("*").alias("doc"), text_or_empty(text).alias("body"))
-    found = packed.withColumn("ids", _known("body"))
+    found = packed.withColumn("lower", F.lower("body")).withColumn("ids", _known("body"))
     return found.select("doc.*", F.col("ids").alias(sentences), _licenses("ids").alias(licenses))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per document: known sentences, their identifiers and the licences they make."""
+    """Per document: how many identifiers its sentences have, the identifiers and the licences they make."""
     found = scan(docs.select("doc_id", "text"))
     return found.select(
         "doc_id",
@@ -254,12 +400,20 @@ def digest_sql() -> str:
     form = "replace(s, '||', ' ')"
     for pattern, to in _named():
         form = f"regexp_replace({form}, {quoted(pattern)}, {quoted(to)})"
+    term = f"trim(replace(t, {quoted(_OR_LATER[1])}, {quoted(_OR_LATER[0])}))"
+    joined = f"replace(substr(replace(s, '||', ' '), {len('spdx license identifier') + 2}), {quoted(_OR_LATER[0])}, {quoted(_OR_LATER[1])})"
+    expressed = f"list_transform(regexp_split_to_array({joined}, {quoted(_JOINED)}), lambda t: coalesce(terms[{term}], terms[regexp_replace({term}, {quoted(_EXCEPTION)}, '')]))"
+    spdx = ", ".join(f"({quoted(form)}, {quoted(name)})" for form, name in terms().items())
+    calls = " ".join(f"WHEN regexp_full_match(replace(n, '||', ' '), {quoted(either)}) THEN {quoted(name)}" for either, name in _calls())
+    named = f"list_transform(regexp_extract_all(s, {quoted(_named_in())}, 1), lambda n: CASE {calls} END)"
+    identified = f"CASE WHEN ids[{form}] IS NOT NULL THEN [ids[{form}]] WHEN starts_with(s, 'spdx license identifier') THEN {expressed} ELSE {named} END"
     rules = ", ".join(f"{{'rest': '', 'names': CAST([] AS VARCHAR[]), 'mark': {quoted(';' + ';'.join(sequence) + ';')}, 'name': {quoted(name)}}}" for name, sequence in RULES)
     return f"""WITH ids AS (SELECT map(list(form), list(name)) AS ids FROM (VALUES {known}) t(form, name)),
+spdx AS (SELECT map(list(form), list(name)) AS terms FROM (VALUES {spdx}) t(form, name)),
 bodies AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
-stopped AS (SELECT doc_id, {' OR '.join(f"contains(lower(body), '{word}')" for word in WORDS)} AS likely, regexp_replace(regexp_replace(regexp_replace(translate(body, '|', ' '), {quoted(_ADDRESS)}, '\\1|', 'g'), {quoted(_STOP)}, '|', 'g'), '[\\n\\r]', '|', 'g') AS body FROM bodies),
+stopped AS (SELECT doc_id, {' OR '.join(f"contains(lower(body), '{word}')" for word in WORDS)} AS likely, regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(body, '|', ' '), {quoted(_PLUS)}, '\\1 plus ', 'g'), {quoted(_ADDRESS)}, '\\1|', 'g'), {quoted(_STOP)}, '|', 'g'), '[\\n\\r]', '|', 'g') AS body FROM bodies),
 worded AS (SELECT doc_id, likely, '||' || trim(regexp_replace(lower(regexp_replace(body, '[^A-Za-z0-9|]+', ' ', 'g')), ' ?\\|[ |]*', '||', 'g')) || '||' AS body FROM stopped),
-found AS (SELECT doc_id, CASE WHEN likely THEN list_transform(regexp_extract_all(body, {quoted(_pattern())}, 1), lambda s: ids[{form}]) ELSE [] END AS found FROM worded, ids),
+found AS (SELECT doc_id, CASE WHEN likely THEN list_filter(flatten(list_transform(regexp_extract_all(body, {quoted(_pattern())}, 1), lambda s: {identified})), lambda x: x IS NOT NULL) ELSE [] END AS found FROM worded, ids, spdx),
 judged AS (SELECT doc_id, found, list_reduce(list_prepend({{'rest': ';' || array_to_string(found, ';') || ';', 'names': CAST([] AS VARCHAR[]), 'mark': '', 'name': ''}}, [{rules}]), lambda a, r: {{
   'rest': CASE WHEN contains(a.rest, r.mark) THEN replace(a.rest, r.mark, ';') ELSE a.rest END,
   'names': CASE WHEN contains(a.rest, r.mark) AND NOT list_contains(a.names, r.name) THEN list_append(a.names, r.name) ELSE a.names END, 'mark': '', 'name': ''}}).names AS names FROM found)
