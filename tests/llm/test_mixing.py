@@ -110,3 +110,18 @@ def test_hash_order_is_by_id(spark):
     rows = [(i, "a b c", "s") for i in range(50)]
     plan = mixing.plan(mixing.sized(documents(spark, rows))).collect()
     assert [r.doc_id for r in plan if r.mix_begin == 0] == [first]
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_that_share_an_id_are_dealt_out(spark, doc_id):
+    """A third of all rows has one id or none: no bucket holds more than a small part of them, and targets are met."""
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    some = F.when(F.col("id") % 3 > 0, F.col("id") + 10).otherwise(F.lit(doc_id)).alias("doc_id")
+    docs = spark.range(n).select(some, F.concat(F.lit("w x "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    buckets = mixing.sized(docs).groupBy(F.substring("mix_key", 1, 2 * mixing.BUCKET_DIGITS)).count()
+    assert buckets.agg(F.max("count")).first()[0] < n / 300
+    copies = spark.range(n).select((F.col("id") + 10).alias("doc_id"), F.lit("w x y").alias("text"), F.lit("t").alias("source"))
+    found = mixing.assign(docs.unionByName(copies)).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).collect()
+    assert sum(r["size"] for r in found) == 6 * n and all(abs(r.taken - r.target) <= 1 for r in found)

@@ -14,13 +14,15 @@ cumulative demand reaches c, and inverting the integral gives its position
 between 0 and 1.  The mix is the documents range-sorted by position.
 
 Streams are prefix sums in two steps, over hash buckets and then inside each
-bucket, so that no task sorts a whole source.
+bucket, so that no task sorts a whole source.  Buckets are named by hashes of id
+and text, so neither rows that share an id, or have none, nor copies of a text
+meet in one bucket; only rows that are equal in both do.
 
 Defined results: a null or empty text has size 0 and takes nothing; a source of
 size 0 has target 0; null is a source of its own; rows with equal ids are
-ordered by size and text, and rows that are equal in all of these are
-interchangeable; rows without an id come first in their stream; other columns
-may be present and are kept by ``mix``.
+ordered by text and size, and rows that are equal in all of these are
+interchangeable; no id counts as an empty one; other columns may be present and
+are kept by ``mix``.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ MOST = 3
 WEIGHTS = (1, 2, 3)
 #: Rates at evenly spaced times, for each weight: light sources come early, heavy ones late.
 SCHEDULE = {1: (1.5, 1.0, 0.5), 2: (1.0, 1.0, 1.0), 3: (0.5, 1.0, 1.5)}
-#: Hex digits of the hash that name a bucket: 4096 buckets for each source.
-BUCKET_DIGITS = 3
+#: Hex digits of each of the two hashes that name a bucket: at most 65,536 buckets for each source.
+BUCKET_DIGITS = 2
 
 
 def _knots(rates: tuple[float, ...]) -> list[float]:
@@ -80,9 +82,11 @@ def targets(sources: DataFrame) -> DataFrame:
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the size of each document and its place in a stream's order."""
+    by_id = F.md5(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8"))
+    by_text = F.md5(F.encode(text_or_empty(text), "UTF-8"))
     return docs.withColumns({
         "mix_size": F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long"),
-        "mix_key": F.md5(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")),
+        "mix_key": F.concat(F.substring(by_id, 1, BUCKET_DIGITS), F.substring(by_text, 1, BUCKET_DIGITS), by_id),
         "mix_tie": F.xxhash64(text),
     })
 
@@ -94,7 +98,7 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source") -> Dat
     from the start of the stream are taken once more until the target is met,
     the last of them in part.
     """
-    rows = docs.withColumn("mix_bucket", F.substring("mix_key", 1, BUCKET_DIGITS))
+    rows = docs.withColumn("mix_bucket", F.substring("mix_key", 1, 2 * BUCKET_DIGITS))
     sums = rows.groupBy(F.col(source).alias("source"), F.col("mix_bucket").alias("bucket")).agg(F.sum("mix_size").alias("words"))
     sums = cut_small(sums)
     aims = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
@@ -166,7 +170,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 ASSIGN_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h, left(h, 2) || left(md5(coalesce(text, '')), 2) || h AS k
   FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
