@@ -131,3 +131,29 @@ def test_calibration_by_brute_force(spark):
     scores = {r.doc_id: r.score for r in model.score(docs).collect()}
     seen = [(expected[r.p], scores[r.doc_id]) for r in raw if r.p in expected]
     assert len(seen) > 50 and all(math.isclose(a, b, abs_tol=1e-9) for a, b in seen)
+
+
+def test_ids_that_repeat_are_bounded(spark, monkeypatch):
+    """Rows of one labelled id that the documents repeat are a weight; beyond the bound, texts are chosen by a hash."""
+    from pyspark.sql import functions as F
+
+    docs, labels, truth = labelled(spark, 300)
+    hot = next(i for i in truth if zlib.crc32(str(i).encode()) % 5 == toxicity.CALIBRATION_FOLD)
+    labels = labels.select(F.col("doc_id").alias("labelled_id"), "toxic").distinct()
+    pairs = docs.select(F.col("doc_id").alias("labelled_id"), "text")
+    copies = spark.range(100_000).select(F.lit(hot).cast("bigint").alias("labelled_id"), F.lit("a b").alias("text"))
+    monkeypatch.setattr(toxicity, "SAMPLE", 1000)
+    rows = toxicity._labelled(pairs.unionByName(copies), labels).collect()
+    assert len(rows) == 301 and sum(r.weight for r in rows) == 100_300 and max(r.weight for r in rows) == 100_000
+    different = copies.withColumn("text", F.concat(F.lit("a b "), F.monotonically_increasing_id().cast("string")))
+    rows = toxicity._labelled(pairs.unionByName(different), labels)
+    assert 700 < rows.count() < 1300 and sorted(map(tuple, rows.collect())) == sorted(map(tuple, rows.repartition(7).collect()))
+
+
+def test_weights_are_rows(spark):
+    docs, labels, truth = labelled(spark, 400)
+    from pyspark.sql import functions as F
+
+    words = toxicity.lexicon(docs.join(labels, "doc_id").select("toxic", "text", F.lit(3).alias("weight")))
+    thrice = docs.unionByName(docs).unionByName(docs).join(labels, "doc_id").select("toxic", "text", F.lit(1).alias("weight"))
+    assert words and words == toxicity.lexicon(thrice)

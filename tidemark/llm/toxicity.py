@@ -8,9 +8,10 @@ Features are densities and rates only: lexicon density and strength, closeness
 of lexicon words to second-person words, capitals, punctuation, and obfuscation
 (words that mix letters with digits or symbols, and what they say once undone).
 
-About ``SAMPLE`` labelled rows are used at most, chosen by a hash of their ids;
-this bounds what is broadcast and the fit.  Scores are computed
-for all whole texts.
+About ``SAMPLE`` labelled ids are used at most, chosen by a hash, and of these
+about ``SAMPLE`` different pairs of id and text, chosen likewise; pairs that
+repeat are one row with a weight.  This bounds what is broadcast and the fit,
+whatever ids the documents repeat.  Scores are computed for all whole texts.
 
 Defined results: a null or empty text has features of zero and gets a score
 like any other; of several labels of an id the largest counts, null labels are
@@ -64,8 +65,9 @@ def _plain_words(texts: pd.Series) -> pd.Series:
 
 
 def lexicon(labelled: DataFrame) -> dict[str, float]:
-    """Words and word beginnings with their log-odds, from ``text`` and ``toxic``; at most ``LEXICON_SIZE``."""
-    words = labelled.select("toxic", F.explode(_plain_words("text")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    """Words and word beginnings with their log-odds, from ``text``, ``toxic`` and ``weight``; at most ``LEXICON_SIZE``."""
+    words = labelled.select("toxic", "weight", F.explode(_plain_words("text")).alias("word"))
+    words = words.groupBy("word").agg(F.sum(F.col("toxic") * F.col("weight")).alias("t"), F.sum("weight").alias("n"))
     parts = F.array_distinct(F.concat(F.array("word"), *(F.when(F.length("word") > k, F.array(F.substring("word", 1, k))).otherwise(F.array().cast("array<string>")) for k in BEGINNINGS)))
     terms = cut_small(words.select(F.explode(parts).alias("term"), "t", "n").groupBy("term").agg(F.sum("t").alias("t"), F.sum(F.col("n") - F.col("t")).alias("c")).filter("t > 0 or length(term) > 2"))
     whole = words.agg(F.sum("t").alias("t"), F.sum(F.col("n") - F.col("t")).alias("c")).first()
@@ -181,8 +183,24 @@ class Model:
 
 
 def _classes(rows: DataFrame) -> tuple[int, int]:
-    found = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    return found.n, int(found.t or 0)
+    found = rows.agg(F.sum("weight").alias("n"), F.sum(F.col("toxic") * F.col("weight")).alias("t")).first()
+    return found.n or 0, int(found.t or 0)
+
+
+def _chosen(column: str, share: float):
+    """Rows by a hash of a column or expression: about ``share`` of its values, with all rows of each."""
+    return F.pmod(F.expr(f"xxhash64({column})"), F.lit(1 << 30)) < int((1 << 30) * share)
+
+
+def _labelled(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """Different ``labelled_id`` and ``text`` with ``toxic`` and ``weight``, the number of rows; about ``SAMPLE`` at most."""
+    known = F.broadcast(sample)  # SAMPLE ids, about
+    rows = docs.join(known, "labelled_id")
+    if docs.select("labelled_id").join(known, "labelled_id").count() > 2 * SAMPLE:
+        different = rows.agg(F.approx_count_distinct(F.xxhash64("labelled_id", "text"), 0.02).alias("n")).first().n
+        if different > SAMPLE:
+            rows = rows.filter(_chosen("labelled_id, text", SAMPLE / different))
+    return rows.groupBy("labelled_id", "text", "toxic").agg(F.count("*").alias("weight"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -191,25 +209,24 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     usable = usable.groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max(label).cast("int").alias("toxic"))
     usable = cut_small(usable)
     there = usable.count()
-    # about SAMPLE rows by a hash of the id, or all
-    sample = usable if there <= SAMPLE else usable.filter(F.pmod(F.xxhash64("labelled_id"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / there))
-    rows = docs.select(F.col(doc_id).alias("labelled_id"), F.col(text).alias("text")).join(F.broadcast(sample), "labelled_id")
+    sample = usable if there <= SAMPLE else usable.filter(_chosen("labelled_id", SAMPLE / there))
+    rows = _labelled(docs.select(F.col(doc_id).alias("labelled_id"), F.col(text).alias("text")), sample)
     rows = rows.withColumn("fold", F.crc32(F.encode(F.col("labelled_id").cast("string"), "UTF-8")) % FOLDS)
     words = lexicon(rows.filter(F.col("fold").isin(*LEXICON_FOLDS)))
-    ready = with_features(rows.filter(F.col("fold").isin(TREE_FOLD, CALIBRATION_FOLD)), words).select("fold", "toxic", "tox_features")
-    ready = cut(ready)  # SAMPLE rows at most
+    ready = with_features(rows.filter(F.col("fold").isin(TREE_FOLD, CALIBRATION_FOLD)), words).select("fold", "toxic", "weight", "tox_features")
+    ready = cut(ready)  # SAMPLE rows, about
     training, calibrating = ready.filter(F.col("fold") == TREE_FOLD), ready.filter(F.col("fold") == CALIBRATION_FOLD)
     n, toxic = _classes(training)
     if not 0 < toxic < n:
         return Model(words, None, None, toxic / n if n else 0.0)
     boosting = GBTClassifier(featuresCol="tox_features", labelCol="toxic", predictionCol="tox_prediction", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=8)
-    boosting.setRawPredictionCol("tox_raw_prediction").setProbabilityCol("tox_probability")
+    boosting.setRawPredictionCol("tox_raw_prediction").setProbabilityCol("tox_probability").setWeightCol("weight")
     trees = boosting.fit(training.coalesce(4))
     n, toxic = _classes(calibrating)
     if not 0 < toxic < n:
         return Model(words, trees, None, 0.0)
-    raw = trees.transform(calibrating).select(F.get(vector_to_array("tox_probability"), 1).alias("tox_raw"), F.col("toxic").cast("double").alias("toxic"))
-    calibration = IsotonicRegression(featuresCol="tox_raw", labelCol="toxic", predictionCol="tox_score").fit(raw)
+    raw = trees.transform(calibrating).select(F.get(vector_to_array("tox_probability"), 1).alias("tox_raw"), F.col("toxic").cast("double").alias("toxic"), F.col("weight").cast("double").alias("weight"))
+    calibration = IsotonicRegression(featuresCol="tox_raw", labelCol="toxic", weightCol="weight", predictionCol="tox_score").fit(raw)
     return Model(words, trees, calibration, 0.0)
 
 
