@@ -91,6 +91,18 @@ def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     })
 
 
+def _offsets(sums: DataFrame) -> DataFrame:
+    """The words of a source before each of its buckets: before the block of the bucket, and before it in the block."""
+    blocked = sums.withColumn("block", F.substring("bucket", 1, BUCKET_DIGITS))
+    earlier = Window.partitionBy("block_of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocked.groupBy(F.col("source").alias("block_of"), F.col("block").alias("at")).agg(F.sum("words").alias("words"))
+    blocks = blocks.select("block_of", "at", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    within = blocked.withColumn("within", F.coalesce(F.sum("words").over(inside), F.lit(0)))
+    joined = within.join(blocks, (F.col("block") == F.col("at")) & F.col("source").eqNullSafe(F.col("block_of")))
+    return joined.select("source", "bucket", (F.col("before") + F.col("within")).alias("mix_offset"))
+
+
 def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """``docs`` (from ``sized``) with ``mix_target``, ``mix_source_size``, ``mix_weight``, ``mix_taken``, ``mix_begin``.
 
@@ -102,8 +114,7 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source") -> Dat
     sums = rows.groupBy(F.col(source).alias("source"), F.col("mix_bucket").alias("bucket")).agg(F.sum("mix_size").alias("words"))
     sums = cut_small(sums)
     aims = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("mix_offset"))
+    offsets = _offsets(sums)
     aims = aims.select(
         F.col("source").alias("aim"), F.col("source_size").alias("mix_source_size"), F.col("weight").alias("mix_weight"), F.col("target").alias("mix_target")
     )
