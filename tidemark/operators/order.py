@@ -40,12 +40,19 @@ def range_bounds(df: DataFrame, by: list[str], parts: int) -> list[tuple]:
     return list(dict.fromkeys(chosen))
 
 
+def _known(df: DataFrame, by: list[str], bounds: list[tuple]) -> Column:
+    kinds = [df.schema[name].dataType for name in by]
+    return F.array(*(F.struct(*(F.lit(v).cast(kind).alias(name) for v, kind, name in zip(bound, kinds, by))) for bound in bounds))
+
+
 def range_of(df: DataFrame, by: list[str], bounds: list[tuple]) -> Column:
-    """How many bounds lie at or before a row, by binary search."""
+    """How many bounds lie at or before a row, by binary search.
+
+    One expression, whose steps Spark interprets; ``with_range`` compiles them.
+    """
     if not bounds:
         return F.lit(0)
-    kinds = [df.schema[name].dataType for name in by]
-    known = F.array(*(F.struct(*(F.lit(v).cast(kind).alias(name) for v, kind, name in zip(bound, kinds, by))) for bound in bounds))
+    known = _known(df, by, bounds)
     begin = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
 
     def halve(now: Column, _: Column) -> Column:
@@ -58,14 +65,27 @@ def range_of(df: DataFrame, by: list[str], bounds: list[tuple]) -> Column:
     return F.aggregate(steps, begin, halve, lambda now: now["low"])
 
 
+def with_range(df: DataFrame, by: list[str], bounds: list[tuple], name: str = "run_part") -> DataFrame:
+    """``df`` with the column of ``range_of``, a projection for each step of the search; the value that a row sorts by is made once."""
+    found = df.withColumn(name, F.lit(0))
+    if not bounds:
+        return found
+    known, found = _known(df, by, bounds), found.withColumn("run_key", _sorts(by))
+    step = 1 << (len(bounds).bit_length() - 1)
+    while step:  # a step beyond the last bound meets null, and isn't taken
+        found = found.withColumn(name, F.col(name) + F.when(F.get(known, F.col(name) + (step - 1)) <= F.col("run_key"), step).otherwise(0))
+        step >>= 1
+    return found.drop("run_key")
+
+
 def _ranged(df: DataFrame, by: list[str], parts: int) -> DataFrame:
     """``df`` with ``run_part``, the range of each row."""
-    return df.withColumn("run_part", range_of(df, by, range_bounds(df, by, parts)))
+    return with_range(df, by, range_bounds(df, by, parts))
 
 
-def total_order(df: DataFrame, tie: str = "src_offset", partitions: int | None = None) -> DataFrame:
-    """``df`` partitioned by ranges of bucket, key and source order, whose number is ``run_part``, and sorted."""
-    by, parts = [*SORT, tie], partitions or partitions_of(df)
+def total_order(df: DataFrame, *tie: str, partitions: int | None = None) -> DataFrame:
+    """``df`` partitioned by ranges of bucket, key and source order (``src_offset``, or the columns ``tie``), whose number is ``run_part``, and sorted."""
+    by, parts = [*SORT, *(tie or ("src_offset",))], partitions or partitions_of(df)
     return _ranged(df, by, parts).repartitionById(parts, "run_part").sortWithinPartitions(*by)
 
 
