@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.lineage import settle
+from tidemark.lineage import write_down
 from tidemark.operators.order import running
 
 NAMES = [f"chr{i}" for i in range(1, 9)]
@@ -29,13 +29,14 @@ def lineitem_records(spark: SparkSession, folder: str) -> DataFrame:
     return made.withColumn("size", (F.length("qname") + F.length("rname") + F.length("rnext") + 40).cast("bigint"))
 
 
-def reads_lineitem(spark: SparkSession, folder: str) -> DataFrame:
-    """Records with ``src_ord``, their place in the source, and ``src_end``, the bytes up to their end.
+def placed_lineitem(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with ``src_ord``, their place in the source, and ``src_end``, the bytes up to their end, for one pass over them."""
+    return running(lineitem_records(spark, folder), [], LINE_ORDER, "size", "src_ord", "src_end").drop(*LINE_ORDER)
+
 
-    They stand for a file, whose records have their places, so they are written down once.
-    """
-    ordered = running(lineitem_records(spark, folder), [], LINE_ORDER, "size", "src_ord", "src_end")
-    return settle(ordered.drop(*LINE_ORDER))
+def reads_lineitem(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of ``placed_lineitem``; they stand for a file, whose records have their places, so they are written down once."""
+    return write_down(placed_lineitem(spark, folder))
 
 
 def reads_events(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from tidemark.functions.header import Header, refs_frame
 from tidemark.functions.keys import name_key
 from tidemark.functions.resources import estimate
+from tidemark.lineage import write_down
 from tidemark.operators import stats
 from tidemark.operators.dictionary import dictionary, known_refs, repeated_names, unknown_refs
 from tidemark.operators.order import dest_ranks, running, shard_offsets
 from tidemark.operators.route import quality, route
 from tidemark.plans.files import FILES
-from tidemark.plans.fixtures import LINE_ORDER, NAMES, lineitem_records, reads_documents, reads_events, reads_lineitem, reads_orders
+from tidemark.plans.fixtures import LINE_ORDER, NAMES, lineitem_records, placed_lineitem, reads_documents, reads_events, reads_lineitem, reads_orders
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPLIT, SHARD, SPLITS, HEADER_BYTES = 1000, 1000, 8, 100
@@ -24,7 +25,7 @@ _RANKED = ("bucket", "dest_rank", "dest_end", "qname", "pos", "mapq", "key")
 
 
 def scan_records(spark: SparkSession, folder: str) -> DataFrame:
-    return reads_lineitem(spark, folder).select("src_ord", (F.col("src_end") - F.col("size")).alias("src_offset"), "size", "qname", "rname", "pos", "mapq", "rnext")
+    return placed_lineitem(spark, folder).select("src_ord", (F.col("src_end") - F.col("size")).alias("src_offset"), "size", "qname", "rname", "pos", "mapq", "rnext")
 
 
 def header_refs(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,14 +52,18 @@ def _ranked(spark: SparkSession, folder: str, **options) -> DataFrame:
     return dest_ranks(route(reads_lineitem(spark, folder), NAMES, **options))
 
 
-def _sorted(**options) -> Query:
+def _in_order(spark: SparkSession, folder: str, **options) -> DataFrame:
     """Equal keys stay in the order of the source, which the columns of the line have: no place in the source need be known."""
-    return lambda spark, folder: dest_ranks(route(lineitem_records(spark, folder), NAMES, **options), *LINE_ORDER).select(*_RANKED)
+    return dest_ranks(route(lineitem_records(spark, folder), NAMES, **options), *LINE_ORDER)
+
+
+def _sorted(**options) -> Query:
+    return lambda spark, folder: _in_order(spark, folder, **options).select(*_RANKED)
 
 
 def unmapped_in_order(spark: SparkSession, folder: str) -> DataFrame:
-    routed = route(reads_lineitem(spark, folder), NAMES, "paired")
-    return dest_ranks(routed.filter("bucket = 'unmapped'")).select("dest_rank", "dest_end", "src_ord", "qname")
+    unmapped = route(placed_lineitem(spark, folder), NAMES, "paired").filter("bucket = 'unmapped'")
+    return dest_ranks(write_down(unmapped)).select("dest_rank", "dest_end", "src_ord", "qname")
 
 
 def names_and_keys(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,12 +91,12 @@ def dest_offsets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shard_prefix_sum(spark: SparkSession, folder: str) -> DataFrame:
-    return shard_offsets(_ranked(spark, folder, layout="paired"), SHARD)
+    return shard_offsets(_in_order(spark, folder, layout="paired"), SHARD)
 
 
 def byte_range_splits(spark: SparkSession, folder: str) -> DataFrame:
-    records = reads_lineitem(spark, folder).withColumn("start", HEADER_BYTES + F.col("src_end") - F.col("size"))
-    total = HEADER_BYTES + records.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    records = placed_lineitem(spark, folder).withColumn("start", HEADER_BYTES + F.col("src_end") - F.col("size"))
+    total = HEADER_BYTES + lineitem_records(spark, folder).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     return stats.byte_range_splits(records, "start", HEADER_BYTES, total, SPLITS)
 
 
@@ -100,7 +105,7 @@ def _counted(count: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _by_split(count: Callable[[DataFrame, str, int], DataFrame]) -> Query:
-    return lambda spark, folder: count(route(reads_lineitem(spark, folder), NAMES, "paired", min_mapq=20), "src_ord", SPLIT)
+    return lambda spark, folder: count(route(placed_lineitem(spark, folder), NAMES, "paired", min_mapq=20), "src_ord", SPLIT)
 
 
 def exchange_matrix(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,7 +113,7 @@ def exchange_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sortedness_violations(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.sortedness(_ranked(spark, folder, layout="paired"), rows=SHARD)
+    return stats.sortedness(write_down(_in_order(spark, folder, layout="paired").select("bucket_idx", "bucket", "dest_rank", "key")), rows=SHARD)
 
 
 def known_refs_semi(spark: SparkSession, folder: str) -> DataFrame:
