@@ -13,22 +13,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.header import Header
-from tidemark.lineage import checkpoint_folder, local_path, settle
+from tidemark.lineage import checkpoint_folder, local_path, settle, write_down
 from tidemark.operators.digest import file_digests, put_together
 from tidemark.operators.order import running, total_order
 from tidemark.operators.route import route
 from tidemark.operators.stats import sortedness
-from tidemark.plans.fixtures import NAMES, reads_lineitem
+from tidemark.plans.fixtures import LINE_ORDER, NAMES, lineitem_records
 from tidemark.plans.sort import main, sort_sam
 from tidemark.schema import DISCORDANT, UNMAPPED
 from tidemark.sources import bgzf
-from tidemark.sources.datasource import pushing, register
+from tidemark.sources.datasource import SPLIT, pushing, register
 from tidemark.sources.sam import parse, read_lines
 from tidemark.sources.sink import write_sorted
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Ranges in which the queries read what they have written, so that there are several.
-SMALL_SPLIT = 1 << 18
+#: Ranges in which the queries read what they have written, so that there are several; ``_split`` has larger ones for larger files.
+SMALL_SPLIT, SPLITS = 1 << 18, 64
 FLAT = ("file", "place", "size", "qname", "rname", "pos", "mapq", "rnext")
 
 
@@ -47,13 +47,22 @@ def _shared_folder(spark: SparkSession) -> Iterator[str]:
         shutil.rmtree(folder, ignore_errors=True)
 
 
+def _split(path: str) -> int:
+    """Bytes of a file that a task reads: about ``SPLITS`` ranges, smaller or larger only where theirs would leave the bounds."""
+    return max(SMALL_SPLIT, min(SPLIT, os.path.getsize(path) // SPLITS))
+
+
+def _line() -> Column:
+    return F.concat_ws("\t", "qname", F.lit("0"), "rname", "pos", "mapq", F.lit("10M"), "rnext", F.lit("0"), F.lit("0"), F.lit("ACGTACGTAC"), F.lit("FFFFFFFFFF"))
+
+
 def write_source(spark: SparkSession, folder: str, to: str, copies: int = 1) -> str:
-    """The records of ``reads_lineitem``, each so many times, as a SAM file in source order."""
-    line = F.concat_ws("\t", "qname", F.lit("0"), "rname", "pos", "mapq", F.lit("10M"), "rnext", F.lit("0"), F.lit("0"), F.lit("ACGTACGTAC"), F.lit("FFFFFFFFFF"))
-    reads = reads_lineitem(spark, folder).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    records = reads.select(F.lit(0).alias("bucket_idx"), F.lit("source").alias("bucket"), F.col("src_ord").alias("key"), F.col("copy").cast("bigint").alias("src_offset"), line.alias("line"))
+    """The records of ``lineitem_records``, each so many times, as a SAM file in source order, which the columns of the line have."""
+    first, *others = LINE_ORDER
+    reads = lineitem_records(spark, folder).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))) if copies > 1 else F.lit(1))
+    records = reads.select(F.lit(0).alias("bucket_idx"), F.lit("source").alias("bucket"), F.col(first).alias("key"), *others, "copy", _line().alias("line"))
     header = "".join(f"{line}\n" for line in _header().lines)
-    write_sorted(records, to, header, "sam")
+    write_sorted(records, to, header, "sam", tie=(*others, "copy"))
     return f"{to}/source.sam"
 
 
@@ -66,16 +75,28 @@ def _by_command(spark: SparkSession, path: str, out_dir: str) -> list[str]:
 
 def _sorted_files(spark: SparkSession, folder: str, work: str, sort: Callable | None = None, **options) -> list[str]:
     """Paths of the files to which the records were sorted; the source is gone."""
-    source, out = write_source(spark, folder, work), f"{work}/out-{uuid.uuid4().hex[:6]}"
+    source = write_source(spark, folder, work)
+    paths = _sorted_to(spark, source, work, sort, **options)
+    os.remove(source)
+    return paths
+
+
+def _sorted_to(spark: SparkSession, source: str, work: str, sort: Callable | None = None, **options) -> list[str]:
+    out = f"{work}/out-{uuid.uuid4().hex[:6]}"
     os.makedirs(out)
     names = sort(spark, source, out) if sort else sort_sam(spark, source, out, layout="paired", min_mapq=20, **options)
-    os.remove(source)
     return [f"{out}/{name}" for name in names]
 
 
 def _named(column: str = "file") -> Column:
-    """The name of a file without its suffix."""
-    return F.regexp_extract(column, "([^/]+)[.][a-z]+$", 1)
+    """The name of a file without its suffix, by searches for single characters: a pattern would try each place of a long path."""
+    name = F.substring_index(column, "/", -1)
+    return F.substring(name, F.lit(1), F.length(name) - F.length(F.substring_index(name, ".", -1)) - 1)
+
+
+def _folder(column: str = "file") -> Column:
+    """The name of the folder that a file is in."""
+    return F.substring_index(F.substring_index(column, "/", -2), "/", 1)
 
 
 def _read_back(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -93,7 +114,7 @@ def _round_trip(sort: Callable | None = None, **options) -> Query:
         with _shared_folder(spark) as work:
             lines = _read_back(spark, _sorted_files(spark, folder, work, sort, **options))
             records = parse(lines.drop("src_offset").withColumnRenamed("place", "src_offset"))
-            return settle(records.select("file", F.col("src_offset").alias("place"), F.col("size").cast("bigint").alias("size"), *FLAT[3:]))
+            return write_down(records.select("file", F.col("src_offset").alias("place"), F.col("size").cast("bigint").alias("size"), *FLAT[3:]))
 
     return query
 
@@ -102,12 +123,11 @@ def parts_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Sorted records written with ``df.write.format("sam")``, a file for each range of a bucket, and read with ``spark.read.format("sam")``."""
     with _shared_folder(spark) as work:
         register(spark)
-        line = F.concat_ws("\t", "qname", F.lit("0"), "rname", "pos", "mapq", F.lit("10M"), "rnext", F.lit("0"), F.lit("0"), F.lit("ACGTACGTAC"), F.lit("FFFFFFFFFF"))
-        routed = route(reads_lineitem(spark, folder).withColumn("line", line), NAMES, "paired", min_mapq=20)
-        ordered = total_order(routed, "src_ord").select("bucket_idx", "bucket", "run_part", "line")
+        routed = route(lineitem_records(spark, folder).withColumn("line", _line()), NAMES, "paired", min_mapq=20)
+        ordered = total_order(routed.select("bucket_idx", "bucket", "key", *LINE_ORDER, "line"), *LINE_ORDER).select("bucket_idx", "bucket", "run_part", "line")
         ordered.write.format("sam").mode("append").options(fmt="bgzf", header=_header().rewritten("coordinate")).save(f"{work}/parts")
         found = spark.read.format("sam").schema("file string, qname string, rname string, pos bigint, mapq int, rnext string").load(f"{work}/parts")
-        return settle(found.select(F.regexp_extract("file", "([^/]+)/[^/]+$", 1).alias("bucket"), "qname", "rname", "pos", "mapq", "rnext"))
+        return write_down(found.select(_folder().alias("bucket"), "qname", "rname", "pos", "mapq", "rnext"))
 
 
 def source_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,11 +135,11 @@ def source_scan(spark: SparkSession, folder: str) -> DataFrame:
     with _shared_folder(spark) as work:
         source = write_source(spark, folder, work)
         register(spark)
-        kept = spark.read.format("sam").options(split=SMALL_SPLIT, push=True).schema("src_offset bigint, size int, qname string, rname string, pos bigint, mapq int").load(source)
+        kept = spark.read.format("sam").options(split=_split(source), push=True).schema("src_offset bigint, size int, qname string, rname string, pos bigint, mapq int").load(source)
         head = sum(len(line) + 1 for line in _header().lines)
         found = kept.filter("mapq >= 30 and rname in ('chr1', 'chr2')")
         with pushing(spark):
-            return settle(found.select((F.col("src_offset") - head).alias("place"), F.col("size").cast("bigint").alias("size"), "qname", "rname", "pos", "mapq"))
+            return write_down(found.select((F.col("src_offset") - head).alias("place"), F.col("size").cast("bigint").alias("size"), "qname", "rname", "pos", "mapq"))
 
 
 def virtual_fetch(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,7 +150,7 @@ def virtual_fetch(spark: SparkSession, folder: str) -> DataFrame:
         wanted = parse(lines).filter("pos % 5 = 0").select(F.lit(paths[0]).alias("file"), F.col("src_offset").alias("raw"))
         fetched = bgzf.fetch(bgzf.virtual(wanted, bgzf.block_table(spark, paths)))
         records = parse(fetched.select("file", "line", F.col("voffset").alias("src_offset"), (F.length("line") + 1).alias("size"), F.lit(False).alias("in_header")))
-        return settle(records.select("qname", "rname", "pos", "mapq", "rnext"))
+        return write_down(records.select("qname", "rname", "pos", "mapq", "rnext"))
 
 
 def bucket_region(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,30 +159,31 @@ def bucket_region(spark: SparkSession, folder: str) -> DataFrame:
         source, regions = write_source(spark, folder, work), {}
         sort_sam(spark, source, work, layout="paired", min_mapq=20, fmt="bgzf", merge=True, regions=regions)
         register(spark)
-        begin, end = regions["chr3"]
-        part = spark.read.format("sam").options(begin=begin, end=end, split=SMALL_SPLIT).schema("qname string, rname string, pos bigint, mapq int, rnext string")
-        return settle(part.load(f"{work}/source_sorted.gz"))
+        (begin, end), path = regions["chr3"], f"{work}/source_sorted.gz"
+        part = spark.read.format("sam").options(begin=begin, end=end, split=_split(path)).schema("qname string, rname string, pos bigint, mapq int, rnext string")
+        return write_down(part.load(path))
 
 
 def written_files(spark: SparkSession, folder: str) -> DataFrame:
     """Each sorted file's records, bytes, digest, and neighbours in the wrong order."""
     with _shared_folder(spark) as work:
         lines = _read_back(spark, _sorted_files(spark, folder, work, fmt="bgzf"))
-        body = settle(lines.filter("not in_header").select("file", "line", "place", "size"))
         key = F.when(F.col("file") == UNMAPPED, 0).otherwise(F.get(F.split("line", "\t", 5), F.lit(3)).cast("bigint"))
+        body = write_down(lines.filter("not in_header").select("file", "line", "place", "size", key.alias("key")))
         order = {name: i for i, name in enumerate([*NAMES, DISCORDANT, UNMAPPED])}
         idx = F.coalesce(*(F.when(F.col("file") == name, F.lit(i)) for name, i in order.items()))
-        ranked = running(body.select("file", "place", "size", key.alias("key"), idx.alias("bucket_idx")), ["file"], ["place"], "size").withColumn("bucket", F.col("file"))
-        wrong = sortedness(ranked).select(F.col("bucket").alias("file"), "violations")
+        ranked = running(body.select("file", "place", "size", "key", idx.alias("bucket_idx")), ["file"], ["place"], "size").withColumn("bucket", F.col("file"))
+        wrong = sortedness(write_down(ranked)).select(F.col("bucket").alias("file"), "violations")
         return settle(file_digests(body).join(wrong, "file"))
 
 
 def merged_digest(spark: SparkSession, folder: str) -> DataFrame:
     """The digest of the merged file, and the one put together from those of the buckets' files: they are the same."""
     with _shared_folder(spark) as work:
-        merged = _read_back(spark, _sorted_files(spark, folder, work, fmt="bgzf", merge=True)).filter("not in_header")
+        source = write_source(spark, folder, work)
+        merged = _read_back(spark, _sorted_to(spark, source, work, fmt="bgzf", merge=True)).filter("not in_header")
         whole = file_digests(merged).withColumn("what", F.lit("merged file")).drop("file")
-        apart = file_digests(_read_back(spark, _sorted_files(spark, folder, work, fmt="sam")).filter("not in_header"))
+        apart = file_digests(_read_back(spark, _sorted_to(spark, source, work, fmt="sam")).filter("not in_header"))
         order = F.coalesce(*(F.when(F.col("file") == name, F.lit(i)) for i, name in enumerate([*NAMES, DISCORDANT, UNMAPPED])))
         together = put_together(settle(apart.withColumn("place", order)), "place").withColumn("what", F.lit("files of buckets"))
         return settle(whole.unionByName(together))

@@ -19,7 +19,7 @@ EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 _HEAD = "<4BI2BH2BHH"
 _MAGIC = b"\x1f\x8b\x08\x04"
 #: Compressed bytes that a task reads.
-RANGE = 1 << 24
+RANGE = 1 << 22
 #: More raw bytes than a compressed byte can stand for.
 MOST_RAW = 1100
 #: Bits of a virtual offset that tell the place inside a block; those above are the place of the block.

@@ -101,10 +101,12 @@ def _files(shards: list[list], merge: str | None, fmt: str, top: bytes) -> dict[
 
 def write_sorted(
     df: DataFrame, folder: str, header: str, fmt: str = "bgzf", merge: str | None = None, level: int = 3, mode: str = "error", partitions: int | None = None, source: str | None = None, positioned: bool | None = None,
-    regions: dict[str, tuple[int, int]] | None = None,
+    regions: dict[str, tuple[int, int]] | None = None, tie: tuple[str, ...] = ("src_offset",),
 ) -> dict[str, int]:
     """Write routed records (``bucket_idx``, ``bucket``, ``key``, ``src_offset``, ``line``) in order; the records of each file.
 
+    Equal keys are in the order of ``src_offset``, or of the columns ``tie``.
+
     A bucket's file is ``<bucket>.<suffix>``; with ``merge`` all go to
     ``<merge>_sorted.<suffix>``, in the order of the buckets.  Each file begins
     with the header.  Existing files are an error, or are replaced with
@@ -124,8 +126,8 @@ def write_sorted(
     work = f"{root}/.work-{job}"
     try:
         columns = ["bucket_idx", "bucket", "run_part", *(["src_offset", F.col("size").cast("int").alias("size")] if source else ["line"])]
-        kept = df.select("bucket_idx", "bucket", "key", "src_offset", "size" if source else "line")
-        rows = total_order(kept, partitions=partitions).select(*columns)
+        kept = df.select("bucket_idx", "bucket", "key", *tie, "size" if source else "line")
+        rows = total_order(kept, *tie, partitions=partitions).select(*columns)
         options = {"fmt": fmt, "level": level, "bare": job} | ({"source": source} if source else {})
         rows.write.format("sam").options(**options).mode("append").save(folder)
         with system.open_input_stream(f"{work}/shards.json") as file:
