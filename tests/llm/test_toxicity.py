@@ -157,3 +157,12 @@ def test_weights_are_rows(spark):
     words = toxicity.lexicon(docs.join(labels, "doc_id").select("toxic", "text", F.lit(3).alias("weight")))
     thrice = docs.unionByName(docs).unionByName(docs).join(labels, "doc_id").select("toxic", "text", F.lit(1).alias("weight"))
     assert words and words == toxicity.lexicon(thrice)
+
+
+def test_features_do_not_depend_on_slices(monkeypatch):
+    texts = ["You idiot", None, "", "a b c " * 50, "st00pid PEOPLE!!", "x" * 300, "your ideas"] * 5
+    whole = toxicity.Features({"idiot": 4.5, "stupid": 3.0}).of(texts)
+    monkeypatch.setattr(toxicity, "_SLICE", 100)
+    monkeypatch.setattr(toxicity, "_KEPT_TOKENS", 4)
+    small = toxicity.Features({"idiot": 4.5, "stupid": 3.0})
+    assert small.of(texts) == whole and len(small.tokens) < 12

@@ -33,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tidemark.llm.common import bound_batches
+from tidemark.llm.common import bound_batches, give_back
 
-#: Distinct words that a task keeps from slice to slice; beyond that it starts anew.
-KEPT_WORDS = 1 << 18
+#: Distinct words that a task keeps from slice to slice; beyond that it starts anew.  Workers are used again by
+#: later stages and hardly give memory back, so what a task keeps counts there, too.
+KEPT_WORDS = 1 << 17
 #: A slice ends with the document that takes it to this many characters.
 SLICE = 1 << 21
 #: Longer words are merged one by one, as an index over positions serves no more than a queue there.
@@ -55,7 +56,7 @@ class Ranks:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self._pairs: dict[int, int] = {}
 
     def merge(self, a: int, b: int) -> int:
@@ -68,8 +69,8 @@ class Ranks:
         return found
 
     def merges(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys, at = np.unique(a << 32 | b, return_inverse=True)
-        return np.fromiter((self.merge(k >> 32, k & 0xFFFFFFFF) for k in keys.tolist()), np.int64, len(keys))[at]
+        keys, at = np.unique(a.astype(np.int64) << 32 | b, return_inverse=True)
+        return np.fromiter((self.merge(k >> 32, k & 0xFFFFFFFF) for k in keys.tolist()), np.int32, len(keys))[at]
 
 
 def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
@@ -77,15 +78,15 @@ def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, words), np.int64, len(words))
     symbol = ranks.single[np.frombuffer(b"".join(words), np.uint8)]
     count = len(symbol)
-    word = np.repeat(np.arange(len(words)), size)
-    following, before = np.arange(1, count + 1), np.arange(-1, count - 1)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+    following, before = np.arange(1, count + 1, dtype=np.int32), np.arange(-1, count - 1, dtype=np.int32)
     if count:
         edge = word[1:] != word[:-1]
         following[:-1][edge] = -1
         following[-1] = -1
         before[1:][edge] = -1
-    rank = np.full(count, -1, np.int64)  # of the pair that begins at a position
-    begins = np.flatnonzero(following >= 0)
+    rank = np.full(count, -1, np.int32)  # of the pair that begins at a position
+    begins = np.flatnonzero(following >= 0).astype(np.int32)
     rank[begins] = ranks.merges(symbol[begins], symbol[following[begins]])
 
     index: dict[int, list[np.ndarray]] = defaultdict(list)
@@ -232,6 +233,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str
         encoder = Encoder(ranks.value, pattern)
         for texts in batches:
             yield pd.Series(encoder.encode(texts.tolist()), dtype=object)
+        del encoder
+        give_back()
 
     return docs.withColumn(to, ids(F.col(text)))
 
@@ -263,6 +266,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids
             packed = encoder.encode(texts.tolist())
             back = [b"".join(map(token, np.frombuffer(p, "<u4").tolist())) for p in packed]
             yield pd.DataFrame({"ids": pd.Series(packed, dtype=object), "decoded": pd.Series(back, dtype=object)})
+            del packed, back
+        del encoder, token
+        give_back()
 
     found = docs.select(F.struct("*").alias("doc"), both(F.col(text)).alias("both"))  # packed, so that no name can clash
     return found.select("doc.*", F.col("both.ids").alias(ids), F.col("both.decoded").alias(decoded))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
-from tidemark.llm.common import bound_batches, cut, cut_small, in_training
+from tidemark.llm.common import bound_batches, cut, cut_small, give_back, in_training
 
 FOLDS, HELD_OUT = 5, 0
 LEXICON_FOLDS, TREE_FOLD, CALIBRATION_FOLD = (1, 2), 3, 4
@@ -52,7 +52,9 @@ _SECOND = frozenset(
 _UNDO = str.maketrans("013457@$!*", "oieastasi.")
 _EDGES = ".,;:!?\"'()[]{}|-_`~<>/\\"
 #: Tokens that a task keeps the facts of; beyond that it starts anew.
-_KEPT_TOKENS = 1 << 18
+_KEPT_TOKENS = 1 << 17
+#: A slice of texts, whose new tokens get their facts at once, ends with the text that takes it to this many characters.
+_SLICE = 1 << 19
 
 
 def plain(token: str) -> str:
@@ -126,6 +128,16 @@ class Features:
         self.tokens, self.facts = _Tokens(self.words), np.zeros((0, len(_Tokens.FACTS)), np.float32)
 
     def of(self, texts: list[str | None]) -> list[list[float]]:
+        found, at = [], 0
+        while at < len(texts):
+            begin, chars = at, 0
+            while at < len(texts) and chars < _SLICE:
+                chars += len(texts[at] or "")
+                at += 1
+            found += self._of_slice(texts[begin:at])
+        return found
+
+    def _of_slice(self, texts: list[str | None]) -> list[list[float]]:
         if len(self.tokens) > _KEPT_TOKENS:
             self._forget()
         number = self.tokens.__getitem__
@@ -162,6 +174,8 @@ def with_features(docs: DataFrame, words: dict[str, float], text: str = "text",
         features = Features(shared.value)
         for texts in batches:
             yield pd.Series(features.of(texts.tolist()), dtype=object)
+        del features
+        give_back()
 
     return docs.withColumn(to, array_to_vector(dense(F.col(text))))
 
