@@ -54,3 +54,17 @@ def test_encode_and_decode_apart(spark, library):
     rows = list(enumerate(texts()[:40]))
     both = bpe.decode(bpe.encode(documents(spark, rows), PATH, PATTERN), PATH).collect()
     assert all(bytes(r.decoded) == (r.text or "").encode() and np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(r.text or "") for r in both)
+
+
+def test_pairs_are_found_in_arrays_and_not_one_by_one(library, monkeypatch):
+    ranks = bpe.Ranks(bpe.load_ranks(PATH))
+    a, b = np.random.default_rng(3).integers(0, 3000, (2, 20_000))
+    assert ranks.merges(a, b).tolist() == [ranks.merge(x, y) for x, y in zip(a.tolist(), b.tolist())]
+
+    def never(*_):
+        raise AssertionError("a pair was looked up alone")
+
+    monkeypatch.setattr(bpe.Ranks, "merge", never)
+    short = [t for t in texts() if len(t or "") < 1000]
+    for text, packed in zip(short, bpe.Encoder(ranks.ranks, PATTERN).encode(short)):
+        assert np.frombuffer(packed, "<u4").tolist() == library.encode_ordinary(text or "")

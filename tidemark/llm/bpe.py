@@ -40,6 +40,8 @@ from tidemark.llm.common import bound_batches, give_back
 KEPT_WORDS = 1 << 17
 #: A slice ends with the document that takes it to this many characters.
 SLICE = 1 << 21
+#: No merge; and a symbol that no token has.
+_NONE, _NOTHING = np.int32(-1), np.int32((1 << 31) - 1)
 #: Longer words are merged one by one, as an index over positions serves no more than a queue there.
 LONG = 1 << 12
 
@@ -57,80 +59,80 @@ class Ranks:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self._pairs: dict[int, int] = {}
+        parts = ((ranks.get(token[:cut]), ranks.get(token[cut:]), rank) for token, rank in ranks.items() for cut in range(1, len(token)))
+        pairs = sorted((a << 32 | b, rank) for a, b, rank in parts if a is not None and b is not None)
+        self._keys = np.array([key for key, _ in pairs] + [np.iinfo(np.int64).max], np.int64)  # the last one is no pair
+        self._merged = np.array([rank for _, rank in pairs] + [_NONE], np.int32)
+        self.double = self.merges(np.repeat(self.single, 256), np.tile(self.single, 256))  # of two bytes
 
     def merge(self, a: int, b: int) -> int:
-        key = a << 32 | b
-        found = self._pairs.get(key)
-        if found is None:
-            if len(self._pairs) >= KEPT_WORDS // 2:
-                self._pairs.clear()
-            found = self._pairs[key] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return found
+        return self.ranks.get(self.token[a] + self.token[b], -1)
 
     def merges(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys, at = np.unique(a.astype(np.int64) << 32 | b, return_inverse=True)
-        return np.fromiter((self.merge(k >> 32, k & 0xFFFFFFFF) for k in keys.tolist()), np.int32, len(keys))[at]
+        """``merge`` of many pairs, by binary search among all that a vocabulary can merge."""
+        keys = a.astype(np.int64) << 32 | b
+        at = self._keys.searchsorted(keys)
+        return np.where(self._keys[at] == keys, self._merged[at], _NONE)
 
 
 def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all words end to end, and the number of ids of each."""
     size = np.fromiter(map(len, words), np.int64, len(words))
-    symbol = ranks.single[np.frombuffer(b"".join(words), np.uint8)]
-    count = len(symbol)
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    count = len(raw)
+    symbol = np.append(ranks.single[raw], _NOTHING)
     word = np.repeat(np.arange(len(words), dtype=np.int32), size)
-    following, before = np.arange(1, count + 1, dtype=np.int32), np.arange(-1, count - 1, dtype=np.int32)
-    if count:
-        edge = word[1:] != word[:-1]
-        following[:-1][edge] = -1
-        following[-1] = -1
-        before[1:][edge] = -1
-    rank = np.full(count, -1, np.int32)  # of the pair that begins at a position
-    begins = np.flatnonzero(following >= 0).astype(np.int32)
-    rank[begins] = ranks.merges(symbol[begins], symbol[following[begins]])
+    # behind the last and before the first symbol of a word is position ``count``, whose symbol merges with nothing
+    following, before = np.arange(1, count + 2, dtype=np.int32), np.arange(-1, count, dtype=np.int32)
+    following[np.cumsum(size)[size > 0] - 1] = before[(np.cumsum(size) - size)[size > 0]] = count
+    rank = np.full(count + 1, -1, np.int32)  # of the pair that begins at a position
+    begins = np.flatnonzero(following[:count] < count).astype(np.int32)
+    rank[begins] = ranks.double[raw[begins].astype(np.int32) << 8 | raw[begins + 1]]
 
     index: dict[int, list[np.ndarray]] = defaultdict(list)
 
-    def enter(at: np.ndarray) -> None:
-        at = at[rank[at] >= 0]
-        if len(at):
-            at = at[np.argsort(rank[at], kind="stable")]
-            cuts = np.flatnonzero(np.diff(rank[at])) + 1
-            for part in np.split(at, cuts):
-                r = int(rank[part[0]])
-                if r not in index:
-                    heapq.heappush(queue, r)
-                index[r].append(part)
+    def enter(at: np.ndarray, found: np.ndarray) -> None:
+        some = found >= 0
+        if not some.any():
+            return
+        at, found = at[some], found[some]
+        order = found.argsort(kind="stable")
+        at, found = at[order], found[order]
+        cuts = [0, *(np.flatnonzero(found[1:] != found[:-1]) + 1).tolist(), len(at)]
+        for r, begin, end in zip(found[cuts[:-1]].tolist(), cuts, cuts[1:]):
+            if r not in index:
+                heapq.heappush(queue, r)
+            index[r].append(at[begin:end])
 
     queue: list[int] = []
-    enter(begins)
+    enter(begins, rank[begins])
     while queue:
         r = heapq.heappop(queue)
         parts = index.pop(r)
-        at = np.unique(np.concatenate(parts)) if len(parts) > 1 else np.sort(parts[0])
+        at = np.concatenate(parts) if len(parts) > 1 else parts[0]
         at = at[rank[at] == r]  # others were merged or got another neighbour meanwhile
-        if not len(at):
+        if len(at) > 1:
+            at = np.unique(at) if len(parts) > 1 else np.sort(at)
+            inside = word[at]
+            again = inside[1:] == inside[:-1]
+            if again.any():  # in a word, leftmost first; a merge may make way for a lower rank
+                first = np.append(True, ~again)
+                index[r].append(at[~first])
+                heapq.heappush(queue, r)
+                at = at[first]
+        elif not len(at):
             continue
-        first = np.ones(len(at), bool)
-        first[1:] = word[at[1:]] != word[at[:-1]]
-        if not first.all():  # in a word, leftmost first; a merge may make way for a lower rank
-            index[r].append(at[~first])
-            heapq.heappush(queue, r)
-            at = at[first]
-        gone = following[at]
+        gone, left = following[at], before[at]
         after = following[gone]
         symbol[at], symbol[gone], rank[gone] = r, -1, -1
         following[at] = after
-        has = after >= 0
-        before[after[has]] = at[has]
-        rank[at] = -1
-        rank[at[has]] = ranks.merges(symbol[at[has]], symbol[after[has]])
-        left = before[at]
-        left = left[left >= 0]
-        rank[left] = ranks.merges(symbol[left], symbol[following[left]])
-        enter(np.concatenate([left, at[has]]))
-    stays = symbol >= 0
-    return symbol[stays], np.bincount(word[stays], minlength=len(words))
+        before[after] = at
+        merged = np.full(len(at), r, np.int32)
+        near = np.concatenate([left, at])
+        rank[near] = found = ranks.merges(np.concatenate([symbol[left], merged]), np.concatenate([merged, symbol[after]]))
+        enter(near, found)
+    stays = symbol[:count] >= 0
+    return symbol[:count][stays], np.bincount(word[stays], minlength=len(words))
 
 
 def _merge_long(word: bytes, ranks: Ranks) -> list[int]:
@@ -169,8 +171,8 @@ class _Words(dict):
 class Encoder:
     """Encodes slices of texts; keeps the words it has met."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.split = Ranks(ranks), regex.compile(pattern).findall
+    def __init__(self, ranks: Ranks | dict[bytes, int], pattern: str):
+        self.ranks, self.split = Ranks(ranks) if isinstance(ranks, dict) else ranks, regex.compile(pattern).findall
         self._forget()
 
     def _forget(self) -> None:
@@ -226,7 +228,7 @@ class Encoder:
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
     """``docs`` with the ids of ``text``, packed as little-endian unsigned 32-bit integers."""
     bound_batches(docs.sparkSession)
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))  # the vocabulary has a fixed size
+    ranks = docs.sparkSession.sparkContext.broadcast(Ranks(load_ranks(path)))  # the vocabulary has a fixed size
 
     @F.pandas_udf(BinaryType())
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -256,7 +258,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", to: str = "decoded") ->
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with the ids of ``text`` and the bytes they stand for; as ``encode`` and ``decode``, in one worker."""
     bound_batches(docs.sparkSession)
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
+    ranks = docs.sparkSession.sparkContext.broadcast(Ranks(load_ranks(path)))
 
     @F.pandas_udf(StructType([StructField("ids", BinaryType()), StructField("decoded", BinaryType())]))
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
