@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.order import range_bounds, range_of, running, total_order, with_range
 from tidemark.plans import files, fixtures
 from tidemark.plans.queries import QUERIES
+from tidemark.sources.sam import read_lines
 
 FOLDER = Path(os.environ.get("TIDEMARK_TESTDATA", "/root/testdata"), "sf0.001")
 
@@ -69,3 +70,19 @@ def test_ranges_grow_with_the_file(tmp_path):
             file.truncate(mb * 1_000_000)
         sizes.append(files._split(str(path)))
     assert sizes[0] == files.SMALL_SPLIT and sizes[1] == 2_500_000 and sizes[2] == files.SPLIT
+
+
+def test_rows_of_a_plain_file_are_numbered_in_its_order_without_python(spark, tmp_path):
+    head = "@HD\tVN:1.0\n@SQ\tSN:chr1\tLN:9\n"
+    with open(path := str(tmp_path / "reads.sam"), "w") as file:
+        file.write(head + "".join(f"{'@' * (i == 5)}{i:06}\n" for i in range(30_000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+        lines, _, _ = read_lines(spark, path, exact=False)
+        assert lines.rdd.getNumPartitions() > 8 and "ArrowEvalPython" not in told(lines)
+        rows = lines.orderBy("src_offset").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [r.in_header for r in rows[:9]] == [True] * 2 + [False] * 7 and not any(r.in_header for r in rows[9:])
+    assert [int(r.line.lstrip("@")) for r in rows[2:]] == list(range(30_000))

@@ -5,7 +5,8 @@ line end, so a carriage return stays part of its line; block-gzip files are read
 in ranges of blocks.  Offsets run on inside a split as its
 lines stream by.  A sort needs no more: a split begins before all its lines and
 behind those of the splits before it, so places of one scan are in the order of
-the file.  For exact offsets one more pass sums the bytes of each split.
+the file; rows of a plain file are just numbered.  For exact offsets one more
+pass sums the bytes of each split.
 
 The header is the lines beginning with ``@`` before the first other line, and is
 read by the driver alone.
@@ -87,11 +88,16 @@ def read_lines(spark: SparkSession, path: str | list[str], exact: bool = True) -
     """All lines of a file with ``file``, ``src_offset``, ``size``, ``in_header``; its header; and the bytes of the header.
 
     A last line without a line feed counts as if it had one.  Unless ``exact``,
-    offsets are in the order of the file but may be too small.  Of several files
+    offsets are in the order of the file but may be other numbers.  Of several files
     each has its own offsets and header; the first one's is returned.
     """
     paths = [path] if isinstance(path, str) else path
     lines, (header, head) = _lines(spark, paths), read_header(spark, paths[0])
+    if not exact and len(paths) == 1 and head <= SMALL_HEADER and not _blocked(paths[0]):
+        # the splits of one file are dealt to partitions in its order, so rows are numbered in it, too, and no Python is needed
+        placed = lines.withColumn("src_offset", F.monotonically_increasing_id())
+        in_header = (F.col("src_offset") < len(header.lines)) & F.col("line").startswith("@")
+        return placed.select("file", "line", "src_offset", "size", in_header.alias("in_header")), header, head
     inside = F.pandas_udf(_run_on, LongType()).asNondeterministic()  # its state follows the lines, so nothing may be filtered before it
     placed = lines.withColumn("inside", inside(F.xxhash64("file", "split"), "size"))
     if exact or len(paths) > 1 or head > SMALL_HEADER:
